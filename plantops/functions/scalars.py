@@ -38,12 +38,12 @@ def excess5_sum(x) -> Column:
 
 def flt(x, default: float = 0.0) -> Column:
     """M4: ERP ``flt``: parse a number, NULL/blank/garbage -> 0."""
-    return F.coalesce(F.expr(f"try_cast({_sql(x)} AS DOUBLE)"), F.lit(default))
+    return F.coalesce(_c(x).cast("string").try_cast("double"), F.lit(default))
 
 
 def cint(x, default: int = 0) -> Column:
     """M4: ERP ``cint``: parse an integer (truncating), NULL/garbage -> 0."""
-    as_double = F.expr(f"try_cast({_sql(x)} AS DOUBLE)")
+    as_double = _c(x).cast("string").try_cast("double")
     return F.coalesce(as_double.cast("long"), F.lit(default).cast("long"))
 
 
@@ -92,11 +92,5 @@ def _date(x) -> Column:
     raise TypeError(f"not a date: {x!r}")
 
 
-def _sql(x) -> str:
-    if isinstance(x, str):
-        return f"`{x}`"
-    raise TypeError("expression helpers that parse text take a column name")
-
-
 def as_date(x) -> Column:
     return _date(x)

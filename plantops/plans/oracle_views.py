@@ -217,4 +217,7 @@ def with_views(body: str, extra: dict[str, str] | None = None) -> str:
     if not order:
         return body
     ctes = ",\n".join(f"{n} AS ({views[n]})" for n in order)
+    stripped = body.lstrip()
+    if stripped[:5].upper() == "WITH ":
+        return f"WITH {ctes},\n{stripped[5:]}"
     return f"WITH {ctes}\n{body}"

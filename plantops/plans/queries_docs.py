@@ -470,3 +470,31 @@ def dq_links(erp):
         QA.dq_links(erp.pmc, "PMC", "product_name", erp.item),
         QA.dq_links(erp.pmc, "PMC", "customer_code", erp.customer),
         QA.dq_links(pmc_item, "Aluminium Slug", "raw_material_name", erp.item)])
+
+# ---------------------------------------------------------------- streaming
+
+
+def checklist_stream(spark, sf_dir):
+    """Checklists written by the Structured Streaming job for the
+    documents arriving on a file stream (one batch over the test files)."""
+    from plantops.sources.testdata import ORDERS_SCHEMA, doc_from_orders, erp_from_testdata
+    from plantops.streaming.checklist_stream import run_checklist_stream
+    erp = erp_from_testdata(spark, sf_dir)
+    base = sf_dir.rstrip("/")
+    # a glob: the file source wants a folder, the test table is one file
+    stream = (spark.readStream.schema(ORDERS_SCHEMA).option("maxFilesPerTrigger", 1)
+              .parquet(f"{base}/orders.parque[t]"))
+    headers, _, _ = run_checklist_stream(spark, erp, doc_from_orders(stream), AS_OF)
+    return headers.drop("batch_id")
+
+
+def _register_stream():
+    from plantops.plans.registry import QUERIES, ORACLES, with_views
+    QUERIES["checklist_stream"] = checklist_stream
+    ORACLES["checklist_stream"] = with_views(_cl_sql("""
+SELECT h.*, CAST(row_number() OVER (ORDER BY reference, grb_nomrn_no_date, line_idx) AS BIGINT) AS seq,
+       printf('CL/24-25/%04d', row_number() OVER (ORDER BY reference, grb_nomrn_no_date, line_idx)) AS name
+FROM cl_headers h"""))
+
+
+_register_stream()

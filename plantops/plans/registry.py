@@ -13,7 +13,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plantops.plans.oracle_views import with_views
+from plantops.plans.oracle_views import with_views  # noqa: F401 (re-exported)
 from plantops.sources.testdata import erp_from_testdata
 
 AS_OF = dt.date(1998, 1, 1)

@@ -28,6 +28,27 @@ def _docstatus(status: Column) -> Column:
     return F.when(status == "F", 1).when(status == "O", 0).otherwise(2).cast("int")
 
 
+ORDERS_SCHEMA = ("o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
+                 "o_orderdate timestamp_ntz, o_orderpriority string")
+
+
+def doc_from_orders(orders: DataFrame) -> DataFrame:
+    """Receipt/delivery document headers from orders (works on a stream too)."""
+    ok = F.col("o_orderkey")
+    posting = F.to_date("o_orderdate")
+    return orders.select(
+        F.concat(F.lit("D-"), _s(ok)).alias("name"),
+        F.when(ok % 3 == 0, fixed.DOCTYPE_PR).when(ok % 3 == 1, fixed.DOCTYPE_DN)
+         .otherwise(fixed.DOCTYPE_SCR).alias("doctype"),
+        (F.col("o_custkey") % 10).alias("supplier"), F.col("o_custkey").alias("customer"),
+        posting.alias("posting_date"), _docstatus(F.col("o_orderstatus")).alias("docstatus"),
+        F.concat(F.lit("LOT-"), _s(ok)).alias("custom_lot_no"),
+        F.concat(F.lit("CH-"), _s(ok)).alias("custom_challan_no"),
+        F.date_add(posting, 1).alias("custom_challan_date"),
+        F.concat(F.lit("INV-"), _s(ok)).alias("custom_invoice_no"),
+        F.date_add(posting, 2).alias("custom_invoice_date"))
+
+
 def erp_from_testdata(spark: SparkSession, sf_dir: str) -> Erp:
     sf_dir = sf_dir.rstrip("/")
 
@@ -207,21 +228,7 @@ def erp_from_testdata(spark: SparkSession, sf_dir: str) -> Erp:
     b["customer"] = lambda: read("customer").select(
         F.col("c_custkey").alias("name"), F.col("c_name").alias("customer_name"))
 
-    def doc() -> DataFrame:
-        ok = F.col("o_orderkey")
-        posting = order_date()
-        return read("orders").select(
-            F.concat(F.lit("D-"), _s(ok)).alias("name"),
-            F.when(ok % 3 == 0, fixed.DOCTYPE_PR).when(ok % 3 == 1, fixed.DOCTYPE_DN)
-             .otherwise(fixed.DOCTYPE_SCR).alias("doctype"),
-            (F.col("o_custkey") % 10).alias("supplier"), F.col("o_custkey").alias("customer"),
-            posting.alias("posting_date"), _docstatus(F.col("o_orderstatus")).alias("docstatus"),
-            F.concat(F.lit("LOT-"), _s(ok)).alias("custom_lot_no"),
-            F.concat(F.lit("CH-"), _s(ok)).alias("custom_challan_no"),
-            F.date_add(posting, 1).alias("custom_challan_date"),
-            F.concat(F.lit("INV-"), _s(ok)).alias("custom_invoice_no"),
-            F.date_add(posting, 2).alias("custom_invoice_date"))
-    b["doc"] = doc
+    b["doc"] = lambda: doc_from_orders(read("orders"))
 
     b["doc_item"] = lambda: lines("l_returnflag").join(
         part("p_name"), F.col("l_partkey") == F.col("p_partkey")).select(

@@ -87,8 +87,8 @@ _PENDING = """(SELECT i.item_code, CAST(SUM(CAST(i.qty AS DECIMAL(21,9))) AS DOU
 @register("slug_reconciliation", f"""
 SELECT it.name AS item, CAST(COALESCE(b.actual_qty, 0) AS DOUBLE) AS stock,
        CAST(COALESCE(p.pending_po, 0) AS DOUBLE) AS pending_po,
-       CAST(COALESCE(ROUND_EVEN(CAST(b.actual_qty AS DECIMAL(21,9)), 2), 0)
-          + COALESCE(ROUND_EVEN(CAST(p.pending_po AS DECIMAL(21,9)), 2), 0) AS DOUBLE) AS total,
+       CAST(COALESCE(ROUND_EVEN(CAST(b.actual_qty AS DECIMAL(21,9)), 2), 0) AS DOUBLE)
+          + CAST(COALESCE(ROUND_EVEN(CAST(p.pending_po AS DECIMAL(21,9)), 2), 0) AS DOUBLE) AS total,
        3 AS no_of_slug_per_kg, 4 AS pending_so, 5 AS slug_to_be_needed, 6 AS balance_slug,
        7 AS tube_may_be_manufactured, CAST(COALESCE(it.min_order_qty, 0) AS DOUBLE) AS minimum_stock,
        9 AS excess_less_stock, 10 AS slug_to_be_orderd

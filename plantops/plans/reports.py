@@ -153,7 +153,8 @@ def slug_reconciliation(erp: Erp, item_group: str = fixed.SLUG_GROUP,
     pend = pending_po(erp.purchase_order, erp.purchase_order_item).withColumnRenamed("item_code", "_pi")
     out = (items.join(stock, items["name"] == stock["_si"], "left")
                 .join(pend, items["name"] == pend["_pi"], "left"))
-    total = (round2("_stock") + round2("pending_po")).cast("double")
+    # flt(x, 2) returns a float: round each in decimal, add as doubles
+    total = round2("_stock").cast("double") + round2("pending_po").cast("double")
     return out.select(
         F.col("name").alias("item"),
         or_zero(F.col("_stock")).cast("double").alias("stock"),

@@ -31,11 +31,15 @@ def so_qty_by_customer_item(so: DataFrame, so_items: DataFrame) -> DataFrame:
 
 
 def pending_po(po: DataFrame, po_items: DataFrame,
-               status: str = fixed.STATUS_TO_RECEIVE_AND_BILL) -> DataFrame:
+               status: str = fixed.STATUS_TO_RECEIVE_AND_BILL, only_items: DataFrame | None = None) -> DataFrame:
     """Qty on purchase orders whose status is exactly ``status``, per
-    item (ordered qty; the received part is not deducted)."""
+    item (ordered qty; the received part is not deducted).  ``only_items``
+    (one column ``name``) restricts the lines before any shuffle."""
     open_po = po.where(F.col("status") == status).select("name")
     i = po_items.select("parent", "item_code", "qty")
+    if only_items is not None:
+        i = i.join(only_items.select(F.col("name").alias("_only")), F.col("item_code") == F.col("_only"),
+                   "left_semi")
     return (i.join(open_po, i["parent"] == open_po["name"], "left_semi")
              .groupBy("item_code").agg(qty_sum("qty").alias("pending_po")))
 

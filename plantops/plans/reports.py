@@ -144,13 +144,18 @@ def slug_reconciliation(erp: Erp, item_group: str = fixed.SLUG_GROUP,
     gives the all-warehouse sum instead.
     """
     items = erp.item.where(F.col("item_group") == item_group).select("name", "min_order_qty")
+    # only the group's items are aggregated: the Bin and PO lines meet the
+    # (filtered, usually small) item set first
+    keys = items.select(F.col("name").alias("_g"))
+    bins = erp.bin.join(keys, F.col("item_code") == F.col("_g"), "left_semi")
     if stock_scope == "sum":
-        stock = (erp.bin.groupBy("item_code")
+        stock = (bins.groupBy("item_code")
                    .agg(F.sum(F.col("actual_qty").cast("decimal(21,9)")).cast("double").alias("_stock")))
     else:
-        stock = latest_bin(erp.bin).select("item_code", F.col("actual_qty").alias("_stock"))
+        stock = latest_bin(bins).select("item_code", F.col("actual_qty").alias("_stock"))
     stock = stock.withColumnRenamed("item_code", "_si")
-    pend = pending_po(erp.purchase_order, erp.purchase_order_item).withColumnRenamed("item_code", "_pi")
+    pend = pending_po(erp.purchase_order, erp.purchase_order_item,
+                      only_items=items.select("name")).withColumnRenamed("item_code", "_pi")
     out = (items.join(stock, items["name"] == stock["_si"], "left")
                 .join(pend, items["name"] == pend["_pi"], "left"))
     # flt(x, 2) returns a float: round each in decimal, add as doubles

@@ -23,6 +23,8 @@ group for the numbering to be deterministic.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -32,6 +34,13 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from plantops.session import shuffle_partitions
 
+try:  # the Arrow pass runs on executors: ship this module by value, so a
+    # worker needs numpy/pyarrow but not this package on its path
+    from pyspark import cloudpickle as _cp
+    _cp.register_pickle_by_value(sys.modules[__name__])
+except Exception:  # pragma: no cover - older pickler: ship the package with --py-files
+    pass
+
 _PID, _RUN, _OFF = "_plantops_pid", "_plantops_run", "_plantops_off"
 
 

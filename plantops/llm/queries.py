@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantops.llm import ann, bpe, packing, quality, sharding, simhash, warc
+from plantops.llm import ann, bpe, packing, pii, quality, quotes, sharding, simhash, toxicity, warc
 from plantops.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,21 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id,
       FROM c AS q JOIN c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0)
 SELECT query_id::BIGINT AS query_id, rank::INTEGER AS rank, vec_id::BIGINT AS vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5"""
+
+
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations in reply order, without quotes."""
+    return quotes.link_quotes(table(spark, sf_dir, "conversations"))

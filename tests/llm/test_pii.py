@@ -1,0 +1,77 @@
+import hashlib
+import random
+import re
+from collections import Counter
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from plantops.llm import pii
+
+
+def brute(text):
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m.group().split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = re.sub("[^0-9]", "", m.group())
+        tot = sum(int(c) if i % 2 == 0 else sum(map(int, str(2 * int(c)))) for i, c in enumerate(reversed(d)))
+        if 16 <= len(d) <= 19 and tot % 10 == 0:
+            out.append(("card", *m.span()))
+    out += [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 8 <= len(re.sub("[^0-9]", "", m.group())) <= 15]
+    return out
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.one_of(st.text(st.sampled_from("ab@.-_%+ "), max_size=40), st.text(st.sampled_from("0125 .-+()é"), max_size=60)))
+def test_base_spans_are_the_plain_forms(text):
+    assert pii.base_spans(text) == brute(text)
+
+
+def corpus():
+    rng = random.Random(6)
+    rows = []
+    for i in range(500):
+        w = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(60)]
+        extra = [f"x{i}@mail.example.com", f"{rng.randint(1, 255)}.2.3.4", "4111 1111 1111 1111", f"+1 (555) 555-{i:04d}", f"password={rng.getrandbits(72):018x}",
+                 f'token = "{rng.getrandbits(160):040x}"', "AKIA" + "".join(rng.choice("ABCDEF234") for _ in range(16)), f"{rng.randint(10**15, 10**16 - 1)}", f"{i}00.999.3.4", ""]
+        w.insert(30, extra[i % 10])
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+def test_find_and_redact(docs_of):
+    rows = corpus() + [(600, None), (601, ""), (None, "call +1 555 555 1234 now"), (602, "x" * 200_000 + "@a.b"), (0, rows_text := "é a@b.co é"), (0, rows_text)]
+    docs = docs_of(rows)
+    finder = pii.train(docs)
+    out = pii.find(docs, finder).collect()
+    want = Counter()
+    for i, t in rows:
+        base = brute(t or "")
+        c = Counter(k for k, _, _ in base)
+        want[(i, c["email"], c["ip"], c["card"], c["phone"], hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest())] += 1
+    assert Counter((r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in out) == want
+    text = dict(rows[:500])
+    secrets, found, plain = set(), set(), 0
+    for r in out:
+        i = r.doc_id
+        if i is None or i >= 500 or (r.spans and i == 0):
+            continue
+        added = [s for s in r.spans.split(",") if s and s.split(":")[0] not in ("email", "ip", "card", "phone")]
+        if i % 10 in (4, 5, 6):
+            secrets.add(i)
+            if added:
+                found.add(i)
+        elif i % 10 == 9:
+            plain += len(added)
+        assert all(f"{k}:{a}:{b}" in r.spans.split(",") for k, a, b in brute(text[i]))
+    assert len(found) >= 0.9 * len(secrets) and plain == 0
+    clean = pii.redact(docs, finder)
+    assert clean.columns == docs.columns
+    got = {r.doc_id: r for r in clean.collect() if r.doc_id is not None and 0 < r.doc_id < 700}
+    assert got[600].text is None and got[601].text == "" and got[9].text == text[9]
+    assert "[CARD]" in got[2].text and got[2].n_chars == len(got[2].text) and not any(pii.base_spans(r.text or "") for r in got.values())
+    assert pii.find(docs_of([])).count() == 0
+
+
+def test_cover_merges_overlaps():
+    assert pii.cover("abcdefgh", [("email", 1, 4), ("secret", 3, 6), ("ip", 7, 8)]) == "a[EMAIL]g[IP]"

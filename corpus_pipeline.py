@@ -7,29 +7,34 @@ from pyspark.sql import DataFrame, SparkSession
 
 from plantops.llm import packing, pii, quality, simhash, toxicity
 from plantops.llm.common import materialise, table
-from plantops.llm.queries import digest_pieces, tokenizer_path
+from plantops.llm.queries import digest_pieces, shipped, tokenizer_path
 
 
+@shipped
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier does not reject."""
     return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
+@shipped
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
     return quality.keep_good(docs)
 
 
+@shipped
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
     return simhash.keep_representatives(docs)
 
 
+@shipped
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data replaced by its kind."""
     return pii.redact(docs)
 
 
+@shipped
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs all documents into sequences; the pieces with their digests."""
     return digest_pieces(packing.pack_documents(docs, tokenizer_path()))

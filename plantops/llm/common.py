@@ -2,15 +2,32 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+import plantops
 from plantops.session import checkpoint_dir, sub_dir
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each application, so that
+    their Python workers can import it wherever the driver was started."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        root = os.path.dirname(os.path.dirname(os.path.abspath(plantops.__file__)))
+        sc.addPyFile(shutil.make_archive(os.path.join(tempfile.mkdtemp(), "plantops-code"), "zip", root, "plantops"))
+        _shipped.add(sc.applicationId)
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
     """A new path in the cluster's shared folder (``spark.checkpoint.dir``)."""
     return sub_dir(checkpoint_dir(spark), f"plantops-{label}-{uuid.uuid4().hex}")

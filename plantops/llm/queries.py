@@ -3,6 +3,7 @@ with production parameters, and DuckDB SQL where SQL can express one."""
 
 from __future__ import annotations
 
+import functools
 import os
 from collections.abc import Callable
 
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plantops.llm import ann, bpe, packing, pii, quality, quotes, sharding, simhash, toxicity, warc
-from plantops.llm.common import table
+from plantops.llm.common import ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,9 +26,18 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def shipped(fn: Callable) -> Callable:
+    """fn(spark, ...) with this package sent to the executors first."""
+    @functools.wraps(fn)
+    def run(spark: SparkSession, *args):
+        ship(spark)
+        return fn(spark, *args)
+    return run
+
+
 def query(fn: Callable) -> Callable:
-    QUERIES[fn.__name__] = fn
-    return fn
+    QUERIES[fn.__name__] = shipped(fn)
+    return QUERIES[fn.__name__]
 
 
 def digest_pieces(pieces: DataFrame) -> DataFrame:

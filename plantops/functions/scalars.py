@@ -2,8 +2,8 @@
 
 Quantities are summed as ``DECIMAL(21,9)`` (the ERP storage type) and emitted
 as DOUBLE, so totals do not depend on the order in which partial sums meet.
-Rounding of money/qty goes through DECIMAL too (half-even where the ERP's
-``flt`` rounds, half-up where Python ``round`` on a decimal is meant).
+Rounding of money/qty goes through DECIMAL too, half-even as both the ERP's
+``flt`` and Python's ``round`` do.
 """
 
 from __future__ import annotations
@@ -20,9 +20,14 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def qty(x) -> Column:
+    """A quantity as DECIMAL(21,9); text that is no number is NULL."""
+    return _c(x).cast("string").try_cast(QTY)
+
+
 def qty_sum(x) -> Column:
     """SUM of a quantity column, exact (decimal) and emitted as DOUBLE."""
-    return F.sum(_c(x).cast(QTY)).cast("double")
+    return F.sum(_c(x).try_cast(QTY)).cast("double")
 
 
 def excess5(x) -> Column:
@@ -36,15 +41,18 @@ def excess5_sum(x) -> Column:
     return (F.sum(_c(x).cast(QTY)) * F.lit(1.05).cast("decimal(3,2)")).cast("double")
 
 
+def _number(x) -> Column:
+    return F.replace(_c(x).cast("string"), F.lit(","), F.lit("")).try_cast("double")
+
+
 def flt(x, default: float = 0.0) -> Column:
-    """M4: ERP ``flt``: parse a number, NULL/blank/garbage -> 0."""
-    return F.coalesce(_c(x).cast("string").try_cast("double"), F.lit(default))
+    """M4: ERP ``flt``: parse a number (thousands commas go), NULL/blank/garbage -> 0."""
+    return F.coalesce(_number(x), F.lit(default))
 
 
 def cint(x, default: int = 0) -> Column:
-    """M4: ERP ``cint``: parse an integer (truncating), NULL/garbage -> 0."""
-    as_double = _c(x).cast("string").try_cast("double")
-    return F.coalesce(as_double.cast("long"), F.lit(default).cast("long"))
+    """M4: ERP ``cint``: parse an integer (truncating), NULL/garbage/overflow -> 0."""
+    return F.coalesce(_number(x).try_cast("long"), F.lit(default).cast("long"))
 
 
 def round2(x) -> Column:
@@ -67,11 +75,6 @@ def add_days(date, days) -> Column:
     return F.date_add(_c(date).cast("date"), cint(days).cast("int"))
 
 
-def blank_unless(cond: Column, value) -> Column:
-    """M8: a cell shown only when ``cond`` holds; NULL ("") otherwise."""
-    return F.when(cond, _c(value) if not isinstance(value, (int, float)) else F.lit(value))
-
-
 def non_blank(x) -> Column:
     """``["!=", ""]`` on a Data field: NULL and "" both fail."""
     return F.coalesce(_c(x), F.lit("")) != F.lit("")

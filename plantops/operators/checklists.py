@@ -35,6 +35,7 @@ class Checklists:
     headers: DataFrame
     rows: DataFrame
     rejects: DataFrame
+    print_rows: DataFrame  # rows with their header's product and total_qty
 
 
 def template_summary(templates: DataFrame) -> DataFrame:
@@ -55,7 +56,7 @@ def template_summary(templates: DataFrame) -> DataFrame:
 def template_rows(templates: DataFrame) -> DataFrame:
     """Template rows that stay child rows, renumbered 1..k in template order.
     The window runs over the template (configuration, bounded)."""
-    kept = templates.where(~F.col("parameters").isin(fixed.PARAM_LOT, fixed.PARAM_BAGS))
+    kept = templates.where(~F.coalesce("parameters", F.lit("")).isin(fixed.PARAM_LOT, fixed.PARAM_BAGS))
     w = Window.partitionBy("parent").orderBy("idx")
     return kept.select(F.col("parent").alias("_tcl"), F.row_number().over(w).cast("long").alias("idx"),
                        "parameters", "specification", "observation")
@@ -70,12 +71,15 @@ def document_lines(erp: Erp) -> DataFrame:
             .join(sup, F.col("supplier") == F.col("_sup"), "left")
             .join(cust, F.col("customer") == F.col("_cust"), "left")
             .drop("_sup", "_cust", "supplier", "customer"))
-    i = erp.doc_item.select("parent", "idx", "item_code", "item_name", "qty", "batch_no", "lot_no",
+    # names are unique for each doctype only
+    typed = "parenttype" in erp.doc_item.columns
+    i = erp.doc_item.select("parent", *["parenttype"] * typed, "idx", "item_code", "item_name", "qty", "batch_no", "lot_no",
                             "custom_box_no", "custom_supplier_batch_no", "custom_actual_consumed_qty")
     item = erp.item.select(F.col("name").alias("_item"), "custom_checklist", "item_group")
-    return (i.join(d, i["parent"] == d["name"], "inner")
+    on = (i["parent"] == d["name"]) & ((i["parenttype"] == d["doctype"]) if typed else F.lit(True))
+    return (i.join(d, on, "inner")
              .join(item, F.col("item_code") == F.col("_item"), "left")
-             .drop("_item", "parent"))
+             .drop("_item", "parent", "parenttype"))
 
 
 def checklist_transactions(erp: Erp, as_of: dt.date | str, abort_document: bool = False) -> Checklists:
@@ -98,11 +102,11 @@ def checklist_transactions(erp: Erp, as_of: dt.date | str, abort_document: bool
                             F.when(non_blank("custom_checklist"), F.lit("checklist not found"))
                              .otherwise(F.lit("no checklist on item")).alias("reason")))
     if abort_document:
-        first_bad = rejects.groupBy(F.col("grb_nomrn_no_date").alias("_bad_doc")).agg(
+        first_bad = rejects.groupBy(F.col("reference").alias("_bad_type"), F.col("grb_nomrn_no_date").alias("_bad_doc")).agg(
             F.min("line_idx").alias("_first_bad"))
-        known = (known.join(first_bad, F.col("name") == F.col("_bad_doc"), "left")
+        known = (known.join(first_bad, (F.col("name") == F.col("_bad_doc")) & (F.col("doctype") == F.col("_bad_type")), "left")
                       .where(F.col("_first_bad").isNull() | (F.col("idx") < F.col("_first_bad")))
-                      .drop("_bad_doc", "_first_bad"))
+                      .drop("_bad_type", "_bad_doc", "_first_bad"))
 
     dtp = F.col("doctype")
     is_pr, is_dn, is_scr = dtp == fixed.DOCTYPE_PR, dtp == fixed.DOCTYPE_DN, dtp == fixed.DOCTYPE_SCR
@@ -146,8 +150,10 @@ def checklist_transactions(erp: Erp, as_of: dt.date | str, abort_document: bool
         F.when(edits_r & is_pr_r & (p == fixed.PARAM_SOURCE_GRADE), F.col("item_name"))
          .when(edits_r & (p == fixed.PARAM_MATERIAL), F.col("item_group"))
          .otherwise(F.col("specification")).alias("specification"),
-        "observation")
-    return Checklists(headers, rows, rejects)
+        "observation",
+        F.col("item_code").alias("product"),
+        F.when(F.col("doctype") == fixed.DOCTYPE_SCR, F.col("custom_actual_consumed_qty")).otherwise(F.col("qty")).cast("double").alias("total_qty"))
+    return Checklists(headers, rows.drop("product", "total_qty"), rejects, rows)
 
 
 def item_checklist(items: DataFrame, templates: DataFrame) -> DataFrame:
@@ -159,7 +165,7 @@ def item_checklist(items: DataFrame, templates: DataFrame) -> DataFrame:
 
 def docs_with_draft_checklists(docs: DataFrame, checklist_tx: DataFrame) -> DataFrame:
     """Documents that still have an unsubmitted (draft) checklist."""
-    drafts = checklist_tx.where(F.col("docstatus") == 0).select("grb_nomrn_no_date", "reference")
+    drafts = checklist_tx.where(F.col("docstatus") == 0).select("grb_nomrn_no_date", "reference").distinct()
     d = docs.select("name", "doctype")
     return d.join(drafts, (d["name"] == drafts["grb_nomrn_no_date"]) & (d["doctype"] == drafts["reference"]),
                   "left_semi")
@@ -169,9 +175,6 @@ def print_checklist(cl: Checklists) -> DataFrame:
     """Checklist print dataset: header fields + numbered rows.  The
     print template reads ``doc.supplier``, not a field of the checklist, so
     that cell is empty (NULL)."""
-    h = cl.headers.select(*[F.col(k).alias(f"_h_{k}") for k in KEY], "product", "total_qty")
-    r = cl.rows
-    cond = [r[k] == h[f"_h_{k}"] for k in KEY]
-    return r.join(h, cond, "inner").select(
+    return cl.print_rows.select(
         *KEY, "product", F.lit(None).cast("string").alias("supplier"), "total_qty",
         F.col("idx").alias("sr_no"), "parameters", "specification", "observation")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plantops.functions.scalars import qty_sum, slice_from
+from plantops.functions.scalars import QTY, qty, qty_sum, slice_from
 from plantops.operators.ordinal import ordinal
 from plantops.sources import fixed
 
@@ -90,23 +90,24 @@ def batch_backfill(batches: DataFrame, docs: DataFrame, doc_items: DataFrame,
     lines = lines.join(pr, F.col("parent") == F.col("_doc"), "left_semi")
     first = lines.groupBy(F.col("parent").alias("_p"), F.col("item_code").alias("_it")).agg(
         F.min_by(F.struct("custom_supplier_batch_no", "custom_box_no"), F.col("idx")).alias("_m"))
-    b = batches.select("name", "reference_name", "item", "custom_supplier_batch_no", "custom_box_no")
-    out = b.join(first, (F.col("reference_name") == F.col("_p")) & (F.col("item") == F.col("_it")), "left")
+    out = batches.join(first, (F.col("reference_name") == F.col("_p")) & (F.col("item") == F.col("_it")), "left")
     hit = F.col("_p").isNotNull()
-    return out.select(
-        "name", "reference_name", "item",
-        F.when(hit, F.col("_m.custom_supplier_batch_no")).otherwise(F.col("custom_supplier_batch_no"))
-         .alias("custom_supplier_batch_no"),
-        F.when(hit, F.col("_m.custom_box_no")).otherwise(F.col("custom_box_no")).alias("custom_box_no"))
+    return out.withColumns({
+        c: F.when(hit, F.col(f"_m.{c}")).otherwise(F.col(c)) for c in ("custom_supplier_batch_no", "custom_box_no")
+    }).select(*batches.columns)
 
 
 def doc_references(existing: DataFrame, custom: DataFrame) -> DataFrame:
     """The reference child list of each document after validation: the
     custom list replaces the old one when it is non-empty."""
-    cols = ["parent", "idx", "link_doctype", "link_name"]
     replaced = custom.select(F.col("parent").alias("_rp")).distinct()
-    kept = existing.select(*cols).join(replaced, F.col("parent") == F.col("_rp"), "left_anti")
-    return kept.unionByName(custom.select(*cols))
+    kept = existing.join(replaced, F.col("parent") == F.col("_rp"), "left_anti")
+    return kept.unionByName(custom, allowMissingColumns=True)
+
+
+def write_snapshot(table: DataFrame, path: str) -> None:
+    """Writes a whole new table to a new path; an existing path raises."""
+    table.write.mode("errorifexists").parquet(path)
 
 
 def consumed_qty_reconciled(supplied: DataFrame, actual: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -117,7 +118,10 @@ def consumed_qty_reconciled(supplied: DataFrame, actual: DataFrame) -> tuple[Dat
        since the membership list is taken before appending);
     2. then, walking the final actual list in order, the first supplied
        row of each item takes that actual qty -- so the last actual row of
-       an item wins.
+       an item wins, also when it is NULL.
+
+    Rounding is half-even, as Python's; quantities are Data fields, so a text
+    that is no number counts as NULL.
 
     Returns ``(supplied_after, actual_after)``.
     """
@@ -132,10 +136,8 @@ def consumed_qty_reconciled(supplied: DataFrame, actual: DataFrame) -> tuple[Dat
     appended = (appended.join(base, F.col("parent") == F.col("_bp"), "left")
                         .select("parent", (F.coalesce(F.col("_n"), F.lit(0)) + F.col("_k")).cast("long").alias("idx"),
                                 F.col("main_item_code").alias("item"),
-                                F.round(F.col("consumed_qty").cast("decimal(21,9)"), 3)
-                                 .cast("decimal(21,9)").alias("actual_consumed_qty")))
-    actual_after = a.select("parent", "idx", "item",
-                            F.col("actual_consumed_qty").cast("decimal(21,9)").alias("actual_consumed_qty")) \
+                                F.bround(qty("consumed_qty"), 3).cast(QTY).alias("actual_consumed_qty")))
+    actual_after = a.select("parent", "idx", "item", qty("actual_consumed_qty").alias("actual_consumed_qty")) \
                     .unionByName(appended)
 
     last_actual = actual_after.groupBy(F.col("parent").alias("_lp"), F.col("item").alias("_li")).agg(
@@ -147,8 +149,8 @@ def consumed_qty_reconciled(supplied: DataFrame, actual: DataFrame) -> tuple[Dat
                    "left"))
     supplied_after = out.select(
         "parent", "idx", "main_item_code",
-        F.when((F.col("idx") == F.col("_first")) & F.col("_new").isNotNull(), F.col("_new"))
-         .otherwise(F.col("consumed_qty")).cast("double").alias("consumed_qty"))
+        F.when((F.col("idx") == F.col("_first")) & F.col("_lp").isNotNull(), F.col("_new"))
+         .otherwise(qty("consumed_qty")).cast("double").alias("consumed_qty"))
     return supplied_after, actual_after.withColumn("actual_consumed_qty",
                                                    F.col("actual_consumed_qty").cast("double"))
 

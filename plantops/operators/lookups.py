@@ -88,15 +88,17 @@ def spec_enriched(specs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def item_suppliers(items: DataFrame, item_supplier: DataFrame) -> DataFrame:
-    """Suppliers of each item; an item with no supplier rows may use
+    """Suppliers of each item in child order (``position``), duplicates
+    kept; an item with no supplier rows may use
     every supplier.  That fallback is one marker row
     ``(item_code, NULL, all_suppliers=true)`` instead of the item x supplier
     product, which would grow with both tables."""
-    own = item_supplier.select(F.col("parent").alias("item_code"), "supplier").distinct()
+    own = item_supplier.select(F.col("parent").alias("item_code"), F.col("idx").cast("long").alias("position"), "supplier")
     i = items.select(F.col("name").alias("item_code"))
     listed = i.join(own, "item_code", "inner").withColumn("all_suppliers", F.lit(False))
     fallback = (i.join(own.select("item_code"), "item_code", "left_anti")
-                 .select("item_code", F.lit(None).cast(own.schema["supplier"].dataType).alias("supplier"),
+                 .select("item_code", F.lit(None).cast("long").alias("position"),
+                         F.lit(None).cast(own.schema["supplier"].dataType).alias("supplier"),
                          F.lit(True).alias("all_suppliers")))
     return listed.unionByName(fallback)
 

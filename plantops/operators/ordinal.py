@@ -16,14 +16,16 @@ data.  Instead:
 4. join that table (bounded by the partition count, so broadcast is safe)
    back on (partition, key) and add the offset.
 
-The range exchange is shared by both uses (Spark reuses the identical
-exchange), so the data is shuffled once.  The order must be total inside a
-group for the numbering to be deterministic.
+The rows of step 2 are written once to the shared checkpoint folder, and both
+uses read them from there: the bounds of a range exchange come from a sample,
+so running it twice could cut at other places.  The order must be total inside
+a group for the numbering to be deterministic.
 """
 
 from __future__ import annotations
 
 import sys
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from plantops.session import shuffle_partitions
+from plantops.session import checkpoint_dir, shuffle_partitions, sub_dir
 
 try:  # the Arrow pass runs on executors: ship this module by value, so a
     # worker needs numpy/pyarrow but not this package on its path
@@ -106,7 +108,9 @@ def ordinal(df: DataFrame, keys: list[str], order: list, name: str = "idx",
                .sortWithinPartitions(*key_cols, *order_cols)
                .withColumn(_PID, F.spark_partition_id()))
     schema = StructType(srt.schema.fields + [StructField(_RUN, LongType(), False)])
-    runs = srt.mapInArrow(_runs_fn(keys), schema)
+    path = sub_dir(checkpoint_dir(df.sparkSession), f"plantops-ordinal-{uuid.uuid4().hex}")
+    srt.mapInArrow(_runs_fn(keys), schema).write.parquet(path)
+    runs = df.sparkSession.read.schema(schema).parquet(path)
 
     # one row per non-empty partition: its first key, its last key and the
     # length of the last key's run inside it

@@ -41,7 +41,6 @@ def price_revision(item_price: DataFrame, item_default: DataFrame, supplier, pri
     rate = F.col("price_list_rate")
     change = ((F.col("price_list") == price_list) & F.col("_sup_item").isNotNull()
               & rate.isNotNull() & (rate != 0))
-    return p.select(
-        "name", "item_code", "price_list",
-        F.when(change, rate + flt(F.lit(str(amount)))).otherwise(rate).alias("price_list_rate"),
-        F.when(change, as_date(valid_from)).otherwise(F.col("valid_from")).alias("valid_from"))
+    return p.withColumns({
+        "price_list_rate": F.when(change, rate + flt(F.lit(str(amount)))).otherwise(rate),
+        "valid_from": F.when(change, as_date(valid_from)).otherwise(F.col("valid_from"))}).select(*item_price.columns)

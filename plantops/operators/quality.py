@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plantops.functions.scalars import non_blank
+
 
 def dq_unique(table: DataFrame, doctype: str, field: str) -> DataFrame:
     """Q1: values of ``field`` held by more than one row (partial-aggregated
@@ -34,10 +36,10 @@ def dq_domain(table: DataFrame, doctype: str, field: str, domain: DataFrame,
 
 def dq_links(table: DataFrame, doctype: str, field: str, target: DataFrame,
              target_key: str = "name") -> DataFrame:
-    """Q3: non-empty Link values with no target row."""
+    """Q3: non-blank Link values with no target row."""
     v = F.col(field)
     keys = target.select(F.col(target_key).alias("_tk"))
-    return (table.where(v.isNotNull())
+    return (table.where(non_blank(v.cast("string")))
                  .join(keys, v == F.col("_tk"), "left_anti")
                  .select(F.lit(doctype).alias("doctype"), F.lit(field).alias("field"),
                          F.col("name").cast("string").alias("name"), v.cast("string").alias("value")))

@@ -99,11 +99,11 @@ VIEWS: dict[str, str] = {
         FROM (SELECT l_partkey, l_suppkey % 5 AS wh,
                      CAST(SUM(CAST(l_quantity AS DECIMAL(21,9))) AS DOUBLE) AS actual_qty, MAX(l_shipdate) AS modified
               FROM lineitem WHERE l_partkey % 9 <> 0 GROUP BY l_partkey, l_suppkey % 5)""",
-    "v_weekly_production_plan": """SELECT 'WPP-' || CAST(o.o_orderkey AS VARCHAR) AS name, o.o_orderkey AS sales_order,
+    "v_weekly_production_plan": """SELECT 'WPP-' || CAST(o.o_orderkey AS VARCHAR) || '-' || CAST(l.idx AS VARCHAR) AS name, o.o_orderkey AS sales_order,
         o.o_orderpriority AS line,
         CASE WHEN o.o_orderkey % 7 = 0 THEN CAST(-1 AS BIGINT) ELSE l.l_partkey END AS item_name,
         CAST(p.p_size AS VARCHAR) AS tube, '10000' AS capacity_per_day
-        FROM orders o JOIN v_lines l ON l.l_orderkey = o.o_orderkey AND l.idx = 1
+        FROM orders o JOIN v_lines l ON l.l_orderkey = o.o_orderkey
         JOIN part p ON p.p_partkey = l.l_partkey
         WHERE o.o_orderstatus = 'O'""",
     "v_item_price": """SELECT 'IPS-' || CAST(p_partkey AS VARCHAR) AS name, p_partkey AS item_code,
@@ -114,10 +114,10 @@ VIEWS: dict[str, str] = {
     "v_item_default": """SELECT l_partkey AS parent,
         CAST(row_number() OVER (PARTITION BY l_partkey ORDER BY l_suppkey) AS BIGINT) AS idx,
         CASE WHEN l_suppkey % 10 = 9 THEN NULL ELSE l_suppkey END AS default_supplier
-        FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_linenumber = 1)""",
-    "v_item_supplier": """SELECT DISTINCT l.l_partkey AS parent, l.l_suppkey AS supplier
-        FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey
-        WHERE l.l_linenumber = 2 AND p.p_type <> 'LARGE'""",
+        FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)""",
+    "v_item_supplier": """SELECT l_partkey AS parent, CAST(row_number() OVER (PARTITION BY l_partkey ORDER BY l_suppkey) AS BIGINT) AS idx,
+        l_suppkey AS supplier FROM (SELECT DISTINCT l.l_partkey, l.l_suppkey
+        FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey WHERE p.p_type <> 'LARGE')""",
     "v_supplier": "SELECT s_suppkey AS name, s_name AS supplier_name FROM supplier",
     "v_customer": "SELECT c_custkey AS name, c_name AS customer_name FROM customer",
     "v_doc": f"""SELECT 'D-' || CAST(o_orderkey AS VARCHAR) AS name,
@@ -131,7 +131,8 @@ VIEWS: dict[str, str] = {
         'INV-' || CAST(o_orderkey AS VARCHAR) AS custom_invoice_no,
         CAST(o_orderdate AS DATE) + 2 AS custom_invoice_date
         FROM orders""",
-    "v_doc_item": """SELECT 'D-' || CAST(l.l_orderkey AS VARCHAR) AS parent, l.idx, l.l_partkey AS item_code,
+    "v_doc_item": f"""SELECT 'D-' || CAST(l.l_orderkey AS VARCHAR) AS parent, CASE l.l_orderkey % 3 WHEN 0 THEN {_q(fixed.DOCTYPE_PR)}
+        WHEN 1 THEN {_q(fixed.DOCTYPE_DN)} ELSE {_q(fixed.DOCTYPE_SCR)} END AS parenttype, l.idx, l.l_partkey AS item_code,
         p.p_name AS item_name, l.l_quantity AS qty, 'B' || CAST(l.l_suppkey AS VARCHAR) AS batch_no,
         'L' || CAST(l.l_linenumber AS VARCHAR) AS lot_no, l.l_returnflag AS custom_box_no,
         'SB' || CAST(l.l_suppkey AS VARCHAR) AS custom_supplier_batch_no,
@@ -141,7 +142,7 @@ VIEWS: dict[str, str] = {
         CASE WHEN l_orderkey % 5 = 0 THEN NULL ELSE 'D-' || CAST(l_orderkey AS VARCHAR) END AS reference_name,
         CASE WHEN idx = 2 AND l_orderkey % 2 = 0 THEN l_partkey + 1000000000 ELSE l_partkey END AS item,
         'OLD' AS custom_supplier_batch_no, CAST(NULL AS VARCHAR) AS custom_box_no
-        FROM v_lines WHERE l_orderkey % 3 = 0 AND idx <= 2""",
+        FROM v_lines WHERE l_orderkey % 3 = 0""",
     "v_scr_supplied_item": """SELECT 'D-' || CAST(l_orderkey AS VARCHAR) AS parent, idx, l_partkey AS main_item_code,
         CAST(CAST(l_extendedprice AS DECIMAL(15,2)) * CAST(0.001 AS DECIMAL(4,3)) AS DECIMAL(21,9)) AS consumed_qty
         FROM v_lines WHERE l_orderkey % 3 = 2""",
@@ -155,7 +156,7 @@ VIEWS: dict[str, str] = {
     "v_custom_document_reference": """SELECT 'D-' || CAST(l_orderkey AS VARCHAR) AS parent, idx,
         'Purchase Order' AS link_doctype,
         'PUR-ORD-2024-' || CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_suppkey AS VARCHAR) AS link_name
-        FROM v_lines WHERE l_orderkey % 3 = 2 AND l_orderkey % 4 <> 0 AND idx <= 2""",
+        FROM v_lines WHERE l_orderkey % 3 = 2 AND l_orderkey % 4 <> 0""",
     "v_sales_invoice": """SELECT 'SI-' || CAST(o_orderkey AS VARCHAR) AS name, o_custkey AS customer,
         'ADDR-' || CAST(o_custkey AS VARCHAR) AS customer_address,
         CASE WHEN o_orderkey % 4 = 0 THEN 'ADDR-' || CAST(o_custkey + 1 AS VARCHAR)
@@ -177,14 +178,14 @@ VIEWS: dict[str, str] = {
         CASE WHEN p_partkey % 50 = 0 THEN 'PMC-' || CAST(p_partkey - 2 AS VARCHAR)
              ELSE 'PMC-' || CAST(p_partkey AS VARCHAR) END AS pmc_no,
         p_partkey AS product_name, p_partkey AS customer_code
-        FROM part WHERE p_partkey % 2 = 0""",
+        FROM part""",
     "v_pmc_item": f"""SELECT 'PMC-' || CAST(l_partkey AS VARCHAR) AS parent, parentfield,
         CAST(row_number() OVER (PARTITION BY l_partkey, parentfield ORDER BY l_suppkey) AS BIGINT) AS idx,
         l_partkey + l_suppkey AS raw_material_name, 'Supplier#' || CAST(l_suppkey AS VARCHAR) AS supplier_name
         FROM (SELECT DISTINCT l_partkey, l_suppkey, {_SECTIONS_CASE} AS parentfield
-              FROM lineitem WHERE l_linenumber <= 2 AND l_partkey % 2 = 0)""",
+              FROM lineitem)""",
     "v_product_specification": """SELECT 'PS-' || CAST(p_partkey AS VARCHAR) AS name, p_partkey AS item_code,
-        CAST(p_size % 4 AS VARCHAR) AS revision_no FROM part WHERE p_partkey % 3 <> 2""",
+        CAST(p_size % 4 AS VARCHAR) AS revision_no FROM part""",
     "v_checklist_template": f"""SELECT * FROM (VALUES {_TEMPLATE_VALUES})
         AS t(parent, idx, parameters, specification, observation)""",
     "v_solution_type": """SELECT 'SOP-' || n_name AS name,

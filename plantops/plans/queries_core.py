@@ -161,7 +161,7 @@ FROM v_purchase_order_item i JOIN v_purchase_order h ON h.name = i.parent
 GROUP BY h.supplier, i.item_code""")
 def po_qty_by_supplier_item(erp):
     """G1: ordered qty per (supplier, item)."""
-    return Q.po_qty_by_supplier_item(erp.purchase_order, erp.purchase_order_item)
+    return Q.po_qty_by_supplier_item(erp.purchase_order, erp.unnumbered("purchase_order_item"))
 
 
 @register("so_qty_by_customer_item", """
@@ -170,16 +170,16 @@ FROM v_sales_order_item i JOIN v_sales_order h ON h.name = i.parent
 WHERE h.docstatus = 1 GROUP BY h.customer, i.item_code""")
 def so_qty_by_customer_item(erp):
     """Submitted sales qty per (customer, item)."""
-    return Q.so_qty_by_customer_item(erp.sales_order, erp.sales_order_item)
+    return Q.so_qty_by_customer_item(erp.sales_order, erp.unnumbered("sales_order_item"))
 
 
 @register("pending_po", f"SELECT * FROM {_PENDING}")
 def pending_po(erp):
     """Pending PO qty per item."""
-    return Q.pending_po(erp.purchase_order, erp.purchase_order_item)
+    return Q.pending_po(erp.purchase_order, erp.unnumbered("purchase_order_item"))
 
 
 @register("printed_qty", f"SELECT * FROM {_PRINTED}")
 def printed_qty(erp):
     """Qty transferred for manufacture per item."""
-    return Q.printed_qty(erp.stock_entry, erp.stock_entry_detail)
+    return Q.printed_qty(erp.stock_entry, erp.unnumbered("stock_entry_detail"))

@@ -54,7 +54,7 @@ def receipt_details(erp):
 @register("so_items", "SELECT parent AS sales_order, item_code, qty, rate, amount FROM v_sales_order_item")
 def so_items(erp):
     """order lines (item_code, qty, rate, amount)."""
-    return K.so_items(erp.sales_order_item)
+    return K.so_items(erp.unnumbered("sales_order_item"))
 
 
 @register("work_order_item", "SELECT name AS work_order, production_item FROM v_work_order")
@@ -133,10 +133,10 @@ def spec_enriched(erp):
 
 
 @register("item_suppliers", """
-SELECT i.name AS item_code, s.supplier, false AS all_suppliers
-FROM v_item i JOIN (SELECT DISTINCT parent, supplier FROM v_item_supplier) s ON s.parent = i.name
+SELECT i.name AS item_code, s.idx AS position, s.supplier, false AS all_suppliers
+FROM v_item i JOIN v_item_supplier s ON s.parent = i.name
 UNION ALL
-SELECT i.name, CAST(NULL AS BIGINT), true FROM v_item i
+SELECT i.name, CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), true FROM v_item i
 WHERE NOT EXISTS (SELECT 1 FROM v_item_supplier s WHERE s.parent = i.name)""")
 def item_suppliers(erp):
     """Item suppliers with the all-suppliers fallback marker."""
@@ -147,7 +147,7 @@ def item_suppliers(erp):
   FROM v_weekly_production_plan w JOIN v_sales_order_item i ON i.parent = w.sales_order""")
 def plan_item_choices(erp):
     """Item choices of each plan (items of its sales order)."""
-    return K.plan_item_choices(erp.weekly_production_plan, erp.sales_order_item)
+    return K.plan_item_choices(erp.weekly_production_plan, erp.unnumbered("sales_order_item"))
 
 # ---------------------------------------------------------------- pricing
 
@@ -185,7 +185,7 @@ _CL_VIEWS = f"""
 cl_lines AS (SELECT d.name, d.doctype, d.posting_date, s.supplier_name, c.customer_name,
                     i.idx, i.item_code, i.item_name, i.qty, i.batch_no, i.lot_no, i.custom_box_no,
                     i.custom_supplier_batch_no, i.custom_actual_consumed_qty, it.custom_checklist, it.item_group
-             FROM v_doc_item i JOIN v_doc d ON d.name = i.parent
+             FROM v_doc_item i JOIN v_doc d ON d.name = i.parent AND d.doctype = i.parenttype
              LEFT JOIN v_supplier s ON s.name = d.supplier
              LEFT JOIN v_customer c ON c.name = d.customer
              LEFT JOIN v_item it ON it.name = i.item_code),
@@ -222,7 +222,7 @@ cl_rows AS (
               ELSE t.specification END AS specification,
          t.observation
   FROM cl_known l JOIN v_checklist_template t ON t.parent = l.custom_checklist
-  WHERE t.parameters NOT IN ({LOT}, {BAGS}))"""
+  WHERE COALESCE(t.parameters, '') NOT IN ({LOT}, {BAGS}))"""
 
 
 def _cl_sql(body: str) -> str:
@@ -324,7 +324,7 @@ LEFT JOIN (SELECT parent, CAST(SUM(CAST(taxable_value AS DECIMAL(21,9))) AS DOUB
            FROM v_sales_invoice_item GROUP BY parent) tv ON tv.parent = si.name""")
 def print_tax_invoice_charges(erp):
     """Tax invoice charges by account head."""
-    return D.print_tax_invoice_charges(erp.sales_invoice, erp.sales_invoice_item, erp.sales_taxes)
+    return D.print_tax_invoice_charges(erp.sales_invoice, erp.unnumbered("sales_invoice_item"), erp.sales_taxes)
 
 
 @register("batch_backfill", f"""
@@ -360,13 +360,13 @@ d2_actual AS (
   SELECT parent, idx, item, CAST(actual_consumed_qty AS DECIMAL(21,9)) AS q FROM v_scr_actual_consumed
   UNION ALL
   SELECT a.parent, CAST(COALESCE(n.n, 0) + row_number() OVER (PARTITION BY a.parent ORDER BY a.sidx) AS BIGINT),
-         a.main_item_code, CAST(ROUND(a.consumed_qty, 3) AS DECIMAL(21,9))
+         a.main_item_code, CAST(ROUND_EVEN(a.consumed_qty, 3) AS DECIMAL(21,9))
   FROM d2_app a LEFT JOIN d2_n n ON n.parent = a.parent)"""
 
 
 @register("consumed_qty_reconciled", f"""WITH {_D2.strip()}
 SELECT s.parent, s.idx, s.main_item_code,
-       CAST(CASE WHEN s.idx = f.first AND la.q IS NOT NULL THEN la.q ELSE s.consumed_qty END AS DOUBLE) AS consumed_qty
+       CAST(CASE WHEN s.idx = f.first AND la.parent IS NOT NULL THEN la.q ELSE s.consumed_qty END AS DOUBLE) AS consumed_qty
 FROM v_scr_supplied_item s
 JOIN (SELECT parent, main_item_code, MIN(idx) AS first FROM v_scr_supplied_item GROUP BY parent, main_item_code) f
   ON f.parent = s.parent AND f.main_item_code = s.main_item_code
@@ -447,7 +447,7 @@ def dq_domain(erp):
 
 def _link_sql(doctype, field, name_expr, table, target):
     return (f"SELECT {_q(doctype)} AS doctype, {_q(field)} AS field, {name_expr} AS name, "
-            f"CAST({field} AS VARCHAR) AS value FROM {table} t WHERE {field} IS NOT NULL "
+            f"CAST({field} AS VARCHAR) AS value FROM {table} t WHERE COALESCE(CAST({field} AS VARCHAR), '') <> '' "
             f"AND NOT EXISTS (SELECT 1 FROM {target} x WHERE x.name = t.{field})")
 
 

@@ -38,7 +38,7 @@ def production_planning(erp: Erp, as_of: dt.date | str, filters=None) -> DataFra
     items = erp.sales_order_item.select("parent", "idx", "item_code", "item_name", "qty")
     lines = items.join(so, items["parent"] == so["name"], "inner")
 
-    per_order = (items.groupBy("parent")
+    per_order = (items.join(so, items["parent"] == so["name"], "left_semi").groupBy("parent")
                       .agg(F.max("idx").alias("_last"), excess5_sum("qty").alias("_total"))
                       .select(F.col("parent").alias("_p"), "_last", "_total"))
     lines = lines.join(per_order, (lines["parent"] == per_order["_p"]) & (lines["idx"] == per_order["_last"]),
@@ -95,7 +95,7 @@ def weekly_production_plan(erp: Erp, filters=None) -> DataFrame:
     plans = apply_filters(erp.weekly_production_plan, filters).select(
         "sales_order", "line", "item_name", "tube")
     first = first_match(erp.sales_order_item, ["parent", "item_code"], "qty", alias="_q")
-    printed = printed_qty(erp.stock_entry, erp.stock_entry_detail).select(
+    printed = printed_qty(erp.stock_entry, erp.unnumbered("stock_entry_detail")).select(
         F.col("item_code").alias("_pi"), "printed_qty")
     out = (plans.join(first, (plans["sales_order"] == first["parent"]) & (plans["item_name"] == first["item_code"]),
                       "left")
@@ -119,7 +119,7 @@ def daily_production(erp: Erp) -> DataFrame:
     (``!= ""``, so NULL is out too); the operation column is the work
     order's ``transfer_material_against`` (NULL for a dangling order)."""
     se = erp.stock_entry.where(non_blank("work_order")).select("name", "posting_date", "work_order")
-    sed = erp.stock_entry_detail.select("parent", "item_code", "batch_no", "qty")
+    sed = erp.unnumbered("stock_entry_detail").select("parent", "item_code", "batch_no", "qty")
     wo = erp.work_order.select(F.col("name").alias("_wo"), "transfer_material_against")
     out = (sed.join(se, sed["parent"] == se["name"], "inner")
               .join(wo, F.col("work_order") == wo["_wo"], "left"))
@@ -154,7 +154,7 @@ def slug_reconciliation(erp: Erp, item_group: str = fixed.SLUG_GROUP,
     else:
         stock = latest_bin(bins).select("item_code", F.col("actual_qty").alias("_stock"))
     stock = stock.withColumnRenamed("item_code", "_si")
-    pend = pending_po(erp.purchase_order, erp.purchase_order_item,
+    pend = pending_po(erp.purchase_order, erp.unnumbered("purchase_order_item"),
                       only_items=items.select("name")).withColumnRenamed("item_code", "_pi")
     out = (items.join(stock, items["name"] == stock["_si"], "left")
                 .join(pend, items["name"] == pend["_pi"], "left"))

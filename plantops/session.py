@@ -10,6 +10,7 @@ session does not name one, which is the local/test case.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -45,14 +46,17 @@ def get_session(master: str | None = None, app: str = "plantops",
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the cluster.
 
-    Uses ``spark.checkpoint.dir`` when the session names one.  Only when it is
-    unset (local runs, tests) a fresh private folder is created and registered.
+    Uses ``spark.checkpoint.dir`` when the session names one.  When it is
+    unset, a local session (tests) gets a fresh private folder; on a cluster
+    that would not be shared, so it raises.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         configured = spark.sparkContext.getCheckpointDir()
     if configured:
         return configured
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="plantops-ckpt-")
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)

@@ -71,11 +71,17 @@ class Erp:
             self._built[name] = self._builders[name]()
         return self._built[name]
 
+    def unnumbered(self, name: str) -> DataFrame:
+        """A child table for uses that need no ``idx``: sources that must
+        derive ``idx`` name a cheaper builder ``<name>__plain``."""
+        plain = f"{name}__plain"
+        return self[plain] if plain in self._builders else self[name]
+
     def tables(self) -> list[str]:
-        return sorted(self._builders)
+        return sorted(t for t in self._builders if not t.endswith("__plain"))
 
     def with_table(self, name: str, df: DataFrame) -> "Erp":
-        b = dict(self._builders)
+        b = {k: v for k, v in self._builders.items() if k != f"{name}__plain"}
         b[name] = lambda: df
         out = Erp(self.spark, b)
         out._built = {k: v for k, v in self._built.items() if k != name}

@@ -1,11 +1,11 @@
 """ERP tables mapped from the TPC-H-shaped test tables (see FIXTURES.md).
 
-Each mapped table is a plain DataFrame plan over the parquet files; nothing
-is materialised.  Child tables get their ``idx`` from the skew-safe
+Each mapped table is a plain DataFrame plan over the parquet files.  Child tables get their ``idx`` from the skew-safe
 :func:`~plantops.operators.ordinal.ordinal`, in the order
 ``(l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice)``, which
-is total inside an order.  Every builder projects only the columns it needs,
-so parquet scans stay pruned.
+is total inside an order; the numbered lines are made once for each bundle.
+``<table>__plain`` builders leave ``idx`` out, for the queries that only
+filter, join and sum lines: these read the columns they use and number nothing.
 """
 
 from __future__ import annotations
@@ -32,14 +32,18 @@ ORDERS_SCHEMA = ("o_orderkey long, o_custkey long, o_orderstatus string, o_total
                  "o_orderdate timestamp_ntz, o_orderpriority string")
 
 
+def doctype_of(order_key: Column) -> Column:
+    return (F.when(order_key % 3 == 0, fixed.DOCTYPE_PR).when(order_key % 3 == 1, fixed.DOCTYPE_DN)
+             .otherwise(fixed.DOCTYPE_SCR))
+
+
 def doc_from_orders(orders: DataFrame) -> DataFrame:
     """Receipt/delivery document headers from orders (works on a stream too)."""
     ok = F.col("o_orderkey")
     posting = F.to_date("o_orderdate")
     return orders.select(
         F.concat(F.lit("D-"), _s(ok)).alias("name"),
-        F.when(ok % 3 == 0, fixed.DOCTYPE_PR).when(ok % 3 == 1, fixed.DOCTYPE_DN)
-         .otherwise(fixed.DOCTYPE_SCR).alias("doctype"),
+        doctype_of(ok).alias("doctype"),
         (F.col("o_custkey") % 10).alias("supplier"), F.col("o_custkey").alias("customer"),
         posting.alias("posting_date"), _docstatus(F.col("o_orderstatus")).alias("docstatus"),
         F.concat(F.lit("LOT-"), _s(ok)).alias("custom_lot_no"),
@@ -55,9 +59,13 @@ def erp_from_testdata(spark: SparkSession, sf_dir: str) -> Erp:
     def read(t: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{t}.parquet")
 
+    numbered: dict[tuple[str, ...], DataFrame] = {}
+
     def lines(*cols: str) -> DataFrame:
-        need = list(dict.fromkeys(["l_orderkey", *LINE_ORDER, *cols]))
-        return ordinal(read("lineitem").select(*need), ["l_orderkey"], LINE_ORDER, "idx")
+        need = tuple(dict.fromkeys(["l_orderkey", *LINE_ORDER, *cols]))
+        if need not in numbered:
+            numbered[need] = ordinal(read("lineitem").select(*need), ["l_orderkey"], LINE_ORDER, "idx")
+        return numbered[need]
 
     def part(*cols: str) -> DataFrame:
         return read("part").select("p_partkey", *cols)
@@ -186,11 +194,11 @@ def erp_from_testdata(spark: SparkSession, sf_dir: str) -> Erp:
 
     def weekly_production_plan() -> DataFrame:
         o = read("orders").where(F.col("o_orderstatus") == "O").select("o_orderkey", "o_orderpriority")
-        first = lines().where(F.col("idx") == 1).select("l_orderkey", "l_partkey")
+        line = lines().select("l_orderkey", "l_partkey", "idx")
         ok = F.col("o_orderkey")
-        return (o.join(first, ok == F.col("l_orderkey"))
+        return (o.join(line, ok == F.col("l_orderkey"))
                  .join(part("p_size"), F.col("l_partkey") == F.col("p_partkey"))
-                 .select(F.concat(F.lit("WPP-"), _s(ok)).alias("name"), ok.alias("sales_order"),
+                 .select(F.concat(F.lit("WPP-"), _s(ok), F.lit("-"), _s("idx")).alias("name"), ok.alias("sales_order"),
                          F.col("o_orderpriority").alias("line"),
                          F.when(ok % 7 == 0, F.lit(-1).cast("long")).otherwise(F.col("l_partkey")).alias("item_name"),
                          _s("p_size").alias("tube"), F.lit("10000").alias("capacity_per_day")))
@@ -210,18 +218,20 @@ def erp_from_testdata(spark: SparkSession, sf_dir: str) -> Erp:
     b["item_price"] = item_price
 
     def item_default() -> DataFrame:
-        pairs = (read("lineitem").where(F.col("l_linenumber") == 1)
-                 .select("l_partkey", "l_suppkey").distinct())
+        pairs = read("lineitem").select("l_partkey", "l_suppkey").distinct()
         sk = F.col("l_suppkey")
         return ordinal(pairs, ["l_partkey"], ["l_suppkey"], "idx").select(
             F.col("l_partkey").alias("parent"), "idx",
             F.when(sk % 10 == 9, F.lit(None).cast("long")).otherwise(sk).alias("default_supplier"))
     b["item_default"] = item_default
 
-    b["item_supplier"] = lambda: (
-        read("lineitem").where(F.col("l_linenumber") == 2).select("l_partkey", "l_suppkey")
-        .join(part("p_type").where(F.col("p_type") != "LARGE"), F.col("l_partkey") == F.col("p_partkey"))
-        .select(F.col("l_partkey").alias("parent"), F.col("l_suppkey").alias("supplier")).distinct())
+    def item_supplier() -> DataFrame:
+        pairs = (read("lineitem").select("l_partkey", "l_suppkey")
+                 .join(part("p_type").where(F.col("p_type") != "LARGE"), F.col("l_partkey") == F.col("p_partkey"))
+                 .select("l_partkey", "l_suppkey").distinct())
+        return ordinal(pairs, ["l_partkey"], ["l_suppkey"], "idx").select(
+            F.col("l_partkey").alias("parent"), "idx", F.col("l_suppkey").alias("supplier"))
+    b["item_supplier"] = item_supplier
 
     b["supplier"] = lambda: read("supplier").select(
         F.col("s_suppkey").alias("name"), F.col("s_name").alias("supplier_name"))
@@ -232,7 +242,7 @@ def erp_from_testdata(spark: SparkSession, sf_dir: str) -> Erp:
 
     b["doc_item"] = lambda: lines("l_returnflag").join(
         part("p_name"), F.col("l_partkey") == F.col("p_partkey")).select(
-        F.concat(F.lit("D-"), _s("l_orderkey")).alias("parent"), "idx",
+        F.concat(F.lit("D-"), _s("l_orderkey")).alias("parent"), doctype_of(F.col("l_orderkey")).alias("parenttype"), "idx",
         F.col("l_partkey").alias("item_code"), F.col("p_name").alias("item_name"),
         F.col("l_quantity").alias("qty"),
         F.concat(F.lit("B"), _s("l_suppkey")).alias("batch_no"),
@@ -244,7 +254,7 @@ def erp_from_testdata(spark: SparkSession, sf_dir: str) -> Erp:
 
     def batch() -> DataFrame:
         ok, idx = F.col("l_orderkey"), F.col("idx")
-        return (lines().where((ok % 3 == 0) & (idx <= 2)).select(
+        return (lines().where(ok % 3 == 0).select(
             F.concat(F.lit("BATCH-"), _s(ok), F.lit("-"), _s(idx)).alias("name"),
             F.when(ok % 5 == 0, F.lit(None).cast("string")).otherwise(F.concat(F.lit("D-"), _s(ok))).alias("reference_name"),
             F.when((idx == 2) & (ok % 2 == 0), F.col("l_partkey") + 1000000000).otherwise(F.col("l_partkey")).alias("item"),
@@ -273,7 +283,7 @@ def erp_from_testdata(spark: SparkSession, sf_dir: str) -> Erp:
         F.concat(F.lit("PUR-ORD-2024-"), _s("o_orderkey"), F.lit("-0")).alias("link_name"))
 
     b["custom_document_reference"] = lambda: lines().where(
-        (F.col("l_orderkey") % 3 == 2) & (F.col("l_orderkey") % 4 != 0) & (F.col("idx") <= 2)).select(
+        (F.col("l_orderkey") % 3 == 2) & (F.col("l_orderkey") % 4 != 0)).select(
         F.concat(F.lit("D-"), _s("l_orderkey")).alias("parent"), "idx",
         F.lit("Purchase Order").alias("link_doctype"), po_name().alias("link_name"))
 
@@ -312,7 +322,7 @@ def erp_from_testdata(spark: SparkSession, sf_dir: str) -> Erp:
 
     def pmc() -> DataFrame:
         key = F.col("p_partkey")
-        return read("part").where(key % 2 == 0).select(
+        return read("part").select(
             F.concat(F.lit("PMC-"), _s(key)).alias("name"),
             F.when(key % 50 == 0, F.concat(F.lit("PMC-"), _s(key - 2)))
              .otherwise(F.concat(F.lit("PMC-"), _s(key))).alias("pmc_no"),
@@ -322,8 +332,7 @@ def erp_from_testdata(spark: SparkSession, sf_dir: str) -> Erp:
     def pmc_item() -> DataFrame:
         sk = F.col("l_suppkey")
         sections = F.array(*[F.lit(f) for f, _ in fixed.PMC_SECTIONS])
-        pairs = (read("lineitem").where((F.col("l_linenumber") <= 2) & (F.col("l_partkey") % 2 == 0))
-                 .select("l_partkey", "l_suppkey").distinct()
+        pairs = (read("lineitem").select("l_partkey", "l_suppkey").distinct()
                  .withColumn("parentfield", F.element_at(sections, (sk % len(fixed.PMC_SECTIONS) + 1).cast("int"))))
         return ordinal(pairs, ["l_partkey", "parentfield"], ["l_suppkey"], "idx").select(
             F.concat(F.lit("PMC-"), _s("l_partkey")).alias("parent"), "parentfield", "idx",
@@ -331,7 +340,7 @@ def erp_from_testdata(spark: SparkSession, sf_dir: str) -> Erp:
             F.concat(F.lit("Supplier#"), _s(sk)).alias("supplier_name"))
     b["pmc_item"] = pmc_item
 
-    b["product_specification"] = lambda: read("part").where(F.col("p_partkey") % 3 != 2).select(
+    b["product_specification"] = lambda: read("part").select(
         F.concat(F.lit("PS-"), _s("p_partkey")).alias("name"), F.col("p_partkey").alias("item_code"),
         _s(F.col("p_size") % 4).alias("revision_no"))
 
@@ -345,4 +354,20 @@ def erp_from_testdata(spark: SparkSession, sf_dir: str) -> Erp:
              .otherwise(F.lit(None).cast("string")).alias("department"))
     b["solution_type"] = solution_type
 
+    def raw(*cols: str) -> DataFrame:
+        return read("lineitem").select("l_orderkey", "l_partkey", *cols)
+
+    def in_part(line: DataFrame, *cols: str) -> DataFrame:
+        return line.join(part(*cols), F.col("l_partkey") == F.col("p_partkey"))
+
+    b["sales_order_item__plain"] = lambda: in_part(raw("l_quantity", "l_extendedprice"), "p_retailprice").select(
+        F.col("l_orderkey").alias("parent"), F.col("l_partkey").alias("item_code"), F.col("l_quantity").alias("qty"),
+        F.col("p_retailprice").alias("rate"), F.col("l_extendedprice").alias("amount"))
+    b["purchase_order_item__plain"] = lambda: in_part(raw("l_suppkey", "l_quantity")).select(
+        po_name().alias("parent"), F.col("l_partkey").alias("item_code"), F.col("l_quantity").alias("qty"))
+    b["stock_entry_detail__plain"] = lambda: raw("l_suppkey", "l_quantity").select(
+        F.col("l_orderkey").alias("parent"), F.col("l_partkey").alias("item_code"), F.col("l_quantity").alias("qty"),
+        F.concat(F.lit("B"), _s("l_suppkey")).alias("batch_no"))
+    b["sales_invoice_item__plain"] = lambda: in_part(raw("l_extendedprice")).select(
+        F.concat(F.lit("SI-"), _s("l_orderkey")).alias("parent"), F.col("l_extendedprice").alias("taxable_value"))
     return Erp(spark, b)

@@ -24,6 +24,7 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -39,15 +40,18 @@ SERIES_PREFIX = "CL/24-25/"
 def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.parquet(path)
-    except Exception:  # nothing written yet
-        return None
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):  # nothing written yet
+            return None
+        raise
 
 
 def process_batch(erp: Erp, docs: DataFrame, batch_id: int, sink: str, as_of) -> None:
     """One micro-batch: checklists for ``docs`` appended to ``sink``."""
     spark = docs.sparkSession
     hdr_path, row_path = sub_dir(sink, "headers"), sub_dir(sink, "rows")
-    cl = checklist_transactions(erp.with_table("doc", docs), as_of)
+    once = docs.dropDuplicates(["doctype", "name"])  # a document may be delivered twice
+    cl = checklist_transactions(erp.with_table("doc", once), as_of)
 
     existing = _read_or_none(spark, hdr_path)
     headers = cl.headers

@@ -41,3 +41,14 @@ def test_global_dense_numbering(spark):
 def test_more_partitions_than_rows(spark):
     df = spark.createDataFrame([(1, 2), (1, 1), (2, 5)], "k long, o long")
     _check(df, ["k"], ["o"], 16)
+
+
+def test_numbering_does_not_rest_on_exchange_reuse(spark):
+    hot = spark.range(4000).selectExpr("IF(id % 3 = 0, 'hot', concat('k', id % 11)) AS k", "id AS o")
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        got = ordinal(hot, ["k"], ["o"], "n", partitions=13)
+        want = got.selectExpr("k", "o", "n", "row_number() OVER (PARTITION BY k ORDER BY o) AS w")
+        assert want.where("n <> w").count() == 0 and got.count() == 4000
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")

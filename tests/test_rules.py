@@ -202,10 +202,10 @@ def test_checklist_rejects_and_abort(receipts):
 
 def test_item_suppliers_fallback_marker(spark):
     items = spark.createDataFrame([(1,), (2,)], "name long")
-    sup = spark.createDataFrame([(1, 7), (1, 8), (1, 7)], "parent long, supplier long")
-    got = sorted(K.item_suppliers(items, sup).collect(), key=lambda r: (r.item_code, r.supplier or 0))
-    assert [(r.item_code, r.supplier, r.all_suppliers) for r in got] == [(1, 7, False), (1, 8, False),
-                                                                         (2, None, True)]
+    sup = spark.createDataFrame([(1, 1, 8), (1, 2, 7), (1, 3, 8)], "parent long, idx long, supplier long")
+    got = sorted(K.item_suppliers(items, sup).collect(), key=lambda r: (r.item_code, r.position or 0))
+    assert [(r.item_code, r.position, r.supplier, r.all_suppliers) for r in got] == [
+        (1, 1, 8, False), (1, 2, 7, False), (1, 3, 8, False), (2, None, None, True)]
 
 
 def test_batch_backfill_first_match(spark):
@@ -242,3 +242,42 @@ def test_doc_references_replace(spark):
     new = spark.createDataFrame([("A", 1, "PO", "n1"), ("A", 2, "PO", "n2")], cols)
     got = sorted(tuple(r) for r in D.doc_references(old, new).collect())
     assert got == [("A", 1, "PO", "n1"), ("A", 2, "PO", "n2"), ("B", 1, "PO", "y")]
+
+
+def test_consumed_qty_text_null_and_half_even(spark):
+    from plantops.operators import documents as D
+    supplied = spark.createDataFrame([("S", 1, 7, "1.0005"), ("S", 2, 8, "2.5"), ("S", 3, 9, "")],
+                                     "parent string, idx long, main_item_code long, consumed_qty string")
+    actual = spark.createDataFrame([("S", 1, 8, "3"), ("S", 2, 8, "")],
+                                   "parent string, idx long, item long, actual_consumed_qty string")
+    after, lst = D.consumed_qty_reconciled(supplied, actual)
+    assert {(r.idx, r.item): r.actual_consumed_qty for r in lst.collect()} == {(1, 8): 3.0, (2, 8): None, (3, 7): 1.0, (4, 9): None}
+    assert {r.idx: r.consumed_qty for r in after.collect()} == {1: 1.0, 2: None, 3: None}
+
+
+def test_numbers_with_commas_and_overflow(spark):
+    from plantops.functions.scalars import cint, flt
+    r = spark.createDataFrame([("1,234.5", "1e30")], "a string, b string").select(flt("a").alias("a"), cint("b").alias("b"), cint("a").alias("c")).first()
+    assert (r.a, r.b, r.c) == (1234.5, 0, 1234)
+
+
+def test_snapshots_keep_other_columns(spark, tmp_path):
+    from plantops.operators import documents as D
+    from plantops.operators import pricing as P
+    price = spark.createDataFrame([("P1", 1, "L", 10.0, None, "x")], "name string, item_code long, price_list string, price_list_rate double, valid_from date, note string")
+    default = spark.createDataFrame([(1, 1, 3)], "parent long, idx long, default_supplier long")
+    out = P.price_revision(price, default, 3, "L", "1,000", "2024-01-01")
+    D.write_snapshot(out, str(tmp_path / "new"))
+    got = spark.read.parquet(str(tmp_path / "new"))
+    assert got.columns == price.columns and got.first().price_list_rate == 1010.0 and got.first().note == "x"
+
+
+def test_blank_links_and_null_parameters(spark):
+    from plantops.operators import checklists as C
+    from plantops.operators import quality as QA
+    t = spark.createDataFrame([("a", ""), ("b", None), ("c", "gone"), ("d", "here")], "name string, link string")
+    target = spark.createDataFrame([("here",)], "name string")
+    assert [r.name for r in QA.dq_links(t, "T", "link", target).collect()] == ["c"]
+    rows = spark.createDataFrame([("T", 1, None, "s", "o"), ("T", 2, "Material", "s", "o")],
+                                 "parent string, idx long, parameters string, specification string, observation string")
+    assert sorted(r.idx for r in C.template_rows(rows).collect()) == [1, 2]

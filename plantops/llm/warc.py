@@ -182,7 +182,9 @@ def read_pages(archives: DataFrame, split_bytes: int = 8 << 20) -> DataFrame:
     digest of a response is computed from the payload that was read; one that
     differs from its header raises."""
     ranges = archives.select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))).alias("start"))
-    ranges = ranges.repartition("path", "start")
+    # a set number of partitions: by the few bytes of these rows they would be merged into one task
+    n = archives.agg(F.sum(F.ceil(F.col("bytes") / split_bytes))).first()[0] or 1
+    ranges = ranges.repartition(int(n), "path", "start")
     schema = "page_id bigint, url string, payload string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
     names = [x.split()[0] for x in schema.split(", ")]
     kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]

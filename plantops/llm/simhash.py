@@ -201,14 +201,15 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, crowded: int = 256) ->
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """(node, root): the smallest node that each node of ``edges`` (a, b)
-    reaches.  Each step is an aggregation with a partial sum on each task and
-    a join on its key, which AQE splits where a node has many neighbours."""
+    reaches.  Each step is an aggregation with a partial minimum on each task,
+    whose result is written, and a join with it on the node: a join of two
+    shuffles, which AQE splits where a node has many neighbours."""
     def canonical(df):
         return (df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
 
     def star(pairs, smaller_only):
         both = pairs if smaller_only else pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), label)
         joined = both.join(least, "a")
         if smaller_only:   # what a node links below it, and itself, goes to the least of them
             return joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
@@ -240,7 +241,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(nodes, max_bits))
     member = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = member.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = materialise(member.groupBy("root").agg(F.min("least").alias("component_id")), "components")
     of = member.select("fp", "root").join(named, "root").select(F.col("fp").alias("__fp"), "component_id")
     return (fps.join(of, F.col("fp") == F.col("__fp"))
                .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))

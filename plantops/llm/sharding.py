@@ -57,7 +57,8 @@ def kd_shards(docs: DataFrame, shards: int = 24, part_of_shard: float = 0.125, b
         F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"),
         (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("h")), "sizes")
 
-    texts = _points(rows, shards, part_of_shard)
+    # written, so that the join below is one of two plain shuffles, which AQE splits at a hot text
+    texts = materialise(_points(rows, shards, part_of_shard), "texts")
     lo, hi = texts.agg(F.min("first_id"), F.max("first_id")).first()
     lo, hi = lo or 0, max(hi or 0, (lo or 0) + 1)
     part = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.col("parts"))

@@ -68,6 +68,7 @@ def write_pages(pages: DataFrame, folder: str, revisit_from: int = 1000) -> Data
     src = src.withColumn("digest", F.sha1(F.col("html").cast("binary")))
     long_enough = (F.octet_length("html") >= revisit_from) & F.col("page_id").isNotNull()
     first = (src.where(long_enough).groupBy(F.col("digest").alias("__digest")).agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    first = materialise(first, "keepers")  # then the join is one of two plain shuffles, which AQE splits at a hot payload
     with_keeper = src.join(first, F.col("digest") == F.col("__digest"), "left").select(
         "page_id", "url", "html", "digest", F.when(long_enough & (F.col("keeper") > F.col("page_id")), F.col("keeper")).alias("refers_to"))
 

@@ -89,8 +89,9 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     quotes = parsed.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode(F.arrays_zip("level", "digest")).alias("q")).select("conv_id", "turn", "q.level", F.col("q.digest").alias("h")).distinct()
     # only what somebody quotes needs an index; a semi join keeps the rest out
     said = parsed.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode("own").alias("h")).join(quotes.select("h").distinct(), "h", "left_semi")
-    here = said.groupBy("h", "conv_id").agg(F.min("turn").alias("turn_here"))
-    first = said.groupBy(F.col("h")).agg(F.min(F.struct("conv_id", "turn")).alias("f")).select("h", F.col("f.conv_id").alias("conv_first"), F.col("f.turn").alias("turn_first"))
+    # written, so that the joins with them are of two plain shuffles, which AQE splits at a hot passage
+    here = materialise(said.groupBy("h", "conv_id").agg(F.min("turn").alias("turn_here")), "said-here")
+    first = materialise(said.groupBy("h").agg(F.min(F.struct("conv_id", "turn")).alias("f")).select("h", F.col("f.conv_id").alias("conv_first"), F.col("f.turn").alias("turn_first")), "said-first")
     found = (quotes.join(here, ["h", "conv_id"], "left").join(first, "h", "left")
              .withColumn("near", F.when(F.col("turn_here") < F.col("turn"), F.struct(F.col("conv_id").alias("c"), F.col("turn_here").alias("t"))))
              .withColumn("far", F.when(F.col("conv_first") != F.col("conv_id"), F.struct(F.col("conv_first").alias("c"), F.col("turn_first").alias("t"))))

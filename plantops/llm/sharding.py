@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from plantops.llm.common import materialise, number_within, whole_text
 
 DIMS = ("source", "lang", "size", "id")
+SAME = ("h", "text_crc32", "size")
 
 
 def _unit(h: Column) -> Column:
@@ -30,13 +31,12 @@ def _unit(h: Column) -> Column:
     return (F.shiftrightunsigned(h, 11).cast("double")) / float(1 << 53)
 
 
-def _points(rows: DataFrame, shards: int, part_of_shard: float) -> DataFrame:
-    """One row for each text: its copies, its metadata (the least of its
-    copies') and the number of points that its bytes are split into."""
-    total = F.lit(rows.agg(F.sum("size")).first()[0] or 0)
-    texts = rows.groupBy("h", "text_crc32", "size").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id"), F.min("source").alias("source"), F.min("lang").alias("lang"))
-    most = F.greatest(total * part_of_shard / shards, F.lit(1.0))
-    return texts.withColumn("parts", F.greatest(F.ceil(F.col("copies") * F.col("size") / most), F.lit(1)))
+def _heavy(rows: DataFrame, total: int, shards: int, part_of_shard: float) -> DataFrame:
+    """The texts whose copies weigh more than ``part_of_shard`` of a shard, with
+    the number of points that each is split into.  Their weights add up to the
+    corpus at most, so they are fewer than shards / part_of_shard."""
+    most = max(total * part_of_shard / shards, 1.0)
+    return rows.groupBy(*SAME).agg(F.sum("size").alias("w")).where(F.col("w") > most).select(*SAME, F.ceil(F.col("w") / most).alias("parts"))
 
 
 def _quantised(c: Column) -> Column:
@@ -57,33 +57,30 @@ def kd_shards(docs: DataFrame, shards: int = 24, part_of_shard: float = 0.125, b
         F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"),
         (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("h")), "sizes")
 
-    # written, so that the join below is one of two plain shuffles, which AQE splits at a hot text
-    texts = materialise(_points(rows, shards, part_of_shard), "texts")
-    lo, hi = texts.agg(F.min("first_id"), F.max("first_id")).first()
-    lo, hi = lo or 0, max(hi or 0, (lo or 0) + 1)
-    part = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.col("parts"))
-    same = ["h", "text_crc32", "size"]
-    known = texts.select(*same, "parts", "first_id", F.col("source").alias("s"), F.col("lang").alias("l"))
-    placed = rows.select("doc_id", *same).join(known, same).withColumn("part", part)
-
-    weights = placed.groupBy(*same, "part").agg(F.sum("size").alias("w"), F.first("first_id").alias("first_id"), F.first("s").alias("s"), F.first("l").alias("l"))
-    jitter = _unit(F.xxhash64(F.lit(5), *same, "part"))
+    seen = rows.agg(F.sum("size").alias("total"), F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
+    lo, hi = seen["lo"] or 0, max(seen["hi"] or 0, (seen["lo"] or 0) + 1)
+    heavy = materialise(_heavy(rows, seen["total"] or 0, shards, part_of_shard), "heavy-texts")
+    # fewer than shards / part_of_shard rows: a proven bound for the broadcast
+    placed = rows.join(F.broadcast(heavy), [*SAME], "left").withColumn("part", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.coalesce("parts", F.lit(1))))
+
+    # sums and least values are taken on each task first, so copies of one text do not meet as rows
+    weights = placed.groupBy(*SAME, "part").agg(F.sum("size").alias("w"), F.min("doc_id").alias("first_id"), F.min("source").alias("s"), F.min("lang").alias("l"))
+    jitter = _unit(F.xxhash64(F.lit(5), *SAME, "part"))
     x = {
         "source": (_quantised(F.col("s")) + jitter) / 4096,
         "lang": (_quantised(F.col("l")) + jitter) / 4096,
         "size": F.log2(F.col("size") + jitter) / 40,
         "id": (F.coalesce(F.col("first_id") - lo, F.lit(0)).cast("double") / float(hi - lo) * (1 - 2.0 ** -20) + jitter * 2.0 ** -20),
     }
-    points = materialise(weights.select(*same, "part", "w", *[x[d].alias(f"x_{d}") for d in DIMS]), "points")
+    points = materialise(weights.select(*SAME, "part", "w", *[x[d].alias(f"x_{d}") for d in DIMS]), "points")
     spread = points.agg(*[F.min(f"x_{d}").alias(f"lo_{d}") for d in DIMS], *[F.max(f"x_{d}").alias(f"hi_{d}") for d in DIMS]).first()
     scale = {d: max((spread[f"hi_{d}"] or 0) - (spread[f"lo_{d}"] or 0), 1e-12) for d in DIMS}
 
     leaf = _grow(points, shards, scale, bins, passes) if shards > 1 else F.lit(0)
-    shard_of = points.select(*[F.col(c).alias(f"__{c}") for c in (*same, "part")], leaf.alias("shard"))
-    on = [F.col(c) == F.col(f"__{c}") for c in (*same, "part")]
+    shard_of = points.select(*[F.col(c).alias(f"__{c}") for c in (*SAME, "part")], leaf.alias("shard"))
+    on = [F.col(c) == F.col(f"__{c}") for c in (*SAME, "part")]
     sharded = placed.join(shard_of, on).select("doc_id", "size", "text_crc32", "h", "shard")
-    n = rows.count()
-    buckets = max(1, n // (shards * 50_000))
+    buckets = max(1, seen["n"] // (shards * 50_000))
     numbered = number_within(sharded, "shard", F.pmod(F.xxhash64("doc_id", "h"), F.lit(buckets)), [F.col("doc_id"), F.col("h")], "slot")
     return numbered.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
 

@@ -35,14 +35,16 @@ def print_purchase_order(po: DataFrame, po_items: DataFrame, items: DataFrame,
 def print_tax_invoice_lines(si: DataFrame, si_items: DataFrame, so: DataFrame, items: DataFrame,
                             address: DataFrame) -> DataFrame:
     """One row per invoice line with the customer PO (from the line's
-    sales order), HSN code, and billing/shipping GSTIN (two address
-    lookups)."""
-    h = si.select("name", "customer", "customer_address", "shipping_address_name", "posting_date")
+    sales order), HSN code, billing/shipping GSTIN (two address lookups) and
+    the header's due date, IRN, transport block and remarks."""
+    cells = ["due_date", "irn", "transporter", "vehicle_no", "lr_no", "lr_date", "remarks"]
+    h = si.select("name", "customer", "customer_address", "shipping_address_name", "posting_date", *cells)
     bill = address.select(F.col("name").alias("_ba"), F.col("gstin").alias("billing_gstin"))
     ship = address.select(F.col("name").alias("_sa"), F.col("gstin").alias("shipping_gstin"))
     h = (h.join(bill, F.col("customer_address") == F.col("_ba"), "left")
           .join(ship, F.col("shipping_address_name") == F.col("_sa"), "left"))
-    i = si_items.select("parent", "idx", "item_code", "sales_order", "qty", "rate", "taxable_value")
+    i = si_items.select("parent", "idx", "item_code", "sales_order", "custom_no_of_pkgs", "custom_average_contents_per",
+                        "qty", "rate", "taxable_value")
     o = so.select(F.col("name").alias("_so"), "po_no", "po_date")
     it = items.select(F.col("name").alias("_i"), "gst_hsn_code")
     return (i.join(h, i["parent"] == h["name"], "inner")
@@ -50,34 +52,27 @@ def print_tax_invoice_lines(si: DataFrame, si_items: DataFrame, so: DataFrame, i
              .join(it, F.col("item_code") == F.col("_i"), "left")
              .select(F.col("name").alias("invoice"), "posting_date", "customer", "billing_gstin",
                      "shipping_gstin", F.col("idx").alias("sr_no"), "item_code", "po_no", "po_date",
-                     "gst_hsn_code", "qty", "rate", "taxable_value"))
-
-
-def print_tax_invoice_charges(si: DataFrame, si_items: DataFrame, taxes: DataFrame) -> DataFrame:
-    """Per invoice, the charge amounts by account head (packing,
-    insurance, freight; several rows of one head are summed).  The template
-    prints the taxable total and total taxes only inside the freight branch,
-    so those two cells are NULL when the invoice has no freight row."""
-    heads = [fixed.TAX_PACKING, fixed.TAX_INSURANCE, fixed.TAX_FREIGHT]
-    t = taxes.select("parent", "account_head", F.col("base_tax_amount").cast("decimal(21,9)").alias("amt"))
-    pivot = (t.groupBy("parent").pivot("account_head", heads).agg(F.sum("amt"))
-              .select("parent", *[F.col(f"`{h}`").alias(a) for h, a in
-                                  zip(heads, ["_packing", "_insurance", "_freight"])]))
-    all_tax = t.groupBy(F.col("parent").alias("_tp")).agg(F.sum("amt").alias("_tax_total"),
-                                                         F.max((F.col("account_head") == fixed.TAX_FREIGHT)
-                                                               .cast("int")).alias("_has_freight"))
-    totals = si_items.groupBy(F.col("parent").alias("_ip")).agg(qty_sum("taxable_value").alias("_total"))
-    has_f = F.col("_has_freight") == 1
-    return (si.select("name")
-              .join(pivot, F.col("name") == F.col("parent"), "left")
-              .join(all_tax, F.col("name") == F.col("_tp"), "left")
-              .join(totals, F.col("name") == F.col("_ip"), "left")
-              .select(F.col("name").alias("invoice"),
-                      F.col("_packing").cast("double").alias("packing_charges"),
-                      F.col("_insurance").cast("double").alias("insurance"),
-                      F.col("_freight").cast("double").alias("freight_and_forwarding"),
-                      F.when(has_f, F.col("_total")).alias("total_taxable_value"),
-                      F.when(has_f, F.col("_tax_total").cast("double")).alias("total_taxes_and_charges")))
+                     "gst_hsn_code", F.col("custom_no_of_pkgs").alias("no_of_pkgs"),
+                     F.col("custom_average_contents_per").alias("average_contents_per"), "qty", "rate", "taxable_value", *cells))
+
+
+def print_tax_invoice_charges(si: DataFrame, taxes: DataFrame) -> DataFrame:
+    """Per invoice, the header totals and the charge amounts by account
+    head (packing, insurance, freight; several rows of one head are summed).
+    The template prints the taxable total (the header's ``total``) and the
+    header's total taxes only inside the freight branch, so those two cells
+    are NULL when the invoice has no freight row."""
+    heads = {"packing_charges": fixed.TAX_PACKING, "insurance": fixed.TAX_INSURANCE, "freight_and_forwarding": fixed.TAX_FREIGHT}
+    head, amount = F.col("account_head"), F.col("base_tax_amount")
+    charges = (taxes.where(head.isin(*heads.values())).groupBy("parent").agg(
+        *[qty_sum(F.when(head == h, amount)).alias(c) for c, h in heads.items()],
+        F.max((head == fixed.TAX_FREIGHT).cast("int")).alias("_freight")))
+    printed = F.col("_freight") == 1
+    return (si.select("name", "total_qty", "total", "total_taxes_and_charges", "grand_total")
+              .join(charges, F.col("name") == F.col("parent"), "left")
+              .select(F.col("name").alias("invoice"), *heads, F.when(printed, F.col("total")).alias("total_taxable_value"),
+                      F.when(printed, F.col("total_taxes_and_charges")).alias("total_taxes_and_charges"),
+                      "total_qty", "total", "grand_total"))
 
 
 def batch_backfill(batches: DataFrame, docs: DataFrame, doc_items: DataFrame,

@@ -161,10 +161,18 @@ VIEWS: dict[str, str] = {
         'ADDR-' || CAST(o_custkey AS VARCHAR) AS customer_address,
         CASE WHEN o_orderkey % 4 = 0 THEN 'ADDR-' || CAST(o_custkey + 1 AS VARCHAR)
              ELSE 'ADDR-' || CAST(o_custkey AS VARCHAR) END AS shipping_address_name,
-        CAST(o_orderdate AS DATE) AS posting_date
+        CAST(o_orderdate AS DATE) AS posting_date, CAST(o_orderdate AS DATE) + 45 AS due_date,
+        CASE WHEN o_orderkey % 8 <> 0 THEN 'IRN-' || CAST(o_orderkey AS VARCHAR) END AS irn,
+        'Transporter ' || CAST(o_custkey % 7 AS VARCHAR) AS transporter,
+        'GJ-21-' || CAST(o_orderkey % 1000 AS VARCHAR) AS vehicle_no, 'LR-' || CAST(o_orderkey AS VARCHAR) AS lr_no,
+        CAST(o_orderdate AS DATE) + 2 AS lr_date, o_orderpriority AS remarks,
+        CAST(o_orderkey % 500 AS DOUBLE) AS total_qty, o_totalprice AS total,
+        CAST(o_orderkey % 1000 AS DOUBLE) AS total_taxes_and_charges,
+        o_totalprice + CAST(o_orderkey % 1000 AS DOUBLE) AS grand_total
         FROM orders""",
     "v_sales_invoice_item": """SELECT 'SI-' || CAST(l.l_orderkey AS VARCHAR) AS parent, l.idx, l.l_partkey AS item_code,
-        l.l_orderkey AS sales_order, l.l_quantity AS qty, p.p_retailprice AS rate, l.l_extendedprice AS taxable_value
+        l.l_orderkey AS sales_order, l.l_suppkey % 12 AS custom_no_of_pkgs, l.l_partkey % 250 AS custom_average_contents_per,
+        l.l_quantity AS qty, p.p_retailprice AS rate, l.l_extendedprice AS taxable_value
         FROM v_lines l JOIN part p ON l.l_partkey = p.p_partkey""",
     "v_sales_taxes": f"""SELECT 'SI-' || CAST(l_orderkey AS VARCHAR) AS parent,
         CASE l_returnflag WHEN 'R' THEN {_q(fixed.TAX_PACKING)} WHEN 'A' THEN {_q(fixed.TAX_INSURANCE)}
@@ -177,8 +185,13 @@ VIEWS: dict[str, str] = {
     "v_pmc": """SELECT 'PMC-' || CAST(p_partkey AS VARCHAR) AS name,
         CASE WHEN p_partkey % 50 = 0 THEN 'PMC-' || CAST(p_partkey - 2 AS VARCHAR)
              ELSE 'PMC-' || CAST(p_partkey AS VARCHAR) END AS pmc_no,
-        p_partkey AS product_name, p_partkey AS customer_code
+        p_partkey AS product_name, p_partkey AS customer_code,
+        CASE WHEN p_partkey % 13 <> 0 THEN CASE WHEN p_partkey % 17 = 0 THEN p_partkey + 1000000000 ELSE p_partkey END END AS sales_order
         FROM part""",
+    "v_checklist": """SELECT 'CHK-' || CAST(p_partkey AS VARCHAR) AS name,
+        'Checklist ' || CAST(CASE WHEN p_partkey % 40 = 0 THEN p_partkey - 1 ELSE p_partkey END AS VARCHAR) AS checklist_name FROM part""",
+    "v_workstation": "SELECT DISTINCT o_orderpriority AS name FROM orders WHERE o_orderkey % 5 <> 0",
+    "v_employee": "SELECT 'EMP-' || CAST(s_suppkey AS VARCHAR) AS name FROM supplier WHERE s_suppkey % 3 <> 0",
     "v_pmc_item": f"""SELECT 'PMC-' || CAST(l_partkey AS VARCHAR) AS parent, parentfield,
         CAST(row_number() OVER (PARTITION BY l_partkey, parentfield ORDER BY l_suppkey) AS BIGINT) AS idx,
         l_partkey + l_suppkey AS raw_material_name, 'Supplier#' || CAST(l_suppkey AS VARCHAR) AS supplier_name
@@ -189,7 +202,8 @@ VIEWS: dict[str, str] = {
     "v_checklist_template": f"""SELECT * FROM (VALUES {_TEMPLATE_VALUES})
         AS t(parent, idx, parameters, specification, observation)""",
     "v_solution_type": """SELECT 'SOP-' || n_name AS name,
-        CASE n_regionkey WHEN 0 THEN 'QA' WHEN 1 THEN 'QC' WHEN 2 THEN '' WHEN 3 THEN 'QA/QC' END AS department
+        CASE n_regionkey WHEN 0 THEN 'QA' WHEN 1 THEN 'QC' WHEN 2 THEN '' WHEN 3 THEN 'QA/QC' END AS department,
+        CASE WHEN n_regionkey <> 4 THEN 'EMP-' || CAST(n_nationkey AS VARCHAR) END AS prepared_by
         FROM nation""",
 }
 

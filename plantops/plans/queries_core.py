@@ -5,7 +5,7 @@ from __future__ import annotations
 from plantops.operators import lines as L
 from plantops.operators import quantities as Q
 from plantops.plans import reports as R
-from plantops.plans.registry import AS_OF, AS_OF_SQL, SLUG_GROUP_TEST, register
+from plantops.plans.registry import AS_OF, AS_OF_SQL, ORACLES, SLUG_GROUP_TEST, register
 
 _EXCESS_TOTAL = "CAST(SUM(CAST(qty AS DECIMAL(21,9))) * CAST(1.05 AS DECIMAL(3,2)) AS DOUBLE)"
 
@@ -111,6 +111,35 @@ def report_totals(erp):
     return R.report_totals(R.production_planning(erp, AS_OF), ["po_qty", "excess_add_5"])
 
 
+def _totals(of: str, columns: list[str]) -> str:
+    """The total row over the oracle of a report."""
+    sums = ", ".join(f"CAST(SUM(CAST({c} AS DECIMAL(38,9))) AS DOUBLE) AS total_{c}" for c in columns)
+    return f"SELECT COUNT(*) AS row_count, {sums} FROM ({ORACLES[of]}) t"
+
+
+_WEEKLY_SUMS = ["planned", "printed", "over_excess_production"]
+_DAILY_SUMS = ["production_quantity"]
+_SLUG_SUMS = ["stock", "pending_po", "total", "minimum_stock"]
+
+
+@register("weekly_plan_totals", _totals("weekly_production_plan", _WEEKLY_SUMS))
+def weekly_plan_totals(erp):
+    """Total row of the weekly production plan."""
+    return R.report_totals(R.weekly_production_plan(erp), _WEEKLY_SUMS)
+
+
+@register("daily_production_totals", _totals("daily_production", _DAILY_SUMS))
+def daily_production_totals(erp):
+    """Total row of the daily production report."""
+    return R.report_totals(R.daily_production(erp), _DAILY_SUMS)
+
+
+@register("slug_totals", _totals("slug_reconciliation", _SLUG_SUMS))
+def slug_totals(erp):
+    """Total row of the slug reconciliation report."""
+    return R.report_totals(R.slug_reconciliation(erp, SLUG_GROUP_TEST), _SLUG_SUMS)
+
+
 @register("order_lines", """
 SELECT s.name, s.customer, s.docstatus, s.transaction_date, s.delivery_date,
        i.idx, i.item_code, i.item_name, i.qty, i.rate, i.amount

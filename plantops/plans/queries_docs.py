@@ -294,7 +294,9 @@ def print_purchase_order(erp):
 
 @register("print_tax_invoice_lines", """
 SELECT h.name AS invoice, h.posting_date, h.customer, b.gstin AS billing_gstin, s.gstin AS shipping_gstin,
-       i.idx AS sr_no, i.item_code, o.po_no, o.po_date, it.gst_hsn_code, i.qty, i.rate, i.taxable_value
+       i.idx AS sr_no, i.item_code, o.po_no, o.po_date, it.gst_hsn_code,
+       i.custom_no_of_pkgs AS no_of_pkgs, i.custom_average_contents_per AS average_contents_per, i.qty, i.rate, i.taxable_value,
+       h.due_date, h.irn, h.transporter, h.vehicle_no, h.lr_no, h.lr_date, h.remarks
 FROM v_sales_invoice_item i JOIN v_sales_invoice h ON h.name = i.parent
 LEFT JOIN v_address b ON b.name = h.customer_address LEFT JOIN v_address s ON s.name = h.shipping_address_name
 LEFT JOIN v_sales_order o ON o.name = i.sales_order LEFT JOIN v_item it ON it.name = i.item_code""")
@@ -310,21 +312,19 @@ _AMT = "CAST(base_tax_amount AS DECIMAL(21,9))"
 @register("print_tax_invoice_charges", f"""
 SELECT si.name AS invoice, CAST(tx.pack AS DOUBLE) AS packing_charges, CAST(tx.ins AS DOUBLE) AS insurance,
        CAST(tx.fr AS DOUBLE) AS freight_and_forwarding,
-       CASE WHEN tx.hf = 1 THEN tv.total END AS total_taxable_value,
-       CASE WHEN tx.hf = 1 THEN CAST(tx.tot AS DOUBLE) END AS total_taxes_and_charges
+       CASE WHEN tx.hf = 1 THEN si.total END AS total_taxable_value,
+       CASE WHEN tx.hf = 1 THEN si.total_taxes_and_charges END AS total_taxes_and_charges,
+       si.total_qty, si.total, si.grand_total
 FROM v_sales_invoice si
 LEFT JOIN (SELECT parent,
                   SUM(CASE WHEN account_head = {_q(fixed.TAX_PACKING)} THEN {_AMT} END) AS pack,
                   SUM(CASE WHEN account_head = {_q(fixed.TAX_INSURANCE)} THEN {_AMT} END) AS ins,
                   SUM(CASE WHEN account_head = {_q(fixed.TAX_FREIGHT)} THEN {_AMT} END) AS fr,
-                  SUM({_AMT}) AS tot,
                   MAX(CASE WHEN account_head = {_q(fixed.TAX_FREIGHT)} THEN 1 ELSE 0 END) AS hf
-           FROM v_sales_taxes GROUP BY parent) tx ON tx.parent = si.name
-LEFT JOIN (SELECT parent, CAST(SUM(CAST(taxable_value AS DECIMAL(21,9))) AS DOUBLE) AS total
-           FROM v_sales_invoice_item GROUP BY parent) tv ON tv.parent = si.name""")
+           FROM v_sales_taxes GROUP BY parent) tx ON tx.parent = si.name""")
 def print_tax_invoice_charges(erp):
-    """Tax invoice charges by account head."""
-    return D.print_tax_invoice_charges(erp.sales_invoice, erp.unnumbered("sales_invoice_item"), erp.sales_taxes)
+    """Tax invoice header totals and charges by account head."""
+    return D.print_tax_invoice_charges(erp.sales_invoice, erp.sales_taxes)
 
 
 @register("batch_backfill", f"""
@@ -409,11 +409,15 @@ FROM v_pmc WHERE pmc_no IS NOT NULL GROUP BY pmc_no HAVING COUNT(*) > 1
 UNION ALL
 SELECT 'Product Specification', 'specification_number', i.custom_specification_number, COUNT(*)
 FROM v_product_specification s JOIN v_item i ON i.name = s.item_code
-WHERE i.custom_specification_number IS NOT NULL GROUP BY i.custom_specification_number HAVING COUNT(*) > 1""")
+WHERE i.custom_specification_number IS NOT NULL GROUP BY i.custom_specification_number HAVING COUNT(*) > 1
+UNION ALL
+SELECT 'Checklist', 'checklist_name', checklist_name, COUNT(*)
+FROM v_checklist WHERE checklist_name IS NOT NULL GROUP BY checklist_name HAVING COUNT(*) > 1""")
 def dq_unique(erp):
-    """Q1: duplicated unique keys (pmc_no, specification_number)."""
+    """Q1: duplicated unique keys (pmc_no, specification_number, checklist_name)."""
     return QA.union_all([
         QA.dq_unique(erp.pmc, "PMC", "pmc_no"),
+        QA.dq_unique(erp.checklist, "Checklist", "checklist_name"),
         QA.dq_unique(K.spec_enriched(erp.product_specification, erp.item), "Product Specification",
                      "specification_number")])
 
@@ -425,18 +429,28 @@ def _dom_sql(doctype, field, name_expr, table, values):
 
 
 _TNAME = "parent || '#' || CAST(idx AS VARCHAR)"
+_RNAME = "reference || '#' || grb_nomrn_no_date || '#' || CAST(line_idx AS VARCHAR) || '#' || CAST(idx AS VARCHAR)"
 
 
-@register("dq_domain", " UNION ALL ".join([
+@register("dq_domain", _cl_sql(" UNION ALL ".join([
+    _dom_sql("Checklist Transaction", "parameters", _RNAME, "cl_rows", fixed.CHECKLIST_PARAMETERS),
+    _dom_sql("Checklist Transaction", "observation", _RNAME, "cl_rows", fixed.CHECKLIST_OBSERVATIONS),
     _dom_sql("Checklist", "parameters", _TNAME, "v_checklist_template", fixed.CHECKLIST_PARAMETERS),
     _dom_sql("Checklist", "observation", _TNAME, "v_checklist_template", fixed.CHECKLIST_OBSERVATIONS),
-    _dom_sql("Solution Type", "department", "name", "v_solution_type", fixed.SOP_DEPARTMENTS)]))
+    _dom_sql("Solution Type", "department", "name", "v_solution_type", fixed.SOP_DEPARTMENTS)])))
 def dq_domain(erp):
-    """Q2: select fields outside their option lists."""
+    """Q2: select fields outside their option lists, in templates and in the
+    checklist rows made from them."""
     spark = erp.spark
+    rows = C.checklist_transactions(erp, AS_OF).rows.withColumn(
+        "name", F.concat_ws("#", "reference", "grb_nomrn_no_date", F.col("line_idx").cast("string"), F.col("idx").cast("string")))
     tmpl = erp.checklist_template.withColumn(
         "name", F.concat(F.col("parent"), F.lit("#"), F.col("idx").cast("string")))
     return QA.union_all([
+        QA.dq_domain(rows, "Checklist Transaction", "parameters",
+                     fixed.domain_frame(spark, "parameters", fixed.CHECKLIST_PARAMETERS)),
+        QA.dq_domain(rows, "Checklist Transaction", "observation",
+                     fixed.domain_frame(spark, "observation", fixed.CHECKLIST_OBSERVATIONS)),
         QA.dq_domain(tmpl, "Checklist", "parameters",
                      fixed.domain_frame(spark, "parameters", fixed.CHECKLIST_PARAMETERS)),
         QA.dq_domain(tmpl, "Checklist", "observation",
@@ -459,16 +473,25 @@ _PMC_ITEM_NAME = "parent || '#' || parentfield || '#' || CAST(idx AS VARCHAR)"
     _link_sql("Weekly Production Plan", "item_name", "name", "v_weekly_production_plan", "v_item"),
     _link_sql("PMC", "product_name", "name", "v_pmc", "v_item"),
     _link_sql("PMC", "customer_code", "name", "v_pmc", "v_customer"),
+    _link_sql("PMC", "sales_order", "name", "v_pmc", "v_sales_order"),
+    _link_sql("Weekly Production Plan", "line", "name", "v_weekly_production_plan", "v_workstation"),
+    _link_sql("Solution Type", "prepared_by", "name", "v_solution_type", "v_employee"),
+    _link_sql("Actual Consumed Qty Table", "item", "parent || '#' || CAST(idx AS VARCHAR)", "v_scr_actual_consumed", "v_item"),
     _link_sql("Aluminium Slug", "raw_material_name", _PMC_ITEM_NAME, "v_pmc_item", "v_item")]))
 def dq_links(erp):
     """Q3: Link fields whose target row does not exist."""
     pmc_item = erp.pmc_item.withColumn("name", F.concat_ws("#", "parent", "parentfield",
                                                            F.col("idx").cast("string")))
+    actual = erp.scr_actual_consumed.withColumn("name", F.concat_ws("#", "parent", F.col("idx").cast("string")))
     return QA.union_all([
         QA.dq_links(erp.weekly_production_plan, "Weekly Production Plan", "sales_order", erp.sales_order),
         QA.dq_links(erp.weekly_production_plan, "Weekly Production Plan", "item_name", erp.item),
         QA.dq_links(erp.pmc, "PMC", "product_name", erp.item),
         QA.dq_links(erp.pmc, "PMC", "customer_code", erp.customer),
+        QA.dq_links(erp.pmc, "PMC", "sales_order", erp.sales_order),
+        QA.dq_links(erp.weekly_production_plan, "Weekly Production Plan", "line", erp.workstation),
+        QA.dq_links(erp.solution_type, "Solution Type", "prepared_by", erp.employee),
+        QA.dq_links(actual, "Actual Consumed Qty Table", "item", erp.item),
         QA.dq_links(pmc_item, "Aluminium Slug", "raw_material_name", erp.item)])
 
 # ---------------------------------------------------------------- streaming

@@ -6,43 +6,9 @@ Two constructors: :func:`Erp.from_parquet_dir` for ERP exports laid out as
 ``<dir>/<table>.parquet`` and :func:`plantops.sources.testdata.erp_from_testdata`
 for the TPC-H-shaped test tables.
 
-Table names and the columns the jobs need (ERP ``name`` is the key, child
-tables carry ``parent`` and ``idx``):
-
-=========================  ==========================================================
-sales_order                name, customer, docstatus, transaction_date, delivery_date, po_no, po_date
-sales_order_item           parent, idx, item_code, item_name, qty, rate, amount
-item                       name, item_name, item_group, min_order_qty, custom_checklist, gst_hsn_code, custom_* spec fields
-item_default               parent, idx, default_supplier
-item_supplier              parent, supplier
-item_price                 name, item_code, price_list, price_list_rate, valid_from
-purchase_order             name, supplier, status, transaction_date, custom_* transport fields
-purchase_order_item        parent, idx, item_code, qty, rate, amount, uom, expected_delivery_date
-stock_entry                name, posting_date, stock_entry_type, work_order, docstatus
-stock_entry_detail         parent, idx, item_code, qty, batch_no
-work_order                 name, production_item, transfer_material_against
-production_qc              name, reference_name, item_code, docstatus
-bin                        name, item_code, warehouse, actual_qty, modified
-weekly_production_plan     name, sales_order, line, item_name, tube, capacity_per_day
-supplier / customer        name, supplier_name / customer_name
-doc                        name, doctype, supplier, customer, posting_date, docstatus, custom_* receipt fields
-doc_item                   parent, idx, item_code, item_name, qty, batch_no, lot_no, custom_box_no,
-                           custom_supplier_batch_no, custom_actual_consumed_qty
-batch                      name, reference_name, item, custom_supplier_batch_no, custom_box_no
-scr_supplied_item          parent, idx, main_item_code, consumed_qty
-scr_actual_consumed        parent, idx, item, actual_consumed_qty
-doc_reference              parent, idx, link_doctype, link_name
-custom_document_reference  parent, idx, link_doctype, link_name
-sales_invoice(_item)       name, customer, customer_address, shipping_address_name, posting_date /
-                           parent, idx, item_code, sales_order, qty, rate, taxable_value
-sales_taxes                parent, account_head, base_tax_amount
-address                    name, gstin
-pmc / pmc_item             name, pmc_no, product_name, customer_code, sales_order /
-                           parent, parentfield, idx, raw_material_name, supplier_name
-product_specification      name, item_code, specification_number, effective_date, revision_no
-checklist_template         parent, idx, parameters, specification, observation
-solution_type              name, department
-=========================  ==========================================================
+Table names and the columns the jobs need are in
+:mod:`plantops.sources.schemas` (ERP ``name`` is the key, child tables carry
+``parent`` and ``idx``).
 """
 
 from __future__ import annotations
@@ -51,6 +17,8 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from plantops.sources import schemas
+
 
 class Erp:
     def __init__(self, spark: SparkSession, builders: dict[str, Callable[[], DataFrame]]):
@@ -89,6 +57,7 @@ class Erp:
 
     @classmethod
     def from_parquet_dir(cls, spark: SparkSession, path: str, tables: list[str]) -> "Erp":
+        """Tables of an export; each is held against the input contract when it is first used."""
         def reader(t):
-            return lambda: spark.read.parquet(f"{path.rstrip('/')}/{t}.parquet")
+            return lambda: schemas.check(t, spark.read.parquet(f"{path.rstrip('/')}/{t}.parquet"))
         return cls(spark, {t: reader(t) for t in tables})

@@ -294,13 +294,21 @@ def erp_from_testdata(spark: SparkSession, sf_dir: str) -> Erp:
             F.concat(F.lit("ADDR-"), _s(ck)).alias("customer_address"),
             F.when(ok % 4 == 0, F.concat(F.lit("ADDR-"), _s(ck + 1)))
              .otherwise(F.concat(F.lit("ADDR-"), _s(ck))).alias("shipping_address_name"),
-            order_date().alias("posting_date"))
+            order_date().alias("posting_date"), F.date_add(order_date(), 45).alias("due_date"),
+            F.when(ok % 8 != 0, F.concat(F.lit("IRN-"), _s(ok))).alias("irn"),
+            F.concat(F.lit("Transporter "), _s(ck % 7)).alias("transporter"),
+            F.concat(F.lit("GJ-21-"), _s(ok % 1000)).alias("vehicle_no"),
+            F.concat(F.lit("LR-"), _s(ok)).alias("lr_no"), F.date_add(order_date(), 2).alias("lr_date"),
+            F.col("o_orderpriority").alias("remarks"), (ok % 500).cast("double").alias("total_qty"),
+            F.col("o_totalprice").alias("total"), (ok % 1000).cast("double").alias("total_taxes_and_charges"),
+            (F.col("o_totalprice") + (ok % 1000).cast("double")).alias("grand_total"))
     b["sales_invoice"] = sales_invoice
 
     b["sales_invoice_item"] = lambda: lines().join(
         part("p_retailprice"), F.col("l_partkey") == F.col("p_partkey")).select(
         F.concat(F.lit("SI-"), _s("l_orderkey")).alias("parent"), "idx",
         F.col("l_partkey").alias("item_code"), F.col("l_orderkey").alias("sales_order"),
+        (F.col("l_suppkey") % 12).alias("custom_no_of_pkgs"), (F.col("l_partkey") % 250).alias("custom_average_contents_per"),
         F.col("l_quantity").alias("qty"), F.col("p_retailprice").alias("rate"),
         F.col("l_extendedprice").alias("taxable_value"))
 
@@ -326,9 +334,17 @@ def erp_from_testdata(spark: SparkSession, sf_dir: str) -> Erp:
             F.concat(F.lit("PMC-"), _s(key)).alias("name"),
             F.when(key % 50 == 0, F.concat(F.lit("PMC-"), _s(key - 2)))
              .otherwise(F.concat(F.lit("PMC-"), _s(key))).alias("pmc_no"),
-            key.alias("product_name"), key.alias("customer_code"))
+            key.alias("product_name"), key.alias("customer_code"),
+            F.when(key % 13 != 0, F.when(key % 17 == 0, key + 1000000000).otherwise(key)).alias("sales_order"))
     b["pmc"] = pmc
 
+    b["checklist"] = lambda: read("part").select(
+        F.concat(F.lit("CHK-"), _s("p_partkey")).alias("name"),
+        F.concat(F.lit("Checklist "), _s(F.col("p_partkey") - F.when(F.col("p_partkey") % 40 == 0, 1).otherwise(0))).alias("checklist_name"))
+    b["workstation"] = lambda: read("orders").where(F.col("o_orderkey") % 5 != 0).select(F.col("o_orderpriority").alias("name")).distinct()
+    b["employee"] = lambda: read("supplier").where(F.col("s_suppkey") % 3 != 0).select(
+        F.concat(F.lit("EMP-"), _s("s_suppkey")).alias("name"))
+
     def pmc_item() -> DataFrame:
         sk = F.col("l_suppkey")
         sections = F.array(*[F.lit(f) for f, _ in fixed.PMC_SECTIONS])
@@ -351,7 +367,8 @@ def erp_from_testdata(spark: SparkSession, sf_dir: str) -> Erp:
         return read("nation").select(
             F.concat(F.lit("SOP-"), F.col("n_name")).alias("name"),
             F.when(rk == 0, "QA").when(rk == 1, "QC").when(rk == 2, "").when(rk == 3, "QA/QC")
-             .otherwise(F.lit(None).cast("string")).alias("department"))
+             .otherwise(F.lit(None).cast("string")).alias("department"),
+            F.when(rk != 4, F.concat(F.lit("EMP-"), _s("n_nationkey"))).alias("prepared_by"))
     b["solution_type"] = solution_type
 
     def raw(*cols: str) -> DataFrame:
@@ -368,6 +385,4 @@ def erp_from_testdata(spark: SparkSession, sf_dir: str) -> Erp:
     b["stock_entry_detail__plain"] = lambda: raw("l_suppkey", "l_quantity").select(
         F.col("l_orderkey").alias("parent"), F.col("l_partkey").alias("item_code"), F.col("l_quantity").alias("qty"),
         F.concat(F.lit("B"), _s("l_suppkey")).alias("batch_no"))
-    b["sales_invoice_item__plain"] = lambda: in_part(raw("l_extendedprice")).select(
-        F.concat(F.lit("SI-"), _s("l_orderkey")).alias("parent"), F.col("l_extendedprice").alias("taxable_value"))
     return Erp(spark, b)

@@ -25,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -142,15 +143,22 @@ def describe(text: str, g: int, start: int, end: int) -> list[float]:
             float(bool(_CUE.search(before))), float(bool(_ASSIGNED.search(before))), sum(a != b for a, b in zip(kind, kind[1:]))]
 
 
-def vouched(text: str, g: int, start: int, end: int, base: list[Span]) -> bool:
-    """The weak label: a number that is about a base span, a secret of a known
-    form, or a written-out address that ends in letters."""
+def numbers(base: list[Span]) -> list[list[tuple[int, int]]]:
+    """The card spans and the phone spans, each by start and not overlapping."""
+    return [[(a, b) for k, a, b in base if k == kind] for kind in ("card", "phone")]
+
+
+def vouched(text: str, g: int, start: int, end: int, same: list[list[tuple[int, int]]]) -> bool:
+    """The weak label: a number that is about a base span (``same``: see
+    ``numbers``), a secret of a known form, or a written-out address that ends
+    in letters."""
     if GENERATORS[g][0] == "secret":
         return bool(_VOUCHED.match(text, start, end)) or bool(_ASSIGNED.search(text, max(0, start - 24), start))
     if g == 0:
         return bool(re.search(r"[A-Za-z]{2,10}$", text[start:end]))
-    same = [(a, b) for k, a, b in base if k in ("card", "phone")]
-    return any(a <= start and end <= b or start <= a and b <= end and b - a >= 0.8 * (end - start) for a, b in same)
+    # of each kind only the spans that can touch the candidate
+    near = [s for spans in same for s in spans[max(0, bisect_right(spans, (start, math.inf)) - 1):bisect_left(spans, (end,))]]
+    return any(a <= start and end <= b or start <= a and b <= end and b - a >= 0.8 * (end - start) for a, b in near)
 
 
 # ---- boosted trees ------------------------------------------------------
@@ -221,18 +229,21 @@ class Finder:
         added: list[Span] = []
         if found:
             p = self.trees.probability(np.array([describe(text, *c) for c in found]))
-            taken = [(a, b) for _, a, b in base]
+            taken = bytearray(len(text))  # the characters that spans hold: linear in a text with very many spans
+            for _, a, b in base:
+                taken[a:b] = b"\1" * (b - a)
             for x, (g, a, b) in sorted(zip(p, found), key=lambda t: (-t[0], t[1])):
-                if x >= self.thresholds[g] and not any(a < d and c < b for c, d in taken):
+                if x >= self.thresholds[g] and taken.find(1, a, b) < 0:
                     added.append((GENERATORS[g][0], a, b))
-                    taken.append((a, b))
+                    taken[a:b] = b"\1" * (b - a)
         rank = {k: i for i, k in enumerate(KINDS)}
         return base, sorted(base + added, key=lambda s: (rank[s[0]], s[1]))
 
 
 def train(docs: DataFrame, train_docs: int = 20_000, train_rows: int = 40_000, precision: float = 0.98) -> Finder:
     """Fits trees and thresholds on the candidates of a hash sample of about
-    ``train_docs`` documents, ``train_rows`` candidates at most."""
+    ``train_docs`` documents, the first ``train_rows`` candidates by hash at
+    most, so that the same documents always give the same model."""
     n = docs.count()
     src = docs.select(F.xxhash64(F.lit(7), "doc_id", whole_text()).alias("h"), whole_text().alias("t"))
     if n > train_docs:
@@ -244,14 +255,14 @@ def train(docs: DataFrame, train_docs: int = 20_000, train_rows: int = 40_000, p
             for key, t in zip(rb.column(0).to_pylist(), rb.column(1)):
                 text = t.as_py()
                 found = candidates(text)
-                base = base_spans(text) if found else []
+                same = numbers(base_spans(text)) if found else []
                 for c in found:
                     h.append(key)
-                    y.append(float(vouched(text, *c, base)))
+                    y.append(float(vouched(text, *c, same)))
                     x.append(describe(text, *c))
             yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(y, pa.float64()), pa.array(x, pa.list_(pa.float64()))], names=["h", "y", "x"])
 
-    t = src.mapInArrow(run, "h bigint, y double, x array<double>").limit(train_rows).toArrow()
+    t = src.mapInArrow(run, "h bigint, y double, x array<double>").orderBy("h", "x").limit(train_rows).toArrow()
     if not t.num_rows:
         return Finder(Trees(), [2.0] * len(GENERATORS))
     x = np.array(t["x"].to_pylist())

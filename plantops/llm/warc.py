@@ -32,6 +32,7 @@ from plantops.llm.common import materialise, shared_path, whole_text
 MAGIC = b"\x1f\x8b\x08"
 CRLF = b"\r\n"
 STEP = 1 << 20
+NO_DATE = "1970-01-01T00:00:00Z"
 
 
 def _open_fs(path: str):
@@ -42,13 +43,13 @@ def _open_fs(path: str):
 
 # ---- writing ------------------------------------------------------------
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str = NO_DATE) -> bytes:
     """One record as a gzip member.  ``digest``: lower-case hex SHA-1 of the
     payload; ``refers_to``: set for a revisit, whose block is the HTTP header
-    alone (its Content-Length still tells the payload's)."""
+    alone (its Content-Length still tells the payload's).  ``date``: WARC-Date."""
     http = CRLF.join([b"HTTP/1.1 200 OK", b"Content-Type: text/html; charset=utf-8", b"Content-Length: %d" % len(payload), b"", b""])
     block = http if refers_to is not None else http + payload
-    head = [b"WARC/1.1", b"WARC-Type: " + (b"response" if refers_to is None else b"revisit"), b"WARC-Record-ID: <urn:page:%s>" % str(page_id).encode(),
+    head = [b"WARC/1.1", b"WARC-Type: " + (b"response" if refers_to is None else b"revisit"), b"WARC-Record-ID: <urn:page:%s>" % str(page_id).encode(), b"WARC-Date: " + date.encode(),
             b"WARC-Payload-Digest: sha1:" + base64.b32encode(bytes.fromhex(digest)), b"Content-Type: application/http; msgtype=response", b"Content-Length: %d" % len(block)]
     if url is not None:
         head.append(b"WARC-Target-URI: " + "".join(c if c > " " else f"%{ord(c):02X}" for c in url).encode())
@@ -58,12 +59,13 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     return pack.compress(CRLF.join([*head, b"", b""]) + block + CRLF + CRLF) + pack.flush()
 
 
-def write_pages(pages: DataFrame, folder: str, revisit_from: int = 1000) -> DataFrame:
+def write_pages(pages: DataFrame, folder: str, revisit_from: int = 1000, date: str = NO_DATE) -> DataFrame:
     """Writes the archives below ``folder``; (path, bytes, records) of each.
 
     Null html is an empty payload.  A null page_id never stands for others and
     its row is always a response.  Of rows that share the largest page_id of a
-    group each is a response; a null url leaves out the header."""
+    group each is a response; a null url leaves out the header.  ``date`` is
+    the WARC-Date of all records, as pages carry no time of capture."""
     src = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), whole_text("html").alias("html"))
     src = src.withColumn("digest", F.sha1(F.col("html").cast("binary")))
     long_enough = (F.octet_length("html") >= revisit_from) & F.col("page_id").isNotNull()
@@ -81,7 +83,7 @@ def write_pages(pages: DataFrame, folder: str, revisit_from: int = 1000) -> Data
                     fs, at = _open_fs(path)
                     fs.create_dir(at.rsplit("/", 1)[0], recursive=True)
                     out = fs.open_output_stream(at, compression=None)
-                raw = record(page_id, url, html.encode(), digest, refers)
+                raw = record(page_id, url, html.encode(), digest, refers, date)
                 out.write(raw)
                 size, n = size + len(raw), n + 1
         if out is not None:

@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plantops.llm.common import materialise, number_within, whole_text
+from plantops.llm.common import materialise, whole_text
+from plantops.operators.ordinal import ordinal
 
 _MARKS = re.compile(r"(?:[ \t]{0,3}>)+[ \t]?")
 _ANNOUNCE = re.compile(r"(?i)\b(?:wrote|writes|said|schrieb|a écrit|escribió)\s*:\s*$")
@@ -114,7 +115,9 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     known = (replies.join(up, ["conv_id", "turn"], "left")
              .select(F.col("conv_id").alias("__c"), F.col("turn").alias("__t"), "n_linked", "max_level", F.col("to.c").alias("reply_to_conv"), F.col("to.t").alias("reply_to_turn"), "root"))
     out = parsed.drop("own", "level").join(known, on, "left").withColumn("thread", F.coalesce("root", "turn"))
-    bucket = F.coalesce(F.floor(F.col("thread") / 256), F.lit(-1)).cast("long")
-    numbered = number_within(out, "conv_id", bucket, [F.col("thread"), F.col("turn"), F.col("role"), F.col("body")], "position")
+    # numbered over ranges of (conversation, thread, turn), so neither a long conversation nor a long thread is one task's;
+    # repeats of a turn are ordered by a hash, as range bounds must not carry whole texts to the driver
+    out = out.withColumn("__same", F.xxhash64("role", "body"))
+    numbered = ordinal(out, ["conv_id"], ["thread", "turn", "__same"], "position").withColumn("position", F.col("position") - 1)
     return numbered.select("conv_id", "turn", "role", "body", F.size("digest").cast("long").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),
                            F.coalesce("max_level", F.lit(0)).cast("int").alias("max_level"), "reply_to_conv", "reply_to_turn", "thread", "position")

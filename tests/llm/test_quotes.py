@@ -34,3 +34,10 @@ def test_links_threads_and_order(spark):
 
 def test_empty_table(spark):
     assert quotes.link_quotes(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")).count() == 0
+
+
+def test_one_thread_of_a_hot_conversation_is_numbered_in_order(spark):
+    rows = [(1, t, "user", "root" if not t else "> root\nm" + str(t)) for t in range(3000)] + [(2, 0, "user", "alone")]
+    out = quotes.link_quotes(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(7)).collect()
+    assert all(r.thread == 0 and r.position == r.turn for r in out if r.conv_id == 1)
+    assert len(out) == 3001 and {r.position for r in out if r.conv_id == 2} == {0}

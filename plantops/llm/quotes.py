@@ -49,13 +49,13 @@ def parse(text: str) -> list[tuple[int, str]]:
     return [(level, "\n".join(lines)) for level, lines in out]
 
 
-def normal_hash(passage: str) -> str | None:
+def normal_hash(passage: str) -> bytes | None:
     """Hash of the passage without marks of layout; None if nothing is left."""
     words = passage.casefold().split()
-    return hashlib.sha256(" ".join(words).encode()).hexdigest()[:32] if words else None
+    return hashlib.sha256(" ".join(words).encode()).digest()[:16] if words else None
 
 
-def own_passages(body: str) -> set[str]:
+def own_passages(body: str) -> set[bytes]:
     parts = {body, *re.split(r"\n\s*\n", body), *body.split("\n")}
     return {h for h in map(normal_hash, parts) if h}
 
@@ -83,10 +83,10 @@ def link_quotes(messages: DataFrame) -> DataFrame:
                 own.append(sorted(own_passages(mine)))
                 level.append([n for n, _ in quoted])
                 digest.append([h for _, h in quoted])
-            yield pa.RecordBatch.from_arrays([*rb.columns[:3], pa.array(body, pa.string()), pa.array(own, pa.list_(pa.string())), pa.array(level, pa.list_(pa.int32())), pa.array(digest, pa.list_(pa.string()))],
+            yield pa.RecordBatch.from_arrays([*rb.columns[:3], pa.array(body, pa.string()), pa.array(own, pa.list_(pa.binary())), pa.array(level, pa.list_(pa.int32())), pa.array(digest, pa.list_(pa.binary()))],
                                              names=["conv_id", "turn", "role", "body", "own", "level", "digest"])
 
-    parsed = materialise(src.mapInArrow(run, "conv_id bigint, turn bigint, role string, body string, own array<string>, level array<int>, digest array<string>"), "messages")
+    parsed = materialise(src.mapInArrow(run, "conv_id bigint, turn bigint, role string, body string, own array<binary>, level array<int>, digest array<binary>"), "messages")
     quotes = parsed.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode(F.arrays_zip("level", "digest")).alias("q")).select("conv_id", "turn", "q.level", F.col("q.digest").alias("h")).distinct()
     # only what somebody quotes needs an index; a semi join keeps the rest out
     said = parsed.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode("own").alias("h")).join(quotes.select("h").distinct(), "h", "left_semi")
@@ -114,10 +114,10 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     on = [F.col("conv_id") == F.col("__c"), F.col("turn") == F.col("__t")]
     known = (replies.join(up, ["conv_id", "turn"], "left")
              .select(F.col("conv_id").alias("__c"), F.col("turn").alias("__t"), "n_linked", "max_level", F.col("to.c").alias("reply_to_conv"), F.col("to.t").alias("reply_to_turn"), "root"))
-    out = parsed.drop("own", "level").join(known, on, "left").withColumn("thread", F.coalesce("root", "turn"))
+    out = parsed.withColumn("n_quotes", F.size("digest").cast("long")).drop("own", "level", "digest").join(known, on, "left").withColumn("thread", F.coalesce("root", "turn"))
     # numbered over ranges of (conversation, thread, turn), so neither a long conversation nor a long thread is one task's;
     # repeats of a turn are ordered by a hash, as range bounds must not carry whole texts to the driver
     out = out.withColumn("__same", F.xxhash64("role", "body"))
     numbered = ordinal(out, ["conv_id"], ["thread", "turn", "__same"], "position").withColumn("position", F.col("position") - 1)
-    return numbered.select("conv_id", "turn", "role", "body", F.size("digest").cast("long").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),
+    return numbered.select("conv_id", "turn", "role", "body", "n_quotes", F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),
                            F.coalesce("max_level", F.lit(0)).cast("int").alias("max_level"), "reply_to_conv", "reply_to_turn", "thread", "position")

@@ -26,3 +26,23 @@ def test_stream_equals_batch_and_replay_is_idempotent(spark):
     assert spark.read.parquet(f"{folder}/sink/headers").count() == headers.count()
     assert spark.read.parquet(f"{folder}/sink/rows").count() == rows.count()
     assert headers.groupBy(*key).count().where("count > 1").count() == 0
+
+
+def test_second_batch_continues_the_series(spark):
+    from pyspark.sql import functions as F
+
+    from plantops.operators.checklists import checklist_transactions
+    erp = erp_from_testdata(spark, SF)
+    sink = tempfile.mkdtemp(prefix="plantops-stream-test-")
+    even = F.pmod(F.xxhash64("doctype", "name"), F.lit(2)) == 0
+    process_batch(erp, erp.doc.where(even), 0, sink, AS_OF)
+    before = {r["name"]: r.seq for r in spark.read.parquet(f"{sink}/headers").collect()}
+    # new documents, and all those of the first batch delivered again
+    process_batch(erp, erp.doc, 1, sink, AS_OF)
+    headers = spark.read.parquet(f"{sink}/headers").collect()
+    whole = checklist_transactions(erp, AS_OF)
+    assert sorted(before.values()) == list(range(1, len(before) + 1)) and 0 < len(before) < len(headers)
+    assert sorted(r.seq for r in headers) == list(range(1, whole.headers.count() + 1))
+    assert {r["name"]: r.seq for r in headers if r.batch_id == 0} == before
+    assert all(r.seq > len(before) for r in headers if r.batch_id == 1)
+    assert spark.read.parquet(f"{sink}/rows").count() == whole.rows.count()

@@ -9,15 +9,17 @@ form, assignments to words such as password, long mixed strings.
 
 **Trees.**  Gradient-boosted trees over a candidate's form (lengths, character
 classes, Luhn sum, parts) and context (neighbouring characters and words) give
-a probability.  They are trained on a bounded sample of documents with weak
-labels: a candidate is positive when a validator vouches for it (a base form,
+a probability.  They are trained on a bounded sample of the candidates of all
+documents, drawn by hash for each generator, with weak labels: a candidate is positive when a validator vouches for it (a base form,
 or a known secret behind a keyword), negative when a validator of its form
 refuses it or nothing vouches for it.  The validators' own verdicts are not
 features, save the Luhn sum, so trees generalise over form and context.
 
 **Thresholds.**  For each generator the lowest threshold that reaches
 ``precision`` on documents kept out of training selects the spans to add; a
-generator that never reaches it adds none.
+generator that never reaches it adds none.  All candidates of all such
+documents count, as an aggregation into bins of log-odds; where none of a
+generator's candidates was kept out, all that it has count.
 """
 
 from __future__ import annotations
@@ -26,7 +28,9 @@ import hashlib
 import math
 import re
 from bisect import bisect_left, bisect_right
+from collections import Counter
 from dataclasses import dataclass, field
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -171,23 +175,27 @@ class Trees:
     trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
     depth: int = 3
 
-    def probability(self, x: np.ndarray) -> np.ndarray:
+    def log_odds(self, x: np.ndarray) -> np.ndarray:
         out = np.full(len(x), self.start)
         for feature, limit, value in self.trees:
             at = np.zeros(len(x), int)
             for _ in range(self.depth):
                 at = 2 * at + 1 + (x[np.arange(len(x)), feature[at]] > limit[at])
             out += value[at]
-        return 1 / (1 + np.exp(-np.clip(out, -35, 35)))
+        return np.clip(out, -35, 35)
+
+    def probability(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-self.log_odds(x)))
 
 
 def boost(x: np.ndarray, y: np.ndarray, rounds: int = 30, depth: int = 3, rate: float = 0.3, bins: int = 32, ridge: float = 1.0) -> Trees:
-    """Logistic loss, second-order leaves, splits at quantile bins."""
+    """Logistic loss, second-order leaves, splits at quantile bins (of few
+    values, such as the generators, between any two)."""
     share = (y.sum() + 0.5) / (len(y) + 1)
     model = Trees(float(np.log(share / (1 - share))), [], depth)
     if len(set(y.tolist())) < 2:
         return model
-    edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(x.shape[1])]
+    edges = [u[:-1] if len(u) <= bins else np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j, u in enumerate(map(np.unique, x.T))]
     binned = np.stack([np.searchsorted(e, x[:, j], "left") for j, e in enumerate(edges)], axis=1)
     f, nodes = np.full(len(y), model.start), 2 ** (depth + 1) - 1
     for _ in range(rounds):
@@ -240,46 +248,95 @@ class Finder:
         return base, sorted(base + added, key=lambda s: (rank[s[0]], s[1]))
 
 
-def train(docs: DataFrame, train_docs: int = 20_000, train_rows: int = 40_000, precision: float = 0.98) -> Finder:
-    """Fits trees and thresholds on the candidates of a hash sample of about
-    ``train_docs`` documents, the first ``train_rows`` candidates by hash at
-    most, so that the same documents always give the same model."""
-    n = docs.count()
+BINS = 16  # for each unit of log-odds
+
+
+def train(docs: DataFrame, train_rows: int = 40_000, precision: float = 0.98) -> Finder:
+    """Trees fitted on about ``train_rows`` candidates at most, an equal number
+    for each generator, drawn by hash from three quarters of the documents;
+    thresholds by the candidates of all other documents.  The same documents
+    always give the same model."""
     src = docs.select(F.xxhash64(F.lit(7), "doc_id", whole_text()).alias("h"), whole_text().alias("t"))
-    if n > train_docs:
-        src = src.where(F.pmod("h", F.lit(n)) < train_docs)
 
+    def count(batches):
+        n = Counter()
+        for rb in batches:
+            for h, t in zip(rb.column(0).to_pylist(), rb.column(1)):
+                if not held(h):
+                    n.update(c[0] for c in candidates(t.as_py()))
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.int32()), pa.array(list(n.values()), pa.int64())], names=["g", "n"])
+
+    total = dict(src.mapInArrow(count, "g int, n bigint").groupBy("g").agg(F.sum("n")).collect())
+    room = train_rows // len(GENERATORS)
+    share = [min(1.0, room / total[g]) if g in total else 0.0 for g in range(len(GENERATORS))]
+
+    def draw(batches):
+        for rb in batches:
+            key, at, y, x = [], [], [], []
+            for h, t in zip(rb.column(0).to_pylist(), rb.column(1)):
+                if held(h):
+                    continue
+                text, same = t.as_py(), None
+                for c in candidates(text):
+                    if crc32(b"%d %d" % c[:2], h & 0xFFFFFFFF) < share[c[0]] * 2 ** 32:
+                        same = numbers(base_spans(text)) if same is None else same
+                        key.append(h)
+                        at.append(c[1])
+                        y.append(float(vouched(text, *c, same)))
+                        x.append(describe(text, *c))
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(at, pa.int64()), pa.array(y, pa.float64()), pa.array(x, pa.list_(pa.float64()))], names=["h", "at", "y", "x"])
+
+    # rows that repeat have the same hash, so they are drawn together; as one they keep the sample within its bound
+    t = src.mapInArrow(draw, "h bigint, at bigint, y double, x array<double>").withColumn("g", F.col("x")[0]).dropDuplicates(["h", "g", "at"]).toArrow()
+    trees = Trees()
+    if t.num_rows:
+        x = np.array(t["x"].to_pylist())
+        order = np.lexsort((t["at"].to_numpy(), x[:, 0], t["h"].to_numpy()))
+        trees = boost(x[order], t["y"].to_numpy()[order])
+    return Finder(trees, calibrate(src, trees, precision))
+
+
+def held(h: int) -> bool:
+    """Whether a document, by its hash, is kept out of the trees' training."""
+    return h % 4 == 0
+
+
+def calibrate(src: DataFrame, trees: Trees, precision: float) -> list[float]:
+    """The threshold of each generator by the candidates of ``src`` (h, t)."""
     def run(batches):
+        n = Counter()
         for rb in batches:
-            h, y, x = [], [], []
-            for key, t in zip(rb.column(0).to_pylist(), rb.column(1)):
+            out, y, x = [], [], []
+            for h, t in zip(rb.column(0).to_pylist(), rb.column(1)):
                 text = t.as_py()
                 found = candidates(text)
                 same = numbers(base_spans(text)) if found else []
                 for c in found:
-                    h.append(key)
-                    y.append(float(vouched(text, *c, same)))
+                    out.append(held(h))
+                    y.append(vouched(text, *c, same))
                     x.append(describe(text, *c))
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(y, pa.float64()), pa.array(x, pa.list_(pa.float64()))], names=["h", "y", "x"])
-
-    t = src.mapInArrow(run, "h bigint, y double, x array<double>").orderBy("h", "x").limit(train_rows).toArrow()
-    if not t.num_rows:
-        return Finder(Trees(), [2.0] * len(GENERATORS))
-    x = np.array(t["x"].to_pylist())
-    order = np.lexsort((x[:, 1], t["h"].to_numpy()))
-    x, y, h = x[order], t["y"].to_numpy()[order], t["h"].to_numpy()[order]
-    fold = h % 4 == 0
-    trees = boost(x[~fold], y[~fold]) if (~fold).any() else Trees()
-    p = trees.probability(x[fold])
+            if x:
+                x = np.array(x)
+                bins = np.floor(trees.log_odds(x) * BINS).astype(int)
+                n.update(zip(x[:, 0].astype(int).tolist(), bins.tolist(), y, out))
+        cols = list(zip(*n)) or [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.bool_()), pa.array(cols[3], pa.bool_()), pa.array(list(n.values()), pa.int64())],
+                                         names=["g", "bin", "y", "held", "n"])
+
+    rows = src.mapInArrow(run, "g int, bin int, y boolean, held boolean, n bigint").groupBy("g", "bin", "y", "held").agg(F.sum("n").alias("n")).collect()
     thresholds = []
     for g in range(len(GENERATORS)):
-        own = x[fold][:, 0] == g
-        q, z = p[own], y[fold][own]
-        order = np.argsort(-q, kind="stable")
-        right = np.cumsum(z[order]) / np.arange(1, len(z) + 1) if len(z) else np.empty(0)
-        good = np.flatnonzero(right >= precision)
-        thresholds.append(max(0.5, float(q[order][good[-1]])) if len(good) else 2.0)
-    return Finder(trees, thresholds)
+        own = [r for r in rows if r.g == g]
+        own = [r for r in own if r.held] or own
+        right = every = 0
+        best = None
+        for b in sorted({r.bin for r in own}, reverse=True):
+            every += sum(r.n for r in own if r.bin == b)
+            right += sum(r.n for r in own if r.bin == b and r.y)
+            if right >= precision * every:
+                best = b
+        thresholds.append(2.0 if best is None else float(1 / (1 + np.exp(-max(0, best) / BINS))))
+    return thresholds
 
 
 def _text_of(spans: list[Span]) -> str:

@@ -97,3 +97,18 @@ def test_spans_of_a_text_with_very_many_are_found_in_linear_time():
     held = [(a, b) for _, a, b in base]
     added = sorted(set((a, b) for _, a, b in every) - set(held))
     assert all(b <= c for (_, b), (c, _) in zip(added, added[1:]))
+
+
+def test_rare_addresses_are_calibrated_over_all_documents(docs_of):
+    rng = random.Random(8)
+    rows = []
+    for i in range(3000):
+        w = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(12)]
+        w[4:4] = [f"password={rng.getrandbits(72):018x}", f"{rng.getrandbits(40):012d}"]
+        if i % 200 == 7:
+            w.insert(9, f"user{i} [at] host{i} [dot] org")
+        rows.append((i, " ".join(w)))
+    docs = docs_of(rows)
+    finder = pii.train(docs, train_rows=400)
+    got = {r.doc_id for r in pii.find(docs, finder).collect() if "contact:" in r.spans}
+    assert got == set(range(7, 3000, 200))

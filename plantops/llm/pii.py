@@ -108,10 +108,11 @@ _KEYWORD = r"(?i:password|passwd|passwort|secret|token|api[_-]?key|access[_-]?ke
 GENERATORS = [
     ("contact", re.compile(r"[A-Za-z0-9._%+-]{1,64} ?[\[({] ?(?i:at) ?[\])}] ?[A-Za-z0-9-]{1,63}(?: ?(?:[\[({] ?(?i:dot) ?[\])}]|\.) ?[A-Za-z0-9-]{2,63}){1,4}")),
     ("number", re.compile(r"[+(]?[0-9](?:[\x20().\-/]{0,2}[0-9]){6,24}")),
-    ("secret", re.compile(rf"\b{_KEYWORD} {{0,2}}[=:] {{0,2}}[\"']?[^\s\"']{{6,128}}")),
-    ("secret", re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,40}[0-9])[A-Za-z0-9+/_-]{16,128}(?![A-Za-z0-9+/_-])")),
+    ("secret", re.compile(rf"\b{_KEYWORD} {{0,2}}[=:] {{0,2}}[\"']?[^\s\"']{{6,}}")),
+    ("secret", re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}")),  # whole runs; candidates() asks for a digit in them
 ]
-_VOUCHED = re.compile(rf"(?:{_KEYWORD} {{0,2}}[=:] {{0,2}}[\"']?)(?=[^\s\"']{{0,40}}[0-9])[^\s\"']{{8,}}|(?:AKIA|ASIA)[A-Z0-9]{{16}}$")
+_DIGIT = re.compile("[0-9]")
+_VOUCHED = re.compile(rf"(?:{_KEYWORD} {{0,2}}[=:] {{0,2}}[\"']?)(?=[^\s\"']*[0-9])[^\s\"']{{8,}}|(?:AKIA|ASIA)[A-Z0-9]{{16}}$")
 _ASSIGNED = re.compile(rf"{_KEYWORD} {{0,2}}[=:] {{0,2}}[\"']?$")
 _BRACKETED_AT = re.compile(r"(?i)[\[({] ?at ?[\])}]")
 _CUE = re.compile(r"(?i)\b(?:tel|phone|call|fax|mobile|mail|contact|ip|card|konto|visa)\b")
@@ -124,7 +125,7 @@ def candidates(text: str) -> list[tuple[int, int, int]]:
     for g, (_, pattern) in enumerate(GENERATORS):
         if g in (1, 3) and not has_digit or g == 0 and not _BRACKETED_AT.search(text) or g == 2 and "=" not in text and ":" not in text:
             continue
-        out += [(g, *m.span()) for m in pattern.finditer(text)]
+        out += [(g, *m.span()) for m in pattern.finditer(text) if g != 3 or _DIGIT.search(text, *m.span())]
     return out
 
 
@@ -135,7 +136,7 @@ FEATURES = ("generator", "length", "digits", "upper", "lower", "other", "digit_s
 def describe(text: str, g: int, start: int, end: int) -> list[float]:
     s = text[start:end]
     n = len(s)
-    count = {c: s.count(c) for c in set(s)}
+    count = Counter(s)
     digits, upper, lower = sum(c in "0123456789" for c in s), sum(c.isupper() for c in s), sum(c.islower() for c in s)
     parts = [p for p in re.split(r"[^A-Za-z0-9]+", s) if p]
     kind = ["d" if c in "0123456789" else "l" if c.isalpha() else "o" for c in s]

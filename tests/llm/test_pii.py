@@ -112,3 +112,15 @@ def test_rare_addresses_are_calibrated_over_all_documents(docs_of):
     finder = pii.train(docs, train_rows=400)
     got = {r.doc_id for r in pii.find(docs, finder).collect() if "contact:" in r.spans}
     assert got == set(range(7, 3000, 200))
+
+
+def test_long_secrets_are_hidden_to_their_end(docs_of):
+    rng = random.Random(9)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    long = {700 + i: "".join(rng.choice(letters) for _ in range(60)) + "".join(rng.choice(letters + "0123456789") for _ in range(240)) for i in range(40)}
+    assert pii.candidates(long[700]) == [(3, 0, 300)]
+    docs = docs_of(corpus() + [(i, f"abc dead {'token=' if i % 2 else 'apikey: '}{s} bad face") for i, s in long.items()])
+    clean = {r.doc_id: r.text for r in pii.redact(docs, pii.train(docs)).collect()}
+    assert all("[SECRET]" in clean[i] and s[-16:] not in clean[i] and clean[i].endswith(" bad face") for i, s in long.items())
+    text = "token=" + "x" * 2_000_000 + " " + "A" * 2_000_000
+    assert pii.candidates(text) == [(2, 0, 2_000_006)]

@@ -11,14 +11,16 @@ form, assignments to words such as password, long mixed strings.
 classes, Luhn sum, parts) and context (neighbouring characters and words) give
 a probability.  They are trained on a bounded sample of the candidates of all
 documents, drawn by hash for each generator, with weak labels: a candidate is positive when a validator vouches for it (a base form,
-or a known secret behind a keyword), negative when a validator of its form
+a national phone number by its grouping or a
+phone word before it, or a known secret behind a keyword), negative when a validator of its form
 refuses it or nothing vouches for it.  The validators' own verdicts are not
 features, save the Luhn sum, so trees generalise over form and context.
 
 **Thresholds.**  For each generator the lowest threshold that reaches
 ``precision`` on documents kept out of training selects the spans to add; a
 generator that never reaches it adds none.  All candidates of all such
-documents count, as an aggregation into bins of log-odds; where none of a
+documents that base spans do not hold already count, as an aggregation into
+bins of log-odds; where none of a
 generator's candidates was kept out, all that it has count.
 """
 
@@ -115,6 +117,11 @@ _DIGIT = re.compile("[0-9]")
 _VOUCHED = re.compile(rf"(?:{_KEYWORD} {{0,2}}[=:] {{0,2}}[\"']?)(?=[^\s\"']*[0-9])[^\s\"']{{8,}}|(?:AKIA|ASIA)[A-Z0-9]{{16}}$")
 _ASSIGNED = re.compile(rf"{_KEYWORD} {{0,2}}[=:] {{0,2}}[\"']?$")
 _BRACKETED_AT = re.compile(r"(?i)[\[({] ?at ?[\])}]")
+_PHONE_CUE = re.compile(r"(?i)\b(?:tel|telephone|telefon|phone|call|fax|mobile|cell)\b")
+# national numbers whose form is enough, and those that need a cue; dates are neither
+_NATIONAL = re.compile(r"\([0-9]{2,5}\) ?[0-9]{3,4}[ -]?[0-9]{3,5}|[0-9]{3}([.-])[0-9]{3}\1[0-9]{4}")
+_GROUPED = re.compile(r"\(?0?[0-9]{1,5}\)?(?:[ ./-]{1,2}[0-9]{2,8}){1,4}|[0-9]{7,11}")
+_DATE = re.compile(r"[0-9]{4}([./-])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([./-])[0-9]{1,2}\2[0-9]{4}")
 _CUE = re.compile(r"(?i)\b(?:tel|phone|call|fax|mobile|mail|contact|ip|card|konto|visa)\b")
 
 
@@ -130,7 +137,7 @@ def candidates(text: str) -> list[tuple[int, int, int]]:
 
 
 FEATURES = ("generator", "length", "digits", "upper", "lower", "other", "digit_share", "distinct_share", "entropy", "parts", "longest_part", "luhn",
-            "plus", "brackets", "at_sign", "equals", "before", "after", "cue", "assigned", "switches")
+            "plus", "brackets", "at_sign", "equals", "before", "after", "cue", "phone_cue", "assigned", "switches")
 
 
 def describe(text: str, g: int, start: int, end: int) -> list[float]:
@@ -145,7 +152,7 @@ def describe(text: str, g: int, start: int, end: int) -> list[float]:
     d = only_digits(s)
     return [g, n, digits, upper, lower, n - digits - upper - lower, digits / n, len(count) / n, -sum(v / n * math.log2(v / n) for v in count.values()), len(parts), max(map(len, parts), default=0),
             float(len(d) >= 12 and luhn(d)), float(s[0] == "+"), float("(" in s), float("@" in s or " at " in s.lower()), float("=" in s or ":" in s), side(before[-1:]), side(after),
-            float(bool(_CUE.search(before))), float(bool(_ASSIGNED.search(before))), sum(a != b for a, b in zip(kind, kind[1:]))]
+            float(bool(_CUE.search(before))), float(bool(_PHONE_CUE.search(before))), float(bool(_ASSIGNED.search(before))), sum(a != b for a, b in zip(kind, kind[1:]))]
 
 
 def numbers(base: list[Span]) -> list[list[tuple[int, int]]]:
@@ -153,9 +160,26 @@ def numbers(base: list[Span]) -> list[list[tuple[int, int]]]:
     return [[(a, b) for k, a, b in base if k == kind] for kind in ("card", "phone")]
 
 
+def national(text: str, start: int, end: int) -> bool:
+    """A phone number without country code, by its grouping and, save for the
+    plainest groupings, a phone cue before it."""
+    s = text[start:end]
+    if not 7 <= len(only_digits(s)) <= 12 or _DATE.fullmatch(s) or text[end:end + 1].isalnum() or re.search(r"[\w.\-/+]$", text[max(0, start - 1):start]):
+        return False
+    return bool(_NATIONAL.fullmatch(s) or _GROUPED.fullmatch(s) and _PHONE_CUE.search(text, max(0, start - 24), start))
+
+
+def whole_in(text: str, base: list[Span]):
+    """A test whether base spans hold all of a stretch: it adds nothing to them."""
+    free = bytearray(b"\1" * len(text))
+    for _, a, b in base:
+        free[a:b] = bytes(b - a)
+    return lambda start, end: free.find(1, start, end) < 0
+
+
 def vouched(text: str, g: int, start: int, end: int, same: list[list[tuple[int, int]]]) -> bool:
     """The weak label: a number that is about a base span (``same``: see
-    ``numbers``), a secret of a known form, or a written-out address that ends
+    ``numbers``) or has a national form, a secret of a known form, or a written-out address that ends
     in letters."""
     if GENERATORS[g][0] == "secret":
         return bool(_VOUCHED.match(text, start, end)) or bool(_ASSIGNED.search(text, max(0, start - 24), start))
@@ -163,7 +187,7 @@ def vouched(text: str, g: int, start: int, end: int, same: list[list[tuple[int,
         return bool(re.search(r"[A-Za-z]{2,10}$", text[start:end]))
     # of each kind only the spans that can touch the candidate
     near = [s for spans in same for s in spans[max(0, bisect_right(spans, (start, math.inf)) - 1):bisect_left(spans, (end,))]]
-    return any(a <= start and end <= b or start <= a and b <= end and b - a >= 0.8 * (end - start) for a, b in near)
+    return any(a <= start and end <= b or start <= a and b <= end and b - a >= 0.8 * (end - start) for a, b in near) or national(text, start, end)
 
 
 # ---- boosted trees ------------------------------------------------------
@@ -226,7 +250,9 @@ def boost(x: np.ndarray, y: np.ndarray, rounds: int = 30, depth: int = 3, rate:
 
 @dataclass
 class Finder:
-    """Base spans and the candidates above their generator's threshold."""
+    """Base spans and the candidates above their generator's threshold.  Added
+    spans do not overlap each other; they may overlap base spans, save that
+    one which lies whole in them adds nothing."""
 
     trees: Trees
     thresholds: list[float]
@@ -238,11 +264,10 @@ class Finder:
         added: list[Span] = []
         if found:
             p = self.trees.probability(np.array([describe(text, *c) for c in found]))
-            taken = bytearray(len(text))  # the characters that spans hold: linear in a text with very many spans
-            for _, a, b in base:
-                taken[a:b] = b"\1" * (b - a)
+            in_base = whole_in(text, base)
+            taken = bytearray(len(text))  # the characters that added spans hold: linear in a text with very many spans
             for x, (g, a, b) in sorted(zip(p, found), key=lambda t: (-t[0], t[1])):
-                if x >= self.thresholds[g] and taken.find(1, a, b) < 0:
+                if x >= self.thresholds[g] and taken.find(1, a, b) < 0 and not in_base(a, b):
                     added.append((GENERATORS[g][0], a, b))
                     taken[a:b] = b"\1" * (b - a)
         rank = {k: i for i, k in enumerate(KINDS)}
@@ -264,7 +289,7 @@ def train(docs: DataFrame, train_rows: int = 40_000, precision: float = 0.98) ->
         for rb in batches:
             for h, t in zip(rb.column(0).to_pylist(), rb.column(1)):
                 if not held(h):
-                    n.update(c[0] for c in candidates(t.as_py()))
+                    n.update(c[0] for c in addable(t.as_py())[0])
         yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.int32()), pa.array(list(n.values()), pa.int64())], names=["g", "n"])
 
     total = dict(src.mapInArrow(count, "g int, n bigint").groupBy("g").agg(F.sum("n")).collect())
@@ -277,10 +302,10 @@ def train(docs: DataFrame, train_rows: int = 40_000, precision: float = 0.98) ->
             for h, t in zip(rb.column(0).to_pylist(), rb.column(1)):
                 if held(h):
                     continue
-                text, same = t.as_py(), None
-                for c in candidates(text):
+                text = t.as_py()
+                found, same = addable(text)
+                for c in found:
                     if crc32(b"%d %d" % c[:2], h & 0xFFFFFFFF) < share[c[0]] * 2 ** 32:
-                        same = numbers(base_spans(text)) if same is None else same
                         key.append(h)
                         at.append(c[1])
                         y.append(float(vouched(text, *c, same)))
@@ -297,6 +322,14 @@ def train(docs: DataFrame, train_rows: int = 40_000, precision: float = 0.98) ->
     return Finder(trees, calibrate(src, trees, precision))
 
 
+def addable(text: str) -> tuple[list[tuple[int, int, int]], list[list[tuple[int, int]]]]:
+    """The candidates that base spans do not hold whole, and the base ``numbers``."""
+    found = candidates(text)
+    base = base_spans(text) if found else []
+    in_base = whole_in(text, base) if base else lambda a, b: False
+    return [c for c in found if not in_base(*c[1:])], numbers(base)
+
+
 def held(h: int) -> bool:
     """Whether a document, by its hash, is kept out of the trees' training."""
     return h % 4 == 0
@@ -310,8 +343,7 @@ def calibrate(src: DataFrame, trees: Trees, precision: float) -> list[float]:
             out, y, x = [], [], []
             for h, t in zip(rb.column(0).to_pylist(), rb.column(1)):
                 text = t.as_py()
-                found = candidates(text)
-                same = numbers(base_spans(text)) if found else []
+                found, same = addable(text)
                 for c in found:
                     out.append(held(h))
                     y.append(vouched(text, *c, same))

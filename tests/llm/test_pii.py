@@ -124,3 +124,31 @@ def test_long_secrets_are_hidden_to_their_end(docs_of):
     assert all("[SECRET]" in clean[i] and s[-16:] not in clean[i] and clean[i].endswith(" bad face") for i, s in long.items())
     text = "token=" + "x" * 2_000_000 + " " + "A" * 2_000_000
     assert pii.candidates(text) == [(2, 0, 2_000_006)]
+
+
+def test_national_numbers_and_spans_across_base_spans_are_added(docs_of):
+    rng = random.Random(10)
+    rows, phones, secrets = [], {}, {}
+    for i in range(600):
+        w = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(30)]
+        d = [rng.randint(200, 999), rng.randint(200, 999), rng.randint(1000, 9999)]
+        if i % 6 == 0:
+            phones[i] = [f"(0{d[0]}) {d[1]}-{d[2]}", f"{d[0]}-{d[1]}-{d[2]}"][i // 6 % 2]
+            w.insert(15, phones[i])
+        elif i % 6 == 1:
+            phones[i] = f"0{d[0]} {d[2]}{d[1]}"
+            w[15:15] = ["call", phones[i]]
+        elif i % 6 == 2:
+            secrets[i] = f"x{d[0]}@corp.com!Zq{d[2]}"
+            w.insert(15, f"password={secrets[i]}")
+        elif i % 6 == 3:
+            w.insert(15, f"{d[2]}-0{i % 9 + 1}-{d[0] % 18 + 10}")
+        elif i % 6 == 4:
+            w.insert(15, f"{d[2]}{d[1]}{d[0]}{d[1]}")
+        rows.append((i, " ".join(w)))
+    docs = docs_of(rows)
+    clean = {r.doc_id: r.text for r in pii.redact(docs, pii.train(docs)).collect()}
+    assert sum("[NUMBER]" in clean[i] and s not in clean[i] for i, s in phones.items()) >= 0.95 * len(phones)
+    assert all("Zq" not in clean[i] for i in secrets)
+    assert all(clean[i] == t for i, t in rows if i % 6 in (3, 5))
+    assert pii.national("5551234567 on", 0, 10) is False and pii.national("call 555 1234", 5, 13) and not pii.national("call 12/10/2024", 5, 15)

@@ -5,12 +5,17 @@ conversations without quotes.
    number of ``>`` marks before it.  Lines of one level that follow each other
    are a passage; level 0 is the message's own text.  A line that announces a
    quote ("... wrote:") goes with the quote.
-2. Passages are normalised (white space, letter case) and hashed.  A message's
-   own text is indexed as a whole, by blank-line blocks and by lines.
+2. A message's own text and the passages it quotes are split alike: as a whole,
+   by blank-line blocks, by lines and by sentences, which need not end with a
+   line.  Each part is normalised (white space, letter case) and hashed.
 3. For each hash the first message that says it, in each conversation and
-   overall, is found by an aggregation; quotes join these by equality, first
-   within their conversation.  The keys are unique on that side, so a passage
-   that very many messages share cannot multiply rows.
+   overall, is found by an aggregation; quoted parts join these by equality.
+   The keys are unique on that side, so a passage that very many messages share
+   cannot multiply rows.  Of one way of splitting, the parts that join must
+   make up half of the passage's words or more; the way with most words counts,
+   the own conversation before others.  A message that says all parts comes no
+   earlier than the first sayer of any, so the passage's original is the latest
+   of its parts' first sayers.
 4. A message replies to the latest of the originals of its level-1 quotes that
    lie before it in its conversation.  Pointer jumping gives each message the
    root of its thread; a conversation lists its threads by their first turn.
@@ -31,6 +36,11 @@ from plantops.operators.ordinal import ordinal
 _MARKS = re.compile(r"(?:[ \t]{0,3}>)+[ \t]?")
 _ANNOUNCE = re.compile(r"(?i)\b(?:wrote|writes|said|schrieb|a écrit|escribió)\s*:\s*$")
 
+_BLANK = re.compile(r"\n\s*\n")
+_SENTENCE = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])")
+
+_PART = pa.struct([("way", pa.int32()), ("h", pa.binary()), ("words", pa.int64()), ("of", pa.int32())])
+
 
 def parse(text: str) -> list[tuple[int, str]]:
     """(level, passage) in the order of the text; level 0 is own text."""
@@ -55,14 +65,31 @@ def normal_hash(passage: str) -> bytes | None:
     return hashlib.sha256(" ".join(words).encode()).digest()[:16] if words else None
 
 
+def ways(text: str) -> list[list[str]]:
+    """The text as a whole, its blank-line blocks, its lines, its sentences."""
+    blocks = _BLANK.split(text)
+    return [[text], blocks, text.split("\n"), [s for b in blocks for s in _SENTENCE.split(b)]]
+
+
 def own_passages(body: str) -> set[bytes]:
-    parts = {body, *re.split(r"\n\s*\n", body), *body.split("\n")}
-    return {h for h in map(normal_hash, parts) if h}
+    return {h for way in ways(body) for h in map(normal_hash, way) if h}
+
+
+def quoted_parts(passage: str) -> list[tuple[int, bytes, int]]:
+    """(way, hash, words) of each part; a way that splits like an earlier one is left out."""
+    out: list[dict[bytes, int]] = []
+    for way in ways(passage):
+        words: dict[bytes, int] = {}
+        for part in way:
+            if h := normal_hash(part):
+                words[h] = words.get(h, 0) + len(part.split())
+        out.append({} if words in out else words)
+    return [(i, h, n) for i, words in enumerate(out) for h, n in words.items()]
 
 
 def link_quotes(messages: DataFrame) -> DataFrame:
     """Per message: conv_id, turn, role, body (own text), n_quotes (quoted
-    passages), n_linked (those with an original), max_level, reply_to_conv and
+    passages), n_linked (those with an original, see step 3), max_level, reply_to_conv and
     reply_to_turn (null: no original), thread (turn of the thread's root) and
     position (gapless from 0 in the conversation, threads by first turn).
 
@@ -74,29 +101,44 @@ def link_quotes(messages: DataFrame) -> DataFrame:
 
     def run(batches):
         for rb in batches:
-            body, own, level, digest = [], [], [], []
+            body, level, digest, parts = [], [], [], []
             for t in rb.column(3):
-                parts = parse(t.as_py())
-                mine = "\n".join(p for n, p in parts if not n).strip("\n")
-                quoted = [(n, h) for n, p in parts if n and (h := normal_hash(p))]
-                body.append(mine)
-                own.append(sorted(own_passages(mine)))
-                level.append([n for n, _ in quoted])
-                digest.append([h for _, h in quoted])
-            yield pa.RecordBatch.from_arrays([*rb.columns[:3], pa.array(body, pa.string()), pa.array(own, pa.list_(pa.binary())), pa.array(level, pa.list_(pa.int32())), pa.array(digest, pa.list_(pa.binary()))],
-                                             names=["conv_id", "turn", "role", "body", "own", "level", "digest"])
-
-    parsed = materialise(src.mapInArrow(run, "conv_id bigint, turn bigint, role string, body string, own array<binary>, level array<int>, digest array<binary>"), "messages")
-    quotes = parsed.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode(F.arrays_zip("level", "digest")).alias("q")).select("conv_id", "turn", "q.level", F.col("q.digest").alias("h")).distinct()
+                passages = parse(t.as_py())
+                body.append("\n".join(p for n, p in passages if not n).strip("\n"))
+                quoted = [(n, h, p) for n, p in passages if n and (h := normal_hash(p))]
+                level.append([n for n, _, _ in quoted])
+                digest.append([h for _, h, _ in quoted])
+                parts.append([{"way": i, "h": h, "words": w, "of": k} for k, (_, _, p) in enumerate(quoted) for i, h, w in quoted_parts(p)])
+            yield pa.RecordBatch.from_arrays([*rb.columns[:3], pa.array(body, pa.string()), pa.array(level, pa.list_(pa.int32())), pa.array(digest, pa.list_(pa.binary())), pa.array(parts, pa.list_(_PART))],
+                                             names=["conv_id", "turn", "role", "body", "level", "digest", "parts"])
+
+    def index(batches):
+        for rb in batches:
+            row, h = [], []
+            for i, t in enumerate(rb.column(2)):
+                own = sorted(own_passages(t.as_py()))
+                row += [i] * len(own)
+                h += own
+            yield pa.RecordBatch.from_arrays([rb.column(0).take(pa.array(row, pa.int64())), rb.column(1).take(pa.array(row, pa.int64())), pa.array(h, pa.binary())], names=["conv_id", "turn", "h"])
+
+    parsed = materialise(src.mapInArrow(run, "conv_id bigint, turn bigint, role string, body string, level array<int>, digest array<binary>, parts array<struct<way: int, h: binary, words: bigint, of: int>>"), "messages")
+    placed = parsed.where("conv_id is not null and turn is not null")
+    # a passage is known by its level and its whole hash: one that a message repeats counts once
+    quotes = (placed.select("conv_id", "turn", "level", "digest", F.explode("parts").alias("p"))
+              .select("conv_id", "turn", F.col("level")[F.col("p.of")].alias("level"), F.col("digest")[F.col("p.of")].alias("passage"), "p.way", "p.h", "p.words").distinct())
     # only what somebody quotes needs an index; a semi join keeps the rest out
-    said = parsed.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode("own").alias("h")).join(quotes.select("h").distinct(), "h", "left_semi")
+    said = placed.select("conv_id", "turn", "body").mapInArrow(index, "conv_id bigint, turn bigint, h binary").join(quotes.select("h").distinct(), "h", "left_semi")
     # written, so that the joins with them are of two plain shuffles, which AQE splits at a hot passage
     here = materialise(said.groupBy("h", "conv_id").agg(F.min("turn").alias("turn_here")), "said-here")
-    first = materialise(said.groupBy("h").agg(F.min(F.struct("conv_id", "turn")).alias("f")).select("h", F.col("f.conv_id").alias("conv_first"), F.col("f.turn").alias("turn_first")), "said-first")
-    found = (quotes.join(here, ["h", "conv_id"], "left").join(first, "h", "left")
-             .withColumn("near", F.when(F.col("turn_here") < F.col("turn"), F.struct(F.col("conv_id").alias("c"), F.col("turn_here").alias("t"))))
-             .withColumn("far", F.when(F.col("conv_first") != F.col("conv_id"), F.struct(F.col("conv_first").alias("c"), F.col("turn_first").alias("t"))))
-             .withColumn("original", F.coalesce("near", "far")))
+    first = materialise(here.groupBy("h").agg(F.min(F.struct("conv_id", "turn_here")).alias("f")).select("h", F.col("f.conv_id").alias("conv_first"), F.col("f.turn_here").alias("turn_first")), "said-first")
+    part = (quotes.join(here, ["h", "conv_id"], "left").join(first, "h", "left")
+            .withColumn("near", F.when(F.col("turn_here") < F.col("turn"), F.struct(F.col("conv_id").alias("c"), F.col("turn_here").alias("t"))))
+            .withColumn("far", F.when(F.col("conv_first") != F.col("conv_id"), F.struct(F.col("conv_first").alias("c"), F.col("turn_first").alias("t")))))
+    found = part.groupBy("conv_id", "turn", "level", "passage", "way").agg(F.sum("words").alias("all"), *[x for side in ("near", "far") for x in (
+        F.max(side).alias(side), F.coalesce(F.sum(F.when(F.col(side).isNotNull(), F.col("words"))), F.lit(0)).alias(f"{side}_words"))])
+    enough = [F.when(2 * F.col(f"{side}_words") >= F.col("all"), F.struct(F.col(f"{side}_words").alias("words"), F.lit(side == "near").alias("near"), (-F.col("way")).alias("way"), F.col(side).alias("to"))) for side in ("near", "far")]
+    found = (found.groupBy("conv_id", "turn", "level", "passage").agg(F.max(F.greatest(*enough)).alias("best"))
+             .withColumn("original", F.col("best.to")).withColumn("near", F.when(F.col("best.near"), F.col("best.to"))))
     direct = F.when(F.col("level") == 1, F.col("near"))
     replies = materialise(found.groupBy("conv_id", "turn").agg(
         F.sum(F.when(F.col("original").isNotNull(), 1).otherwise(0)).alias("n_linked"), F.max("level").alias("max_level"),
@@ -114,7 +156,7 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     on = [F.col("conv_id") == F.col("__c"), F.col("turn") == F.col("__t")]
     known = (replies.join(up, ["conv_id", "turn"], "left")
              .select(F.col("conv_id").alias("__c"), F.col("turn").alias("__t"), "n_linked", "max_level", F.col("to.c").alias("reply_to_conv"), F.col("to.t").alias("reply_to_turn"), "root"))
-    out = parsed.withColumn("n_quotes", F.size("digest").cast("long")).drop("own", "level", "digest").join(known, on, "left").withColumn("thread", F.coalesce("root", "turn"))
+    out = parsed.withColumn("n_quotes", F.size("digest").cast("long")).drop("level", "digest", "parts").join(known, on, "left").withColumn("thread", F.coalesce("root", "turn"))
     # numbered over ranges of (conversation, thread, turn), so neither a long conversation nor a long thread is one task's;
     # repeats of a turn are ordered by a hash, as range bounds must not carry whole texts to the driver
     out = out.withColumn("__same", F.xxhash64("role", "body"))

@@ -41,3 +41,19 @@ def test_one_thread_of_a_hot_conversation_is_numbered_in_order(spark):
     out = quotes.link_quotes(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(7)).collect()
     assert all(r.thread == 0 and r.position == r.turn for r in out if r.conv_id == 1)
     assert len(out) == 3001 and {r.position for r in out if r.conv_id == 2} == {0}
+
+
+def test_partial_quotes_of_more_than_one_line_are_linked(spark):
+    rows = [(1, 0, "Hello all\n\nfirst line of it\nsecond line of it\nthird line of it\n\nlast paragraph here"),
+            (1, 1, "hello all\n\nA plan that is long. It has a second sentence, which is\nlong too. And a third one"),
+            (1, 2, "> second line of it\n> third line of it\ntwo of three lines"),
+            (1, 3, "> first line of it\n> second line of it\n> third line of it\n>\n> last paragraph here\ntwo of three paragraphs"),
+            (1, 4, "> It has a\n> second sentence, which is long\n> too. And a third\n> one\nwrapped anew"),
+            (1, 5, "> hello all\n> but nobody said any of the rest of this\nno"),
+            (1, 6, "> Hello all\n>\n> A plan that is long.\nthe greeting was said before"),
+            (2, 0, "> first line of it\n> third line of it\nfrom elsewhere")]
+    frame = spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id bigint, turn bigint, role string, text string")
+    got = {(r.conv_id, r.turn): r for r in quotes.link_quotes(frame).collect()}
+    assert [(got[1, t].n_linked, got[1, t].reply_to_turn) for t in range(2, 7)] == [(1, 0), (1, 0), (1, 1), (0, None), (1, 1)]
+    assert (got[2, 0].n_linked, got[2, 0].reply_to_conv, got[2, 0].reply_to_turn) == (1, 1, 0)
+    assert [got[1, t].thread for t in range(7)] == [0, 1, 0, 0, 1, 5, 1]

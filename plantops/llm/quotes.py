@@ -8,8 +8,8 @@ conversations without quotes.
 2. A message's own text and the passages it quotes are split alike: as a whole,
    by blank-line blocks, by lines and by sentences, which need not end with a
    line.  Each part is normalised (white space, letter case) and hashed.
-3. For each hash the first message that says it, in each conversation and
-   overall, is found by an aggregation; quoted parts join these by equality.
+3. For each hash the first message that says it, in each conversation and in
+   the first two conversations, is found by an aggregation; quoted parts join these by equality.
    The keys are unique on that side, so a passage that very many messages share
    cannot multiply rows.  Of one way of splitting, the parts that join must
    make up half of the passage's words or more; the way with most words counts,
@@ -130,10 +130,14 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     said = placed.select("conv_id", "turn", "body").mapInArrow(index, "conv_id bigint, turn bigint, h binary").join(quotes.select("h").distinct(), "h", "left_semi")
     # written, so that the joins with them are of two plain shuffles, which AQE splits at a hot passage
     here = materialise(said.groupBy("h", "conv_id").agg(F.min("turn").alias("turn_here")), "said-here")
-    first = materialise(here.groupBy("h").agg(F.min(F.struct("conv_id", "turn_here")).alias("f")).select("h", F.col("f.conv_id").alias("conv_first"), F.col("f.turn_here").alias("turn_first")), "said-first")
+    # of the two first conversations, so that one outside the quoting conversation is at hand
+    least = F.min(F.struct(F.col("conv_id").alias("c"), F.col("turn_here").alias("t")))
+    first = materialise(here.groupBy("h").agg(least.alias("first")), "said-first")
+    second = here.join(first, "h").where(F.col("conv_id") != F.col("first.c")).groupBy("h").agg(least.alias("second"))
+    first = materialise(first.join(second, "h", "left"), "said-first")
     part = (quotes.join(here, ["h", "conv_id"], "left").join(first, "h", "left")
             .withColumn("near", F.when(F.col("turn_here") < F.col("turn"), F.struct(F.col("conv_id").alias("c"), F.col("turn_here").alias("t"))))
-            .withColumn("far", F.when(F.col("conv_first") != F.col("conv_id"), F.struct(F.col("conv_first").alias("c"), F.col("turn_first").alias("t")))))
+            .withColumn("far", F.when(F.col("first.c") != F.col("conv_id"), F.col("first")).otherwise(F.col("second"))))
     found = part.groupBy("conv_id", "turn", "level", "passage", "way").agg(F.sum("words").alias("all"), *[x for side in ("near", "far") for x in (
         F.max(side).alias(side), F.coalesce(F.sum(F.when(F.col(side).isNotNull(), F.col("words"))), F.lit(0)).alias(f"{side}_words"))])
     enough = [F.when(2 * F.col(f"{side}_words") >= F.col("all"), F.struct(F.col(f"{side}_words").alias("words"), F.lit(side == "near").alias("near"), (-F.col("way")).alias("way"), F.col(side).alias("to"))) for side in ("near", "far")]

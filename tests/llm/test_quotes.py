@@ -57,3 +57,10 @@ def test_partial_quotes_of_more_than_one_line_are_linked(spark):
     assert [(got[1, t].n_linked, got[1, t].reply_to_turn) for t in range(2, 7)] == [(1, 0), (1, 0), (1, 1), (0, None), (1, 1)]
     assert (got[2, 0].n_linked, got[2, 0].reply_to_conv, got[2, 0].reply_to_turn) == (1, 1, 0)
     assert [got[1, t].thread for t in range(7)] == [0, 1, 0, 0, 1, 5, 1]
+
+
+def test_a_quote_is_linked_elsewhere_if_its_own_conversation_says_it_first_but_later(spark):
+    rows = [(1, 0, "> common passage\nhere"), (1, 4, "common passage"), (2, 3, "common passage"), (3, 1, "common passage"), (4, 0, "> common passage\nthere")]
+    frame = spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id bigint, turn bigint, role string, text string")
+    got = {(r.conv_id, r.turn): (r.n_linked, r.reply_to_conv, r.reply_to_turn) for r in quotes.link_quotes(frame).collect()}
+    assert got[1, 0] == (1, 2, 3) and got[4, 0] == (1, 1, 4)

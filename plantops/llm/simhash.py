@@ -237,27 +237,49 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     but do not name a component; if a component has no other rows its id is
     null.  Repeated rows come back as often; an empty table gives no row;
     other columns are left out."""
+    return _grouped(docs, shingle, max_bits, seed).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _grouped(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, seed: int = SEED) -> DataFrame:
+    """(doc_id, fp, root, component_id) for every row: root is the least
+    fingerprint of the component and stands for it alone, which component_id
+    does not where a doc_id repeats."""
     fps = materialise(fingerprints(docs, shingle, seed), "fingerprints")
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(nodes, max_bits))
     member = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = materialise(member.groupBy("root").agg(F.min("least").alias("component_id")), "components")
-    of = member.select("fp", "root").join(named, "root").select(F.col("fp").alias("__fp"), "component_id")
-    return (fps.join(of, F.col("fp") == F.col("__fp"))
-               .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
+    of = member.select("fp", "root").join(named, "root").select(F.col("fp").alias("__fp"), "root", "component_id")
+    return fps.join(of, F.col("fp") == F.col("__fp")).select("doc_id", "fp", "root", "component_id")
 
 
 def keep_representatives(docs: DataFrame, **settings) -> DataFrame:
-    """One document of each component, unchanged: the one whose doc_id names
-    the component.  doc_id identifies a document: of rows that repeat a kept
-    doc_id the least row (by its other columns) stays.  Rows without a doc_id
+    """One document of each component, unchanged: one whose doc_id names the
+    component and whose text lies in it.  Where a doc_id repeats with texts of
+    several components that it names, each keeps one; of its rows in one
+    component the least (by its other columns) stays.  Rows without a doc_id
     all stay, as nothing names one of them."""
-    groups = materialise(near_duplicates(docs, **settings).where("doc_id is not null"), "groups")
+    groups = materialise(_grouped(docs, **settings).where("doc_id is not null"), "groups")
     count = groups.groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("__n"),
                                                               F.max(F.col("doc_id") == F.col("component_id")).alias("__kept")).where("__kept")
     same = docs.doc_id == F.col("__id")
     single = docs.join(count.where("__n = 1"), same, "left_semi")
+    # only of rows whose doc_id repeats the text has to tell the component
     twice = docs.join(count.where("__n > 1"), same, "left_semi")
-    least = twice.groupBy("doc_id").agg(F.min(F.struct(*[c for c in docs.columns if c != "doc_id"])).alias("__row"))
+    named = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__id"), F.col("fp").alias("__of"), F.col("root").alias("__root")).distinct()
+    placed = _with_fingerprint(twice, settings.get("shingle", SHINGLE), settings.get("seed", SEED)).join(named, (F.col("doc_id") == F.col("__id")) & (F.col("__fp") == F.col("__of")))
+    least = placed.groupBy("doc_id", "__root").agg(F.min(F.struct(*[c for c in docs.columns if c != "doc_id"])).alias("__row"))
     return (single.unionByName(least.select("doc_id", "__row.*").select(*docs.columns))
                   .unionByName(docs.where("doc_id is null")))
+
+
+def _with_fingerprint(docs: DataFrame, shingle: int, seed: int) -> DataFrame:
+    """``docs`` with its fingerprints as ``__fp``."""
+    schema, at = docs.withColumn("__fp", F.lit(0).cast("long")).schema, docs.columns.index("text")
+
+    def run(batches):
+        for rb in batches:
+            fp = np.fromiter((fingerprint(x.as_py() or "", shingle, seed) for x in rb.column(at)), np.uint64, rb.num_rows)
+            yield pa.RecordBatch.from_arrays([*rb.columns, pa.array(fp.view(np.int64))], names=[*rb.schema.names, "__fp"])
+
+    return docs.mapInArrow(run, schema)

@@ -106,3 +106,15 @@ def test_near_duplicates_and_filter(docs_of):
 def test_empty_table(docs_of):
     assert simhash.near_duplicates(docs_of([])).count() == 0
     assert simhash.keep_representatives(docs_of([])).count() == 0
+
+
+def test_a_repeated_doc_id_keeps_a_document_of_each_component(docs_of):
+    rng = random.Random(4)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(80))
+    a, b, c, d = sorted(text() for _ in range(4))
+    # 5 names the components of a lesser and a greater text than that of doc 3; 7 names two; 8 repeats one row
+    rows = [(3, b), (5, a), (5, b), (6, c), (9, c), (7, d), (7, text() + " x"), (8, e := text()), (8, e), (10, a)]
+    kept = [(r.doc_id, r.text) for r in simhash.keep_representatives(docs_of(rows)).collect()]
+    assert sorted(kept) == sorted([(3, b), (5, a), (6, c), rows[5], rows[6], (8, e)])
+    kept = [(r.doc_id, r.text) for r in simhash.keep_representatives(docs_of([(3, a), (5, b), (5, a)])).collect()]
+    assert sorted(kept) == [(3, a), (5, b)]

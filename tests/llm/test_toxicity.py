@@ -58,3 +58,18 @@ def test_no_labels(spark, docs_of):
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     assert tox.classify(docs_of([(1, "a b"), (2, None)]), none).count() == 2
     assert tox.classify(docs_of([]), none).count() == 0
+
+
+def test_training_takes_twelve_thousand_labelled_rows(spark):
+    from pyspark.sql import functions as F
+
+    ids = spark.range(16_000).where(~tox.held_out(F.col("id")))
+    n = ids.count()
+    assert n > 12_000
+    rank = {r.id: r.k for r in ids.select("id", F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(n)).alias("k")).collect()}
+    rare = set(sorted(i for i, k in rank.items() if 8_000 <= k < 12_000)[:40])
+    rows = [(i, f"some words of text {'zgrubl' if i in rare else 'vrokk' if i % 9 == 0 else 'plain'} here") for i in rank]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    marks = spark.createDataFrame([(i, int(i in rare or i % 9 == 0)) for i in rank], "doc_id bigint, toxic int")
+    model = tox.train(docs, marks)
+    assert model.weights.get(tox.features("zgrubl")[0], 0.0) > 0.5

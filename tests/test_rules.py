@@ -4,7 +4,7 @@ no tests; these are the cases its loops decide)."""
 import datetime as dt
 
 import pytest
-from conftest import make_erp
+from erp_frames import make_erp
 
 from plantops.operators import checklists as C
 from plantops.operators import documents as D

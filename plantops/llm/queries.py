@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantops.llm import ann, bpe, packing, pii, quality, quotes, sharding, simhash, toxicity, warc
+from plantops.llm import ann, bpe, decontam, manifest, packing, pii, quality, quotes, sharding, simhash, toxicity, warc, whitening
 from plantops.llm.common import ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +129,27 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations in reply order, without quotes."""
     return quotes.link_quotes(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in every document."""
+    return decontam.report(decontam.find_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+ORACLES["op11_decontamination"] = decontam.oracle_sql()
+
+
+@query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 32 leading whitened components of every embedding."""
+    return whitening.by_component(whitening.whiten(table(spark, sf_dir, "embeddings"), components=32))
+
+
+@query
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proof of every document against the manifest of all, some of them tampered with."""
+    return manifest.verify(manifest.proofs(manifest.build(table(spark, sf_dir, "documents"), manifest.lower_some())))
+
+
+ORACLES["op13_manifest"] = manifest.oracle_sql()

@@ -32,13 +32,13 @@ def qty_sum(x) -> Column:
 
 def excess5(x) -> Column:
     """M1: ``float(qty*0.05) + qty`` per row, in DOUBLE like the reference."""
-    q = _c(x).cast("double")
+    q = _c(x).try_cast("double")
     return q * F.lit(0.05) + q
 
 
-def excess5_sum(x) -> Column:
-    """Order/item total of ``excess5``: exact decimal sum times 1.05."""
-    return (F.sum(_c(x).cast(QTY)) * F.lit(1.05).cast("decimal(3,2)")).cast("double")
+def plus5(total) -> Column:
+    """A total with 5 % excess: an exact decimal sum times 1.05."""
+    return (_c(total) * F.lit(1.05).cast("decimal(3,2)")).cast("double")
 
 
 def _number(x) -> Column:
@@ -56,8 +56,10 @@ def cint(x, default: int = 0) -> Column:
 
 
 def round2(x) -> Column:
-    """M3: ``flt(x, 2)``: NULL -> 0, banker's rounding to 2 places (via decimal)."""
-    return F.coalesce(F.bround(_c(x).cast(QTY), 2), F.lit(0).cast(QTY))
+    """M3: ``flt(x, 2)``: NULL, blank or text that is no number -> 0 (thousands
+    commas go), banker's rounding to 2 places (via decimal)."""
+    number = F.replace(_c(x).cast("string"), F.lit(","), F.lit(""))
+    return F.coalesce(F.bround(number.try_cast(QTY), 2), F.lit(0).cast(QTY))
 
 
 def or_zero(x) -> Column:
@@ -71,8 +73,11 @@ def days_left(delivery, as_of) -> Column:
 
 
 def add_days(date, days) -> Column:
-    """M7: ``add_days(date, cint(days))``."""
-    return F.date_add(_c(date).cast("date"), cint(days).cast("int"))
+    """M7: ``add_days(date, cint(days))``; NULL where no calendar reaches
+    (the result lies outside the years 1 to 9999)."""
+    day = _c(date).cast("date")
+    n = F.datediff(day, F.lit("1970-01-01").cast("date")).cast("decimal(38,0)") + cint(days).cast("decimal(38,0)")
+    return F.when(n.between(-719162, 2932896), F.date_add(day, cint(days).try_cast("int")))
 
 
 def non_blank(x) -> Column:

@@ -36,8 +36,9 @@ def latest_row(df: DataFrame, key: str, order: list[Column], cols: list[str]) ->
 
 
 def latest_bin(bins: DataFrame) -> DataFrame:
-    """A5 for Bin: per item, the row with the latest ``modified``, then lowest ``name``."""
-    newest_first = -F.unix_micros(F.col("modified").cast("timestamp"))
+    """A5 for Bin: per item, the row with the latest ``modified`` (NULL is the
+    oldest), then lowest ``name``."""
+    newest_first = F.coalesce(-F.unix_micros(F.col("modified").cast("timestamp")), F.lit((1 << 63) - 1))
     return latest_row(bins, "item_code", [newest_first, F.col("name")],
                       ["name", "warehouse", "actual_qty", "modified"])
 

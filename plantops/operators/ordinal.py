@@ -144,3 +144,14 @@ def global_ordinal(df: DataFrame, order: list, name: str = "seq",
                    partitions: int | None = None) -> DataFrame:
     """Dense 1..N numbering of a whole frame without a single-task window."""
     return ordinal(df, [], order, name=name, partitions=partitions)
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "idx", hot_rows: int = 1_000_000) -> DataFrame:
+    """:func:`ordinal` for rows whose groups are usually small: the largest
+    group is measured first; up to ``hot_rows`` a window numbers the rows where
+    a shuffle on the keys puts them, beyond it :func:`ordinal` splits the group.
+    Both give the same numbers."""
+    largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if largest > hot_rows:
+        return ordinal(df, keys, order, name)
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))

@@ -31,6 +31,14 @@ def production_planning(erp):
     return R.production_planning(erp, AS_OF)
 
 
+@register("order_excess_total", f"""
+SELECT i.parent AS sales_order, MAX(i.idx) AS lines, CAST(SUM(CAST(i.qty AS DECIMAL(21,9))) AS DOUBLE) AS total_qty, {_EXCESS_TOTAL} AS excess_total
+FROM v_sales_order_item i WHERE i.parent IN (SELECT name FROM v_sales_order WHERE docstatus = 1) GROUP BY i.parent""")
+def order_excess_total(erp):
+    """Total of each submitted order with 5 % excess."""
+    return R.order_excess_total(erp)
+
+
 @register("sales_order_lines", """
 SELECT s.name AS so_name, CASE WHEN i.idx = 1 THEN s.customer END AS customer, i.item_code AS product_code,
        s.delivery_date, s.transaction_date AS po_date, it.custom_tube_dia AS tube_size,

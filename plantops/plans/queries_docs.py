@@ -66,6 +66,15 @@ def work_order_item(erp):
 _FILTERS = {"work_order": ["!=", ""],
             "stock_entry_type": ["in", [fixed.SE_TRANSFER_FOR_MANUFACTURE, "Manufacture"]],
             "docstatus": 1}
+_TYPED_FILTERS = [["Stock Entry", "posting_date", "!=", "1995-06-17"], ["Stock Entry", "docstatus", "not in", ["2", 3]],
+                  ["Stock Entry", "work_order", "not in", ["WO-1", "WO-2"]], ["Stock Entry", "posting_date", ">=", "1993-01-01"]]
+
+
+@register("filter_typed", """SELECT * FROM v_stock_entry WHERE COALESCE(posting_date, DATE '0001-01-01') <> DATE '1995-06-17'
+  AND COALESCE(docstatus, 0) NOT IN (2, 3) AND COALESCE(work_order, '') NOT IN ('WO-1', 'WO-2') AND posting_date >= DATE '1993-01-01'""")
+def filter_typed(erp):
+    """ERP filters in list form on date, number and text fields (a NULL work order passes ``not in``)."""
+    return K.filter_docs(erp.stock_entry, _TYPED_FILTERS)
 
 
 @register("filter_docs", f"""SELECT * FROM v_stock_entry WHERE COALESCE(work_order, '') <> ''
@@ -159,7 +168,7 @@ _SUP_ITEMS = f"SELECT parent FROM v_item_default WHERE default_supplier = {PRICE
   WHERE p.price_list = {_q(PRICE_LIST)} AND p.item_code IN ({_SUP_ITEMS})""")
 def supplier_items(erp):
     """Price rows of the list whose item has the supplier as default."""
-    return P.supplier_items(erp.item_price, erp.item_default, PRICE_SUPPLIER, PRICE_LIST)
+    return P.supplier_items(erp.item_price, erp.unnumbered("item_default"), PRICE_SUPPLIER, PRICE_LIST)
 
 
 _CHANGE = (f"p.price_list = {_q(PRICE_LIST)} AND q.parent IS NOT NULL "
@@ -175,7 +184,7 @@ FROM v_item_price p LEFT JOIN (SELECT DISTINCT parent FROM v_item_default
                                WHERE default_supplier = {PRICE_SUPPLIER}) q ON q.parent = p.item_code""")
 def price_revision(erp):
     """Item price table after the supplier price revision."""
-    return P.price_revision(erp.item_price, erp.item_default, PRICE_SUPPLIER, PRICE_LIST,
+    return P.price_revision(erp.item_price, erp.unnumbered("item_default"), PRICE_SUPPLIER, PRICE_LIST,
                             str(PRICE_AMOUNT), PRICE_VALID_FROM)
 
 # ---------------------------------------------------------------- checklists

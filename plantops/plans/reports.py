@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plantops.functions.filters import apply_filters
-from plantops.functions.scalars import (days_left, excess5, excess5_sum, non_blank, or_zero,
-                                        round2)
+from plantops.functions.scalars import days_left, excess5, non_blank, or_zero, plus5, round2
 from plantops.operators.lines import first_match, latest_bin
 from plantops.operators.quantities import pending_po, printed_qty
+from plantops.operators.segments import group_marks
 from plantops.sources import fixed
 from plantops.sources.erp import Erp
 
@@ -28,28 +28,20 @@ def production_planning(erp: Erp, as_of: dt.date | str, filters=None) -> DataFra
     qty*1.05 over the order) only on the last.  ``filters`` is accepted and
     ignored, as in the reference.  ``as_of`` replaces "today".
 
-    Plan: lines join their header on ``parent`` (AQE splits a hot order);
-    the per-order total is an aggregate (combined map-side) joined back on
-    the unique key ``(parent, last idx)``, so a hot order never forms one
-    group; the Item lookup is left to the planner's size check.
+    Plan: the lines join their header once, on ``parent`` (without an exchange
+    where both are stored in buckets; AQE splits a hot order elsewhere), and
+    one pass over them gives the first and last marks and the total
+    (:func:`~plantops.operators.segments.group_marks`); the Item lookup is left
+    to the planner's size check.
     """
-    so = erp.sales_order.where(F.col("docstatus") == 1).select(
-        "name", "customer", "transaction_date", "delivery_date")
-    items = erp.sales_order_item.select("parent", "idx", "item_code", "item_name", "qty")
-    lines = items.join(so, items["parent"] == so["name"], "inner")
-
-    per_order = (items.join(so, items["parent"] == so["name"], "left_semi").groupBy("parent")
-                      .agg(F.max("idx").alias("_last"), excess5_sum("qty").alias("_total"))
-                      .select(F.col("parent").alias("_p"), "_last", "_total"))
-    lines = lines.join(per_order, (lines["parent"] == per_order["_p"]) & (lines["idx"] == per_order["_last"]),
-                       "left")
+    lines = submitted_lines(erp, ["idx", "item_code", "item_name", "qty"], ["customer", "transaction_date", "delivery_date"])
+    lines = group_marks(lines, ["parent"], ["idx"], F.col("qty"), clustered=erp.clustered("sales_order_item"))
 
     item = erp.item.select(F.col("name").alias("_item"), "custom_tube_dia", "custom_lacquer_porosity")
     lines = lines.join(item, lines["item_code"] == item["_item"], "left")
 
-    first = F.col("idx") == 1
     return lines.select(
-        F.when(first, F.col("customer")).alias("customer_name"),
+        F.when(F.col("is_first"), F.col("customer")).alias("customer_name"),
         F.col("item_code").alias("product_code"),
         F.col("transaction_date").alias("po_date"),
         F.col("delivery_date"),
@@ -61,13 +53,30 @@ def production_planning(erp: Erp, as_of: dt.date | str, filters=None) -> DataFra
         F.lit("sample-tube-gms").alias("tube_gms"),
         F.col("qty").alias("po_qty"),
         excess5("qty").alias("excess_add_5"),
-        F.col("_total").alias("customer_total_qty"),
+        F.when(F.col("is_last"), plus5(F.col("running"))).alias("customer_total_qty"),
         F.lit("sample-printed-qty").alias("printed_qty"),
         F.lit("sample-pending").alias("pending"),
         F.lit("sample-customer-total-balance").alias("customer_total_balance"),
         days_left("delivery_date", as_of).alias("days_left"))
 
 
+def submitted_lines(erp: Erp, line_cols: list[str], header_cols: list[str]) -> DataFrame:
+    """The lines of submitted sales orders with columns of their header."""
+    so = erp.sales_order.where(F.col("docstatus") == 1).select("name", *header_cols)
+    items = erp.sales_order_item.select("parent", *line_cols)
+    return items.join(so, items["parent"] == so["name"], "inner")
+
+
+def order_excess_total(erp: Erp) -> DataFrame:
+    """Per submitted sales order, its number of lines, the sum of qty and
+    that sum with 5 % excess: the segmented sums at the order's last line, so
+    an order of any size is summed by many tasks."""
+    lines = submitted_lines(erp, ["idx", "qty"], []).drop("name")
+    last = group_marks(lines, ["parent"], ["idx"], F.col("qty")).where("is_last")
+    return last.select(F.col("parent").alias("sales_order"), F.col("idx").alias("lines"), F.col("running").cast("double").alias("total_qty"),
+                       plus5(F.col("running")).alias("excess_total"))
+
+
 def sales_order_lines(erp: Erp) -> DataFrame:
     """One row per line of every sales order (drafts and cancelled
     too); customer only on the order's first line."""

@@ -21,8 +21,10 @@ from plantops.sources import schemas
 
 
 class Erp:
-    def __init__(self, spark: SparkSession, builders: dict[str, Callable[[], DataFrame]]):
+    def __init__(self, spark: SparkSession, builders: dict[str, Callable[[], DataFrame]],
+                 clustered: Callable[[str], bool] = lambda name: False):
         self.spark = spark
+        self._is_clustered = clustered
         self._builders = dict(builders)
         self._built: dict[str, DataFrame] = {}
 
@@ -45,13 +47,19 @@ class Erp:
         plain = f"{name}__plain"
         return self[plain] if plain in self._builders else self[name]
 
+    def clustered(self, name: str) -> bool:
+        """The table's rows of one parent lie together, and no parent is too
+        large for a task (a bucketed table of a store)."""
+        self[name]
+        return self._is_clustered(name)
+
     def tables(self) -> list[str]:
         return sorted(t for t in self._builders if not t.endswith("__plain"))
 
     def with_table(self, name: str, df: DataFrame) -> "Erp":
         b = {k: v for k, v in self._builders.items() if k != f"{name}__plain"}
         b[name] = lambda: df
-        out = Erp(self.spark, b)
+        out = Erp(self.spark, b, lambda t: t != name and self._is_clustered(t))
         out._built = {k: v for k, v in self._built.items() if k != name}
         return out
 

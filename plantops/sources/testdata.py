@@ -1,9 +1,11 @@
 """ERP tables mapped from the TPC-H-shaped test tables (see FIXTURES.md).
 
-Each mapped table is a plain DataFrame plan over the parquet files.  Child tables get their ``idx`` from the skew-safe
-:func:`~plantops.operators.ordinal.ordinal`, in the order
+Each mapped table is a DataFrame plan over the parquet files.  Child tables
+get their ``idx`` in the order
 ``(l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice)``, which
-is total inside an order; the numbered lines are made once for each bundle.
+is total inside an order.  Numbered lines, the child tables that are joined
+with their header and those headers are written once for each application and
+input (:mod:`~plantops.sources.store`).
 ``<table>__plain`` builders leave ``idx`` out, for the queries that only
 filter, join and sum lines: these read the columns they use and number nothing.
 """
@@ -13,9 +15,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantops.operators.ordinal import ordinal
+from plantops.operators.ordinal import numbered
 from plantops.sources import fixed
 from plantops.sources.erp import Erp
+from plantops.sources.store import store_for
 
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
 
@@ -59,13 +62,19 @@ def erp_from_testdata(spark: SparkSession, sf_dir: str) -> Erp:
     def read(t: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{t}.parquet")
 
-    numbered: dict[tuple[str, ...], DataFrame] = {}
+    store = store_for(spark, [f"{sf_dir}/{t}.parquet" for t in ("lineitem", "orders", "part")])
 
-    def lines(*cols: str) -> DataFrame:
-        need = tuple(dict.fromkeys(["l_orderkey", *LINE_ORDER, *cols]))
-        if need not in numbered:
-            numbered[need] = ordinal(read("lineitem").select(*need), ["l_orderkey"], LINE_ORDER, "idx")
-        return numbered[need]
+    def lines() -> DataFrame:
+        """All lines with ``idx`` inside their order."""
+        return store.child("lines", lambda: numbered(read("lineitem").select("l_orderkey", *LINE_ORDER, "l_returnflag"), ["l_orderkey"], LINE_ORDER),
+                           key="l_orderkey")
+
+    def pairs() -> DataFrame:
+        """The parts' suppliers with ``idx`` inside the part and ``sidx`` inside its section."""
+        def build() -> DataFrame:
+            found = read("lineitem").select("l_partkey", "l_suppkey").distinct().withColumn("section", F.col("l_suppkey") % len(fixed.PMC_SECTIONS))
+            return numbered(numbered(found, ["l_partkey"], ["l_suppkey"]), ["l_partkey", "section"], ["l_suppkey"], "sidx")
+        return store.child("item_suppliers", build, key="l_partkey")
 
     def part(*cols: str) -> DataFrame:
         return read("part").select("p_partkey", *cols)
@@ -75,21 +84,25 @@ def erp_from_testdata(spark: SparkSession, sf_dir: str) -> Erp:
 
     b = {}
 
-    b["sales_order"] = lambda: read("orders").select(
-        F.col("o_orderkey").alias("name"),
-        F.col("o_custkey").alias("customer"),
-        _docstatus(F.col("o_orderstatus")).alias("docstatus"),
-        order_date().alias("transaction_date"),
-        F.date_add(order_date(), 30).alias("delivery_date"),
-        F.concat(F.lit("CPO-"), _s("o_orderkey")).alias("po_no"),
-        F.date_sub(order_date(), 7).alias("po_date"))
-
-    b["sales_order_item"] = lambda: lines().join(
-        part("p_name", "p_retailprice"), F.col("l_partkey") == F.col("p_partkey")).select(
-        F.col("l_orderkey").alias("parent"), "idx",
-        F.col("l_partkey").alias("item_code"), F.col("p_name").alias("item_name"),
-        F.col("l_quantity").alias("qty"), F.col("p_retailprice").alias("rate"),
-        F.col("l_extendedprice").alias("amount"))
+    def plain_sales_order() -> DataFrame:
+        return read("orders").select(
+            F.col("o_orderkey").alias("name"),
+            F.col("o_custkey").alias("customer"),
+            _docstatus(F.col("o_orderstatus")).alias("docstatus"),
+            order_date().alias("transaction_date"),
+            F.date_add(order_date(), 30).alias("delivery_date"),
+            F.concat(F.lit("CPO-"), _s("o_orderkey")).alias("po_no"),
+            F.date_sub(order_date(), 7).alias("po_date"))
+    b["sales_order"] = lambda: store.header("sales_order", plain_sales_order)
+
+    def plain_sales_order_item() -> DataFrame:
+        return lines().join(
+            part("p_name", "p_retailprice"), F.col("l_partkey") == F.col("p_partkey")).select(
+            F.col("l_orderkey").alias("parent"), "idx",
+            F.col("l_partkey").alias("item_code"), F.col("p_name").alias("item_name"),
+            F.col("l_quantity").alias("qty"), F.col("p_retailprice").alias("rate"),
+            F.col("l_extendedprice").alias("amount"))
+    b["sales_order_item"] = lambda: store.child("sales_order_item", plain_sales_order_item, like="lines")
 
     def item() -> DataFrame:
         key, size, ptype = F.col("p_partkey"), F.col("p_size"), F.col("p_type")
@@ -135,19 +148,18 @@ def erp_from_testdata(spark: SparkSession, sf_dir: str) -> Erp:
             ((sk % 50) * 10).cast("int").alias("custom_distance_in_km"),
             F.when(sk % 4 == 0, "Rail").otherwise("Road").alias("custom_mode_of_transport"),
             F.when(ok % 2 == 0, "Regular").otherwise("Over Dimensional Cargo").alias("custom_gst_vehicle_type"))
-    b["purchase_order"] = purchase_order
+    b["purchase_order"] = lambda: store.header("purchase_order", purchase_order)
 
     def purchase_order_item() -> DataFrame:
         li = read("lineitem").select("l_orderkey", "l_suppkey", "l_partkey", "l_linenumber",
                                      "l_quantity", "l_extendedprice", "l_shipdate")
-        li = ordinal(li, ["l_orderkey", "l_suppkey"],
-                     ["l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"], "idx")
+        li = numbered(li, ["l_orderkey", "l_suppkey"], ["l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"])
         return li.join(part("p_retailprice"), F.col("l_partkey") == F.col("p_partkey")).select(
             po_name().alias("parent"), "idx", F.col("l_partkey").alias("item_code"),
             F.col("l_quantity").alias("qty"), F.col("p_retailprice").alias("rate"),
             F.col("l_extendedprice").alias("amount"), F.lit("Nos").alias("uom"),
             F.to_date("l_shipdate").alias("expected_delivery_date"))
-    b["purchase_order_item"] = purchase_order_item
+    b["purchase_order_item"] = lambda: store.child("purchase_order_item", purchase_order_item)
 
     def stock_entry() -> DataFrame:
         pr = F.col("o_orderpriority")
@@ -218,18 +230,15 @@ def erp_from_testdata(spark: SparkSession, sf_dir: str) -> Erp:
     b["item_price"] = item_price
 
     def item_default() -> DataFrame:
-        pairs = read("lineitem").select("l_partkey", "l_suppkey").distinct()
         sk = F.col("l_suppkey")
-        return ordinal(pairs, ["l_partkey"], ["l_suppkey"], "idx").select(
+        return pairs().select(
             F.col("l_partkey").alias("parent"), "idx",
             F.when(sk % 10 == 9, F.lit(None).cast("long")).otherwise(sk).alias("default_supplier"))
     b["item_default"] = item_default
 
     def item_supplier() -> DataFrame:
-        pairs = (read("lineitem").select("l_partkey", "l_suppkey")
-                 .join(part("p_type").where(F.col("p_type") != "LARGE"), F.col("l_partkey") == F.col("p_partkey"))
-                 .select("l_partkey", "l_suppkey").distinct())
-        return ordinal(pairs, ["l_partkey"], ["l_suppkey"], "idx").select(
+        # whole parts are left out, so the numbers inside a part stay
+        return pairs().join(part("p_type").where(F.col("p_type") != "LARGE"), F.col("l_partkey") == F.col("p_partkey")).select(
             F.col("l_partkey").alias("parent"), "idx", F.col("l_suppkey").alias("supplier"))
     b["item_supplier"] = item_supplier
 
@@ -238,19 +247,21 @@ def erp_from_testdata(spark: SparkSession, sf_dir: str) -> Erp:
     b["customer"] = lambda: read("customer").select(
         F.col("c_custkey").alias("name"), F.col("c_name").alias("customer_name"))
 
-    b["doc"] = lambda: doc_from_orders(read("orders"))
-
-    b["doc_item"] = lambda: lines("l_returnflag").join(
-        part("p_name"), F.col("l_partkey") == F.col("p_partkey")).select(
-        F.concat(F.lit("D-"), _s("l_orderkey")).alias("parent"), doctype_of(F.col("l_orderkey")).alias("parenttype"), "idx",
-        F.col("l_partkey").alias("item_code"), F.col("p_name").alias("item_name"),
-        F.col("l_quantity").alias("qty"),
-        F.concat(F.lit("B"), _s("l_suppkey")).alias("batch_no"),
-        F.concat(F.lit("L"), _s("l_linenumber")).alias("lot_no"),
-        F.col("l_returnflag").alias("custom_box_no"),
-        F.concat(F.lit("SB"), _s("l_suppkey")).alias("custom_supplier_batch_no"),
-        F.round(F.col("l_quantity").cast("decimal(15,2)") * F.lit(0.98).cast("decimal(3,2)"), 3)
-         .cast("double").alias("custom_actual_consumed_qty"))
+    b["doc"] = lambda: store.header("doc", lambda: doc_from_orders(read("orders")))
+
+    def plain_doc_item() -> DataFrame:
+        return lines().join(
+            part("p_name"), F.col("l_partkey") == F.col("p_partkey")).select(
+            F.concat(F.lit("D-"), _s("l_orderkey")).alias("parent"), doctype_of(F.col("l_orderkey")).alias("parenttype"), "idx",
+            F.col("l_partkey").alias("item_code"), F.col("p_name").alias("item_name"),
+            F.col("l_quantity").alias("qty"),
+            F.concat(F.lit("B"), _s("l_suppkey")).alias("batch_no"),
+            F.concat(F.lit("L"), _s("l_linenumber")).alias("lot_no"),
+            F.col("l_returnflag").alias("custom_box_no"),
+            F.concat(F.lit("SB"), _s("l_suppkey")).alias("custom_supplier_batch_no"),
+            F.round(F.col("l_quantity").cast("decimal(15,2)") * F.lit(0.98).cast("decimal(3,2)"), 3)
+             .cast("double").alias("custom_actual_consumed_qty"))
+    b["doc_item"] = lambda: store.child("doc_item", plain_doc_item, like="lines")
 
     def batch() -> DataFrame:
         ok, idx = F.col("l_orderkey"), F.col("idx")
@@ -302,15 +313,17 @@ def erp_from_testdata(spark: SparkSession, sf_dir: str) -> Erp:
             F.col("o_orderpriority").alias("remarks"), (ok % 500).cast("double").alias("total_qty"),
             F.col("o_totalprice").alias("total"), (ok % 1000).cast("double").alias("total_taxes_and_charges"),
             (F.col("o_totalprice") + (ok % 1000).cast("double")).alias("grand_total"))
-    b["sales_invoice"] = sales_invoice
-
-    b["sales_invoice_item"] = lambda: lines().join(
-        part("p_retailprice"), F.col("l_partkey") == F.col("p_partkey")).select(
-        F.concat(F.lit("SI-"), _s("l_orderkey")).alias("parent"), "idx",
-        F.col("l_partkey").alias("item_code"), F.col("l_orderkey").alias("sales_order"),
-        (F.col("l_suppkey") % 12).alias("custom_no_of_pkgs"), (F.col("l_partkey") % 250).alias("custom_average_contents_per"),
-        F.col("l_quantity").alias("qty"), F.col("p_retailprice").alias("rate"),
-        F.col("l_extendedprice").alias("taxable_value"))
+    b["sales_invoice"] = lambda: store.header("sales_invoice", sales_invoice)
+
+    def plain_sales_invoice_item() -> DataFrame:
+        return lines().join(
+            part("p_retailprice"), F.col("l_partkey") == F.col("p_partkey")).select(
+            F.concat(F.lit("SI-"), _s("l_orderkey")).alias("parent"), "idx",
+            F.col("l_partkey").alias("item_code"), F.col("l_orderkey").alias("sales_order"),
+            (F.col("l_suppkey") % 12).alias("custom_no_of_pkgs"), (F.col("l_partkey") % 250).alias("custom_average_contents_per"),
+            F.col("l_quantity").alias("qty"), F.col("p_retailprice").alias("rate"),
+            F.col("l_extendedprice").alias("taxable_value"))
+    b["sales_invoice_item"] = lambda: store.child("sales_invoice_item", plain_sales_invoice_item, like="lines")
 
     def sales_taxes() -> DataFrame:
         rf = F.col("l_returnflag")
@@ -348,10 +361,8 @@ def erp_from_testdata(spark: SparkSession, sf_dir: str) -> Erp:
     def pmc_item() -> DataFrame:
         sk = F.col("l_suppkey")
         sections = F.array(*[F.lit(f) for f, _ in fixed.PMC_SECTIONS])
-        pairs = (read("lineitem").select("l_partkey", "l_suppkey").distinct()
-                 .withColumn("parentfield", F.element_at(sections, (sk % len(fixed.PMC_SECTIONS) + 1).cast("int"))))
-        return ordinal(pairs, ["l_partkey", "parentfield"], ["l_suppkey"], "idx").select(
-            F.concat(F.lit("PMC-"), _s("l_partkey")).alias("parent"), "parentfield", "idx",
+        return pairs().withColumn("parentfield", F.element_at(sections, (F.col("section") + 1).cast("int"))).select(
+            F.concat(F.lit("PMC-"), _s("l_partkey")).alias("parent"), "parentfield", F.col("sidx").alias("idx"),
             (F.col("l_partkey") + sk).alias("raw_material_name"),
             F.concat(F.lit("Supplier#"), _s(sk)).alias("supplier_name"))
     b["pmc_item"] = pmc_item
@@ -382,7 +393,9 @@ def erp_from_testdata(spark: SparkSession, sf_dir: str) -> Erp:
         F.col("p_retailprice").alias("rate"), F.col("l_extendedprice").alias("amount"))
     b["purchase_order_item__plain"] = lambda: in_part(raw("l_suppkey", "l_quantity")).select(
         po_name().alias("parent"), F.col("l_partkey").alias("item_code"), F.col("l_quantity").alias("qty"))
+    b["item_default__plain"] = lambda: read("lineitem").select(F.col("l_partkey").alias("parent"), F.when(F.col("l_suppkey") % 10 == 9, F.lit(None).cast("long"))
+                                                                 .otherwise(F.col("l_suppkey")).alias("default_supplier")).distinct()
     b["stock_entry_detail__plain"] = lambda: raw("l_suppkey", "l_quantity").select(
         F.col("l_orderkey").alias("parent"), F.col("l_partkey").alias("item_code"), F.col("l_quantity").alias("qty"),
         F.concat(F.lit("B"), _s("l_suppkey")).alias("batch_no"))
-    return Erp(spark, b)
+    return Erp(spark, b, store.clustered)

@@ -36,6 +36,7 @@ class Checklists:
     rows: DataFrame
     rejects: DataFrame
     print_rows: DataFrame  # rows with their header's product and total_qty
+    rejected_lines: DataFrame  # the rejected lines as document_lines() gives them
 
 
 def template_summary(templates: DataFrame) -> DataFrame:
@@ -63,8 +64,8 @@ def template_rows(templates: DataFrame) -> DataFrame:
 
 
 def document_lines(erp: Erp) -> DataFrame:
-    """Lines of every receipt/delivery document with the header fields and
-    the item's checklist; the party name is looked up per header first."""
+    """Lines of every receipt/delivery document with the header fields; the
+    party name is looked up per header first."""
     sup = erp.supplier.select(F.col("name").alias("_sup"), "supplier_name")
     cust = erp.customer.select(F.col("name").alias("_cust"), "customer_name")
     d = (erp.doc.select("name", "doctype", "supplier", "customer", "posting_date")
@@ -75,15 +76,13 @@ def document_lines(erp: Erp) -> DataFrame:
     typed = "parenttype" in erp.doc_item.columns
     i = erp.doc_item.select("parent", *["parenttype"] * typed, "idx", "item_code", "item_name", "qty", "batch_no", "lot_no",
                             "custom_box_no", "custom_supplier_batch_no", "custom_actual_consumed_qty")
-    item = erp.item.select(F.col("name").alias("_item"), "custom_checklist", "item_group")
     on = (i["parent"] == d["name"]) & ((i["parenttype"] == d["doctype"]) if typed else F.lit(True))
-    return (i.join(d, on, "inner")
-             .join(item, F.col("item_code") == F.col("_item"), "left")
-             .drop("_item", "parent", "parenttype"))
+    return i.join(d, on, "inner").drop("parent", "parenttype")
 
 
-def checklist_transactions(erp: Erp, as_of: dt.date | str, abort_document: bool = False) -> Checklists:
-    """C1 for every document line.
+def checklist_transactions(erp: Erp, as_of: dt.date | str, abort_document: bool = False, lines: DataFrame | None = None) -> Checklists:
+    """C1 for every document line (or for ``lines``, as :func:`document_lines`
+    gives them; the item's checklist is looked up here).
 
     ``rejects``: lines whose item has no checklist (or names a template that
     does not exist) -- the reference aborts on them.  With
@@ -91,12 +90,15 @@ def checklist_transactions(erp: Erp, as_of: dt.date | str, abort_document: bool
     document on are dropped too, which is what the reference leaves behind
     (earlier lines were already committed).
     """
-    lines = document_lines(erp)
+    bare = document_lines(erp) if lines is None else lines
+    item = erp.item.select(F.col("name").alias("_item"), "custom_checklist", "item_group")
+    lines = bare.join(item, F.col("item_code") == F.col("_item"), "left").drop("_item")
     tmpl = erp.checklist_template
     summary = template_summary(tmpl)
 
     known = lines.join(summary, F.col("custom_checklist") == F.col("_cl"), "inner")
-    rejects = (lines.join(summary.select("_cl"), F.col("custom_checklist") == F.col("_cl"), "left_anti")
+    rejected = lines.join(summary.select("_cl"), F.col("custom_checklist") == F.col("_cl"), "left_anti")
+    rejects = (rejected
                     .select(F.col("doctype").alias("reference"), F.col("name").alias("grb_nomrn_no_date"),
                             F.col("idx").alias("line_idx"), "item_code", "custom_checklist",
                             F.when(non_blank("custom_checklist"), F.lit("checklist not found"))
@@ -153,7 +155,7 @@ def checklist_transactions(erp: Erp, as_of: dt.date | str, abort_document: bool
         "observation",
         F.col("item_code").alias("product"),
         F.when(F.col("doctype") == fixed.DOCTYPE_SCR, F.col("custom_actual_consumed_qty")).otherwise(F.col("qty")).cast("double").alias("total_qty"))
-    return Checklists(headers, rows.drop("product", "total_qty"), rejects, rows)
+    return Checklists(headers, rows.drop("product", "total_qty"), rejects, rows, rejected.select(*bare.columns))
 
 
 def item_checklist(items: DataFrame, templates: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plantops.functions.scalars import QTY, qty, qty_sum, slice_from
-from plantops.operators.ordinal import ordinal
+from plantops.operators.ordinal import numbered
 from plantops.sources import fixed
 
 
@@ -118,22 +118,21 @@ def consumed_qty_reconciled(supplied: DataFrame, actual: DataFrame) -> tuple[Dat
     Rounding is half-even, as Python's; quantities are Data fields, so a text
     that is no number counts as NULL.
 
-    Returns ``(supplied_after, actual_after)``.
+    Returns ``(supplied_after, actual_after)``, the whole new child tables with
+    all their columns; the other columns of an appended row are NULL.
     """
-    s = supplied.select("parent", "idx", "main_item_code", "consumed_qty")
-    a = actual.select("parent", "idx", "item", "actual_consumed_qty")
+    s, a = supplied, actual
 
     present = a.select(F.col("parent").alias("_ap"), F.col("item").alias("_ai")).distinct()
     missing = s.join(present, (F.col("parent") == F.col("_ap")) & (F.col("main_item_code") == F.col("_ai")),
                      "left_anti")
     base = a.groupBy(F.col("parent").alias("_bp")).agg(F.max("idx").alias("_n"))
-    appended = ordinal(missing, ["parent"], ["idx"], "_k")
+    appended = numbered(missing.select("parent", "idx", "main_item_code", "consumed_qty"), ["parent"], ["idx"], "_k")
     appended = (appended.join(base, F.col("parent") == F.col("_bp"), "left")
                         .select("parent", (F.coalesce(F.col("_n"), F.lit(0)) + F.col("_k")).cast("long").alias("idx"),
                                 F.col("main_item_code").alias("item"),
                                 F.bround(qty("consumed_qty"), 3).cast(QTY).alias("actual_consumed_qty")))
-    actual_after = a.select("parent", "idx", "item", qty("actual_consumed_qty").alias("actual_consumed_qty")) \
-                    .unionByName(appended)
+    actual_after = a.withColumn("actual_consumed_qty", qty("actual_consumed_qty")).unionByName(appended, allowMissingColumns=True)
 
     last_actual = actual_after.groupBy(F.col("parent").alias("_lp"), F.col("item").alias("_li")).agg(
         F.max_by("actual_consumed_qty", "idx").alias("_new"))
@@ -142,10 +141,9 @@ def consumed_qty_reconciled(supplied: DataFrame, actual: DataFrame) -> tuple[Dat
     out = (s.join(first_supplied, (F.col("parent") == F.col("_fp")) & (F.col("main_item_code") == F.col("_fi")))
              .join(last_actual, (F.col("parent") == F.col("_lp")) & (F.col("main_item_code") == F.col("_li")),
                    "left"))
-    supplied_after = out.select(
-        "parent", "idx", "main_item_code",
-        F.when((F.col("idx") == F.col("_first")) & F.col("_lp").isNotNull(), F.col("_new"))
-         .otherwise(qty("consumed_qty")).cast("double").alias("consumed_qty"))
+    new_qty = (F.when((F.col("idx") == F.col("_first")) & F.col("_lp").isNotNull(), F.col("_new"))
+                .otherwise(qty("consumed_qty")).cast("double"))
+    supplied_after = out.withColumn("consumed_qty", new_qty).select(*s.columns)
     return supplied_after, actual_after.withColumn("actual_consumed_qty",
                                                    F.col("actual_consumed_qty").cast("double"))
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plantops.operators.ordinal import ordinal
+from plantops.operators.ordinal import numbered
 
 
 def order_lines(header: DataFrame, items: DataFrame, header_cols: list[str] | None = None,
@@ -73,5 +73,5 @@ def item_default_suppliers(item_defaults: DataFrame) -> DataFrame:
     kept; ``position`` renumbers the kept rows 1..k (skew-safe)."""
     kept = item_defaults.where(F.col("default_supplier").isNotNull()
                                & (F.col("default_supplier").cast("string") != ""))
-    return ordinal(kept.select("parent", "idx", "default_supplier"), ["parent"], ["idx"], "position").select(
+    return numbered(kept.select("parent", "idx", "default_supplier"), ["parent"], ["idx"], "position").select(
         F.col("parent").alias("item_code"), "position", F.col("default_supplier").alias("supplier"))

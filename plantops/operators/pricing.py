@@ -24,6 +24,16 @@ def supplier_items(item_price: DataFrame, item_default: DataFrame, supplier, pri
     return prices.join(items, prices["item_code"] == items["_sup_item"], "left_semi")
 
 
+def price_changes(item_price: DataFrame, item_default: DataFrame, supplier, price_list: str,
+                  amount, valid_from: dt.date | str) -> DataFrame:
+    """Only the price rows that the revision changes, with all their columns."""
+    items = _supplier_item_codes(item_default, supplier)
+    rate = F.col("price_list_rate")
+    rows = item_price.where((F.col("price_list") == price_list) & rate.isNotNull() & (rate != 0))
+    return (rows.join(items, F.col("item_code") == F.col("_sup_item"), "left_semi")
+                .withColumns({"price_list_rate": rate + flt(F.lit(str(amount))), "valid_from": as_date(valid_from)}).select(*item_price.columns))
+
+
 def price_revision(item_price: DataFrame, item_default: DataFrame, supplier, price_list: str,
                    amount, valid_from: dt.date | str) -> DataFrame:
     """The whole Item Price table after the revision: each price row of

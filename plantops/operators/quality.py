@@ -45,5 +45,23 @@ def dq_links(table: DataFrame, doctype: str, field: str, target: DataFrame,
                          F.col("name").cast("string").alias("name"), v.cast("string").alias("value")))
 
 
+def dq_links_all(tables: list[tuple[DataFrame, str, dict[str, str]]], targets: dict[str, DataFrame],
+                 target_key: str = "name") -> DataFrame:
+    """Q3 for many Link fields at once: each of ``tables`` is (rows, doctype,
+    {field: doctype it links to}).  The Link fields are unpivoted, so a table is
+    read once however many it has, and meet the keys of all targets in one
+    anti join on (target, value); AQE splits a value that many rows hold."""
+    links = []
+    for table, doctype, fields in tables:
+        each = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(t).alias("target"), F.col(f).cast("string").alias("value"))
+                         for f, t in fields.items()])
+        links.append(table.select(F.lit(doctype).alias("doctype"), F.col("name").cast("string").alias("name"), F.explode(each).alias("link"))
+                          .select("doctype", "link.field", "name", "link.value", "link.target").where(non_blank("value")))
+    keys = [df.select(F.lit(t).alias("_target"), F.col(target_key).cast("string").alias("_key")) for t, df in targets.items()]
+    found = union_all(keys)
+    return (union_all(links).join(found, (F.col("target") == F.col("_target")) & (F.col("value") == F.col("_key")), "left_anti")
+                            .select("doctype", "field", "name", "value"))
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from plantops.operators import lines as L
 from plantops.operators import quantities as Q
 from plantops.plans import reports as R
 from plantops.plans.registry import AS_OF, AS_OF_SQL, ORACLES, SLUG_GROUP_TEST, register
+from plantops.session import checkpoint_dir, sub_dir
 
 _EXCESS_TOTAL = "CAST(SUM(CAST(qty AS DECIMAL(21,9))) * CAST(1.05 AS DECIMAL(3,2)) AS DOUBLE)"
 
@@ -148,6 +151,27 @@ def slug_totals(erp):
     return R.report_totals(R.slug_reconciliation(erp, SLUG_GROUP_TEST), _SLUG_SUMS)
 
 
+@register("report_totals_observed", ORACLES["report_totals"])
+def report_totals_observed(erp):
+    """Total row of the production planning report, collected by the job that writes the report."""
+    path = sub_dir(checkpoint_dir(erp.spark), f"plantops-report-{uuid.uuid4().hex}")
+    return R.write_with_totals(R.production_planning(erp, AS_OF), ["po_qty", "excess_add_5"], path)
+
+
+_PLANNED = "COALESCE(f.q, 0) * CAST(0.05 AS DOUBLE) + COALESCE(f.q, 0)"
+
+
+@register("weekly_capacity", f"""
+SELECT name, line, item_name, tube, planned, capacity_per_day, planned / capacity_per_day AS work_day, 1 AS setting, CAST(500 AS DOUBLE) AS setting_quantity,
+       CAST(500 AS DOUBLE) / capacity_per_day AS set_time, planned / capacity_per_day + CAST(500 AS DOUBLE) / capacity_per_day AS total_days,
+       planned / capacity_per_day + CAST(500 AS DOUBLE) / capacity_per_day > 6 AS over_6_days
+FROM (SELECT w.name, w.line, w.item_name, w.tube, {_PLANNED} AS planned, CAST(w.capacity_per_day AS DOUBLE) AS capacity_per_day
+      FROM v_weekly_production_plan w LEFT JOIN {_FIRST_QTY} f ON f.parent = w.sales_order AND f.item_code = w.item_name) t""")
+def weekly_capacity(erp):
+    """R2's intended capacity columns: work days, set time and plans over six days."""
+    return R.weekly_capacity(erp, tubes_per_setting=500)
+
+
 @register("order_lines", """
 SELECT s.name, s.customer, s.docstatus, s.transaction_date, s.delivery_date,
        i.idx, i.item_code, i.item_name, i.qty, i.rate, i.amount
@@ -198,7 +222,7 @@ FROM v_purchase_order_item i JOIN v_purchase_order h ON h.name = i.parent
 GROUP BY h.supplier, i.item_code""")
 def po_qty_by_supplier_item(erp):
     """G1: ordered qty per (supplier, item)."""
-    return Q.po_qty_by_supplier_item(erp.purchase_order, erp.unnumbered("purchase_order_item"))
+    return Q.po_qty_by_supplier_item(erp.unnumbered("purchase_order"), erp.unnumbered("purchase_order_item"))
 
 
 @register("so_qty_by_customer_item", """
@@ -213,7 +237,7 @@ def so_qty_by_customer_item(erp):
 @register("pending_po", f"SELECT * FROM {_PENDING}")
 def pending_po(erp):
     """Pending PO qty per item."""
-    return Q.pending_po(erp.purchase_order, erp.unnumbered("purchase_order_item"))
+    return Q.pending_po(erp.unnumbered("purchase_order"), erp.unnumbered("purchase_order_item"))
 
 
 @register("printed_qty", f"SELECT * FROM {_PRINTED}")

@@ -9,8 +9,9 @@ from plantops.operators import documents as D
 from plantops.operators import lookups as K
 from plantops.operators import pricing as P
 from plantops.operators import quality as QA
+from plantops.operators import writeback as W
 from plantops.plans.registry import (AS_OF, AS_OF_SQL, PRICE_AMOUNT, PRICE_LIST, PRICE_SUPPLIER,
-                                     PRICE_VALID_FROM, register)
+                                     PRICE_VALID_FROM, ORACLES, register)
 from plantops.sources import fixed
 
 
@@ -409,6 +410,44 @@ def pmc_requirements(erp):
     sections = erp.spark.createDataFrame(fixed.PMC_SECTIONS, "parentfield string, section string")
     return D.pmc_requirements(erp.pmc, erp.pmc_item, erp.item, sections)
 
+# ---------------------------------------------------------------- write back
+
+
+def _new_path(erp):
+    import uuid
+
+    from plantops.session import checkpoint_dir, sub_dir
+    return sub_dir(checkpoint_dir(erp.spark), f"plantops-table-{uuid.uuid4().hex}")
+
+
+@register("price_revision_written", ORACLES["price_revision"])
+def price_revision_written(erp):
+    """The price list as read back after the revised rows were written."""
+    table = W.KeyedTable.create(erp.item_price, _new_path(erp), "name")
+    table.replace(P.price_changes(erp.item_price, erp.unnumbered("item_default"), PRICE_SUPPLIER, PRICE_LIST, PRICE_AMOUNT, PRICE_VALID_FROM))
+    return table.read()
+
+
+@register("batch_backfill_written", ORACLES["batch_backfill"])
+def batch_backfill_written(erp):
+    """The batches as read back after the filled ones were written."""
+    return W.write_version(erp.batch, D.batch_backfill(erp.batch, erp.doc, erp.doc_item), _new_path(erp), "name")
+
+
+@register("doc_references_written", ORACLES["doc_references"])
+def doc_references_written(erp):
+    """The reference lists as read back after the custom lists took their place."""
+    table = W.KeyedTable.create(erp.doc_reference, _new_path(erp), "parent")
+    table.replace(erp.custom_document_reference)
+    return table.read()
+
+
+@register("consumed_qty_written", ORACLES["consumed_qty_reconciled"])
+def consumed_qty_written(erp):
+    """The supplied items as read back after the reconciled lists were written."""
+    old = erp.scr_supplied_item.withColumn("consumed_qty", F.col("consumed_qty").cast("double"))
+    return W.write_version(old, D.consumed_qty_reconciled(erp.scr_supplied_item, erp.scr_actual_consumed)[0], _new_path(erp), "parent")
+
 # ---------------------------------------------------------------- quality
 
 
@@ -492,23 +531,18 @@ def dq_links(erp):
     pmc_item = erp.pmc_item.withColumn("name", F.concat_ws("#", "parent", "parentfield",
                                                            F.col("idx").cast("string")))
     actual = erp.scr_actual_consumed.withColumn("name", F.concat_ws("#", "parent", F.col("idx").cast("string")))
-    return QA.union_all([
-        QA.dq_links(erp.weekly_production_plan, "Weekly Production Plan", "sales_order", erp.sales_order),
-        QA.dq_links(erp.weekly_production_plan, "Weekly Production Plan", "item_name", erp.item),
-        QA.dq_links(erp.pmc, "PMC", "product_name", erp.item),
-        QA.dq_links(erp.pmc, "PMC", "customer_code", erp.customer),
-        QA.dq_links(erp.pmc, "PMC", "sales_order", erp.sales_order),
-        QA.dq_links(erp.weekly_production_plan, "Weekly Production Plan", "line", erp.workstation),
-        QA.dq_links(erp.solution_type, "Solution Type", "prepared_by", erp.employee),
-        QA.dq_links(actual, "Actual Consumed Qty Table", "item", erp.item),
-        QA.dq_links(pmc_item, "Aluminium Slug", "raw_material_name", erp.item)])
+    return QA.dq_links_all(
+        [(erp.weekly_production_plan, "Weekly Production Plan", {"sales_order": "Sales Order", "item_name": "Item", "line": "Workstation"}),
+         (erp.pmc, "PMC", {"product_name": "Item", "customer_code": "Customer", "sales_order": "Sales Order"}),
+         (erp.solution_type, "Solution Type", {"prepared_by": "Employee"}),
+         (actual, "Actual Consumed Qty Table", {"item": "Item"}),
+         (pmc_item, "Aluminium Slug", {"raw_material_name": "Item"})],
+        {"Sales Order": erp.sales_order, "Item": erp.item, "Customer": erp.customer, "Workstation": erp.workstation, "Employee": erp.employee})
 
 # ---------------------------------------------------------------- streaming
 
 
-def checklist_stream(spark, sf_dir):
-    """Checklists written by the Structured Streaming job for the
-    documents arriving on a file stream (one batch over the test files)."""
+def _run_stream(spark, sf_dir):
     from plantops.sources.testdata import ORDERS_SCHEMA, doc_from_orders, erp_from_testdata
     from plantops.streaming.checklist_stream import run_checklist_stream
     erp = erp_from_testdata(spark, sf_dir)
@@ -516,10 +550,25 @@ def checklist_stream(spark, sf_dir):
     # a glob: the file source wants a folder, the test table is one file
     stream = (spark.readStream.schema(ORDERS_SCHEMA).option("maxFilesPerTrigger", 1)
               .parquet(f"{base}/orders.parque[t]"))
-    headers, _, _ = run_checklist_stream(spark, erp, doc_from_orders(stream), AS_OF)
+    return erp, run_checklist_stream(spark, erp, doc_from_orders(stream), AS_OF)
+
+
+def checklist_stream(spark, sf_dir):
+    """Checklists written by the Structured Streaming job for the
+    documents arriving on a file stream (one batch over the test files)."""
+    headers, _, _ = _run_stream(spark, sf_dir)[1]
     return headers.drop("batch_id")
 
 
+def checklist_stream_rejects(spark, sf_dir):
+    """The lines that the stream could make no checklist for, kept as
+    dead letters until their item has one."""
+    from plantops.session import sub_dir
+    from plantops.streaming.checklist_stream import open_rejects
+    erp, (_, _, folder) = _run_stream(spark, sf_dir)
+    return open_rejects(erp, sub_dir(folder, "sink"), AS_OF)
+
+
 def _register_stream():
     from plantops.plans.registry import QUERIES, ORACLES, with_views
     QUERIES["checklist_stream"] = checklist_stream
@@ -527,6 +576,8 @@ def _register_stream():
 SELECT h.*, CAST(row_number() OVER (ORDER BY reference, grb_nomrn_no_date, line_idx) AS BIGINT) AS seq,
        printf('CL/24-25/%04d', row_number() OVER (ORDER BY reference, grb_nomrn_no_date, line_idx)) AS name
 FROM cl_headers h"""))
+    QUERIES["checklist_stream_rejects"] = checklist_stream_rejects
+    ORACLES["checklist_stream_rejects"] = ORACLES["checklist_rejects"]
 
 
 _register_stream()

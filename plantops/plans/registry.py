@@ -33,7 +33,7 @@ def register(name: str, sql: str | None = None):
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
         if sql is not None:
-            ORACLES[name] = with_views(sql)
+            ORACLES[name] = sql if sql in ORACLES.values() else with_views(sql)
         return fn
     return deco
 

@@ -9,11 +9,11 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from plantops.functions.filters import apply_filters
-from plantops.functions.scalars import days_left, excess5, non_blank, or_zero, plus5, round2
+from plantops.functions.scalars import days_left, excess5, flt, non_blank, or_zero, plus5, round2
 from plantops.operators.lines import first_match, latest_bin
 from plantops.operators.quantities import pending_po, printed_qty
 from plantops.operators.segments import group_marks
@@ -163,7 +163,7 @@ def slug_reconciliation(erp: Erp, item_group: str = fixed.SLUG_GROUP,
     else:
         stock = latest_bin(bins).select("item_code", F.col("actual_qty").alias("_stock"))
     stock = stock.withColumnRenamed("item_code", "_si")
-    pend = pending_po(erp.purchase_order, erp.unnumbered("purchase_order_item"),
+    pend = pending_po(erp.unnumbered("purchase_order"), erp.unnumbered("purchase_order_item"),
                       only_items=items.select("name")).withColumnRenamed("item_code", "_pi")
     out = (items.join(stock, items["name"] == stock["_si"], "left")
                 .join(pend, items["name"] == pend["_pi"], "left"))
@@ -190,3 +190,35 @@ def report_totals(report: DataFrame, columns: list[str]) -> DataFrame:
     return report.agg(F.count(F.lit(1)).alias("row_count"),
                       *[F.sum(F.col(c).cast("decimal(38,9)")).cast("double").alias(f"total_{c}")
                         for c in columns])
+
+
+def write_with_totals(report: DataFrame, columns: list[str], path: str) -> DataFrame:
+    """G8 beside its report: writes ``report`` to ``path`` and returns its total
+    row.  The sums are metrics that the writing job itself collects, so the
+    report is computed once."""
+    seen = Observation()
+    sums = [F.sum(F.col(c).cast("decimal(38,9)")).cast("double").alias(f"total_{c}") for c in columns]
+    report.observe(seen, F.count(F.lit(1)).alias("row_count"), *sums).write.parquet(path)
+    got = seen.get
+    schema = ", ".join(["row_count bigint", *[f"total_{c} double" for c in columns]])
+    return report.sparkSession.createDataFrame([tuple(got[c] for c in ("row_count", *[f"total_{c}" for c in columns]))], schema)
+
+
+def weekly_capacity(erp: Erp, tubes_per_setting: float, most_days: float = 6, filters=None) -> DataFrame:
+    """R2's intended columns: how long each weekly plan takes on its line.
+
+    ``work_day`` is planned / capacity per day; each product is one setting of
+    ``tubes_per_setting`` tubes, ``set_time`` that quantity / capacity per day;
+    ``total_days`` their sum, which should not be more than ``most_days``.  The
+    capacity is a Data field: text that is no positive number gives NULL."""
+    plans = apply_filters(erp.weekly_production_plan, filters).select("name", "sales_order", "line", "item_name", "tube", "capacity_per_day")
+    first = first_match(erp.sales_order_item, ["parent", "item_code"], "qty", alias="_q")
+    rows = plans.join(first, (plans["sales_order"] == first["parent"]) & (plans["item_name"] == first["item_code"]), "left")
+    parsed = flt("capacity_per_day")
+    capacity, setting = F.when(parsed > 0, parsed), F.lit(1)
+    quantity = setting * F.lit(float(tubes_per_setting))
+    out = rows.select("name", "line", "item_name", "tube", excess5(or_zero(F.col("_q"))).alias("planned"), capacity.alias("capacity_per_day"))
+    days = F.col("planned") / F.col("capacity_per_day")
+    set_time = quantity / F.col("capacity_per_day")
+    return out.select("*", days.alias("work_day"), setting.alias("setting"), quantity.alias("setting_quantity"), set_time.alias("set_time"),
+                      (days + set_time).alias("total_days"), (days + set_time > most_days).alias("over_6_days"))

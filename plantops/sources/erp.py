@@ -42,8 +42,8 @@ class Erp:
         return self._built[name]
 
     def unnumbered(self, name: str) -> DataFrame:
-        """A child table for uses that need no ``idx``: sources that must
-        derive ``idx`` name a cheaper builder ``<name>__plain``."""
+        """A table for uses that need no ``idx`` and read few columns: sources
+        that must derive or store it name a cheaper builder ``<name>__plain``."""
         plain = f"{name}__plain"
         return self[plain] if plain in self._builders else self[name]
 

@@ -149,6 +149,7 @@ def erp_from_testdata(spark: SparkSession, sf_dir: str) -> Erp:
             F.when(sk % 4 == 0, "Rail").otherwise("Road").alias("custom_mode_of_transport"),
             F.when(ok % 2 == 0, "Regular").otherwise("Over Dimensional Cargo").alias("custom_gst_vehicle_type"))
     b["purchase_order"] = lambda: store.header("purchase_order", purchase_order)
+    b["purchase_order__plain"] = purchase_order
 
     def purchase_order_item() -> DataFrame:
         li = read("lineitem").select("l_orderkey", "l_suppkey", "l_partkey", "l_linenumber",

@@ -6,10 +6,13 @@ import datetime as dt
 import pytest
 from erp_frames import make_erp
 
+from pyspark.sql import functions as F
+
 from plantops.operators import checklists as C
 from plantops.operators import documents as D
 from plantops.operators import lookups as K
 from plantops.operators import pricing as P
+from plantops.operators.lines import latest_bin
 from plantops.plans import reports as R
 
 D0 = dt.date(1998, 1, 1)
@@ -281,3 +284,59 @@ def test_blank_links_and_null_parameters(spark):
     rows = spark.createDataFrame([("T", 1, None, "s", "o"), ("T", 2, "Material", "s", "o")],
                                  "parent string, idx long, parameters string, specification string, observation string")
     assert sorted(r.idx for r in C.template_rows(rows).collect()) == [1, 2]
+
+
+def test_consumed_qty_keeps_all_columns(spark):
+    supplied = spark.createDataFrame([("D-1", 1, "a", "2.5", 10.0, "Kg"), ("D-1", 2, "b", "1", 20.0, "Nos")],
+                                     "parent string, idx long, main_item_code string, consumed_qty string, rate double, uom string")
+    actual = spark.createDataFrame([("D-1", 1, "a", "9", "note")], "parent string, idx long, item string, actual_consumed_qty string, remarks string")
+    s, a = D.consumed_qty_reconciled(supplied, actual)
+    assert s.columns == supplied.columns and a.columns == actual.columns
+    assert sorted(map(tuple, s.collect())) == [("D-1", 1, "a", 9.0, 10.0, "Kg"), ("D-1", 2, "b", 1.0, 20.0, "Nos")]
+    assert sorted(map(tuple, a.collect())) == [("D-1", 1, "a", 9.0, "note"), ("D-1", 2, "b", 1.0, None)]
+
+
+def test_a_bin_without_modified_is_the_oldest(spark):
+    import datetime as dt
+    rows = [("b1", "i", "w", 1.0, None), ("b2", "i", "w", 2.0, dt.datetime(1960, 1, 1)), ("b3", "j", "w", 3.0, None), ("b0", "j", "w", 4.0, None)]
+    bins = spark.createDataFrame(rows, "name string, item_code string, warehouse string, actual_qty double, modified timestamp_ntz")
+    assert {r.item_code: r["name"] for r in latest_bin(bins).collect()} == {"i": "b2", "j": "b0"}
+
+
+def test_text_quantities_and_far_days(spark):
+    from plantops.functions.scalars import add_days, excess5, round2
+    df = spark.createDataFrame([("", "99999999999"), ("x", "5"), ("1,234.565", "-1"), (None, None), ("2.675", "3000000")], "t string, d string")
+    got = df.select(round2("t").cast("double").alias("r"), excess5("t").alias("e"), add_days(F.lit("2024-01-01"), "d").cast("string").alias("day")).collect()
+    assert [r.r for r in got] == [0.0, 0.0, 1234.56, 0.0, 2.68]
+    assert [r.e for r in got] == [None, None, None, None, 2.675 * 0.05 + 2.675]
+    assert [r.day for r in got] == [None, "2024-01-06", "2023-12-31", "2024-01-01", None]
+
+
+def test_link_fields_in_one_pass_equal_single_checks(spark):
+    from plantops.operators import quality as QA
+    a = spark.createDataFrame([("r1", "x", 1), ("r2", "", 9), ("r3", None, None), ("r4", "z", 2)], "name string, item string, cust long")
+    items, custs = spark.createDataFrame([("x",), ("y",)], "name string"), spark.createDataFrame([(1,), (2,)], "name long")
+    both = QA.dq_links_all([(a, "A", {"item": "Item", "cust": "Customer"})], {"Item": items, "Customer": custs})
+    single = QA.dq_links(a, "A", "item", items).unionByName(QA.dq_links(a, "A", "cust", custs))
+    assert sorted(map(tuple, both.collect())) == sorted(map(tuple, single.collect())) == [("A", "cust", "r2", "9"), ("A", "item", "r4", "z")]
+
+
+def test_totals_are_collected_while_the_report_is_written(spark, tmp_path):
+    rows = spark.range(1000).select(F.col("id").alias("k"), (F.col("id") / 4).alias("qty"), F.lit(None).cast("double").alias("none"))
+    seen = spark.sparkContext.accumulator(0)
+    once = rows.mapInArrow(lambda batches: (seen.add(b.num_rows) or b for b in batches), rows.schema)
+    got = R.write_with_totals(once, ["qty", "none"], str(tmp_path / "r"))
+    assert seen.value == 1000  # the report's rows were made once
+    assert got.collect() == R.report_totals(rows, ["qty", "none"]).collect()
+    assert spark.read.parquet(str(tmp_path / "r")).count() == 1000
+
+
+def test_weekly_capacity(spark):
+    plans = [("w1", "SO1", "L1", "A", "T", "100"), ("w2", "SO1", "L1", "B", "T", "1,000"), ("w3", "SO9", "L2", "A", "T", "none"), ("w4", "SO1", "L2", "A", "T", "0")]
+    erp = make_erp(spark, {
+        "weekly_production_plan": (plans, "name string, sales_order string, line string, item_name string, tube string, capacity_per_day string"),
+        "sales_order_item": ([("SO1", 1, "A", 600.0), ("SO1", 2, "B", 100.0), ("SO1", 3, "A", 5.0)], "parent string, idx long, item_code string, qty double")})
+    got = {r["name"]: r for r in R.weekly_capacity(erp, tubes_per_setting=50).collect()}
+    assert (got["w1"].work_day, got["w1"].set_time, got["w1"].total_days, got["w1"].over_6_days) == (6.3, 0.5, 6.8, True)
+    assert (got["w2"].planned, got["w2"].work_day, got["w2"].over_6_days) == (105.0, 0.105, False)
+    assert got["w3"].planned == 0 and got["w3"].work_day is None and got["w4"].total_days is None and got["w4"].over_6_days is None

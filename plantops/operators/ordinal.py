@@ -142,8 +142,22 @@ def ordinal(df: DataFrame, keys: list[str], order: list, name: str = "idx",
 
 def global_ordinal(df: DataFrame, order: list, name: str = "seq",
                    partitions: int | None = None) -> DataFrame:
-    """Dense 1..N numbering of a whole frame without a single-task window."""
-    return ordinal(df, [], order, name=name, partitions=partitions)
+    """Dense 1..N numbering of a whole frame without a single-task window: the
+    ranged, sorted rows are numbered inside their partitions and written once,
+    and each partition is moved by the rows of those before it."""
+    n = partitions or shuffle_partitions(df.sparkSession)
+    cols: list[Column] = [F.col(c) if isinstance(c, str) else c for c in order]
+    # the lower 33 bits count the rows of a partition
+    inside = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) + 1
+    srt = df.repartitionByRange(n, *cols).sortWithinPartitions(*cols).withColumns({_PID: F.spark_partition_id(), _RUN: inside})
+    path = sub_dir(checkpoint_dir(df.sparkSession), f"plantops-ordinal-{uuid.uuid4().hex}")
+    srt.write.parquet(path)
+    rows = df.sparkSession.read.schema(srt.schema).parquet(path)
+    earlier = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)  # one row per partition: a bounded single task
+    offsets = rows.groupBy(_PID).agg(F.max(_RUN).alias("ll")).select(F.col(_PID).alias("_o_pid"), F.coalesce(F.sum("ll").over(earlier), F.lit(0)).alias(_OFF))
+    # at most `n` rows: broadcast is bounded
+    return (rows.join(F.broadcast(offsets), F.col(_PID) == F.col("_o_pid"))
+                .withColumn(name, (F.col(_RUN) + F.col(_OFF)).cast("long")).drop(_PID, _RUN, _OFF, "_o_pid"))
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "idx", hot_rows: int = 1_000_000) -> DataFrame:

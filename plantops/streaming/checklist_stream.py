@@ -139,8 +139,8 @@ def process_batch(erp: Erp, docs: DataFrame, batch_id: int, sink: str, as_of) ->
 
     mark = spark.read.parquet(_at(sink, "marks", before)).first() if before is not None else None
     high_water = mark["last_seq"] if mark else 0
-    numbered = global_ordinal(cl.headers, [F.col(k) for k in KEY], "seq").withColumn("seq", F.col("seq") + F.lit(high_water))
-    headers = numbered.withColumn("name", F.format_string(SERIES_PREFIX + "%04d", F.col("seq")))
+    numbered = global_ordinal(cl.headers.select(*KEY), KEY, "seq").withColumn("seq", F.col("seq") + F.lit(high_water))
+    headers = cl.headers.join(numbered, KEY).withColumn("name", F.format_string(SERIES_PREFIX + "%04d", F.col("seq")))
     headers.write.mode("overwrite").parquet(_at(sink, "headers", batch_id))
     cl.rows.write.mode("overwrite").parquet(_at(sink, "rows", batch_id))
     cl.rejected_lines.write.mode("overwrite").parquet(_at(sink, "open", batch_id))

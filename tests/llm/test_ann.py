@@ -57,3 +57,28 @@ def test_factor_trades_recall(spark):
 
 def test_empty_table(spark):
     assert ann.nearest(frame(spark, []), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_ties_of_scaled_copies_go_to_the_smallest_ids(spark):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=16).astype(np.float32)
+    rows = [(i, (v * 2.0 ** (40 - i)).tolist()) for i in range(1, 41)] + [(50, v.tolist())]       # scaled exactly
+    rows += [(200 + i, (v * np.float32(1 + i / 7)).tolist()) for i in range(60)]                   # scaled with rounding
+    rows += [(1000 + i, rng.normal(size=16).tolist()) for i in range(900)]
+    rows = as_float32(rows)
+    for shard_rows in (100, 5000):
+        got = ann.nearest(frame(spark, rows), F.col("vec_id") % 50 == 0, shard_rows=shard_rows, block=5)
+        assert sorted(map(tuple, got.collect())) == brute(rows)
+    pure = rows[:41]
+    got = ann.nearest(frame(spark, pure), F.col("vec_id") == 50).collect()
+    assert sorted((r["rank"], r.vec_id) for r in got) == [(i, i) for i in range(1, 6)]
+
+
+def test_pruning_skips_points_of_clustered_vectors():
+    rng = np.random.default_rng(9)
+    centre = rng.normal(size=(60, 12))
+    x = ann._unit(centre[rng.integers(60, size=6000)] + 0.05 * rng.normal(size=(6000, 12)))
+    tree, q = ann.VpTree(x), x[::60]
+    best, _ = tree.search(q, 6, 1.0)
+    assert tree.compared < 0.5 * len(q) * len(x)
+    assert np.allclose(best, np.sort(q @ x.T, axis=1)[:, ::-1][:, :6], atol=1e-12)

@@ -54,6 +54,18 @@ def with_fields(schema: T.StructType, *fields: tuple[str, T.DataType]) -> T.Stru
     return T.StructType([*schema.fields, *[T.StructField(n, t) for n, t in fields]])
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """``names``, each lengthened until no column is called so (in any case)."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def number_within(df: DataFrame, key: str, bucket: Column, order: list[Column], name: str) -> DataFrame:
     """Gapless 0-based numbers inside each value of ``key`` without bringing a
     whole value to one task: rows are counted per (key, bucket), the small

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plantops.llm.common import whole_text
+from plantops.llm.common import fresh, whole_text
 
 SPACE = r"[\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
@@ -67,24 +67,25 @@ def repeat_words(words: Column, window: int = WINDOW) -> Column:
     return F.when(F.size(words) < window, 0).otherwise(found)
 
 
-def metrics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with one more column ``__m``, a struct of the measures.  The
-    words and lines are split once, in a projection of their own."""
-    split = docs.withColumn("__t", whole_text(text)).withColumn("__w", split_words(F.col("__t")))
-    lines = F.filter(F.split("__t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    w = F.col("__w")
-    m = F.struct(
+def metrics(docs: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
+    """``docs`` with one more column, a struct of the measures, and that
+    column's name, which no column of ``docs`` has.  The words and lines are
+    split once, in a projection of their own."""
+    t, w, ls, m = fresh(docs.columns, "__t", "__w", "__l", "__m")
+    split = docs.withColumn(t, whole_text(text)).withColumn(w, split_words(F.col(t)))
+    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    measures = F.struct(
         F.size(w).cast("long").alias("n_words"),
         F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
-        (F.size(F.split("__t", SYMBOLS, -1)) - 1).cast("long").alias("n_symbols"),
-        F.size("__l").cast("long").alias("n_lines"),
-        (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
-        repeat_words(w).cast("long").alias("n_repeat_words"),
+        (F.size(F.split(t, SYMBOLS, -1)) - 1).cast("long").alias("n_symbols"),
+        F.size(ls).cast("long").alias("n_lines"),
+        (F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("n_dup_lines"),
+        repeat_words(F.col(w)).cast("long").alias("n_repeat_words"),
         F.size(F.filter(w, lambda x: x.isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
     )
     # one array element each: a filter on the measures stays above the generator,
     # where a plain column would be measured anew in every condition
-    return split.withColumn("__l", lines).select("*", F.explode(F.array(m)).alias("__m")).drop("__t", "__w", "__l")
+    return split.withColumn(ls, lines).select("*", F.explode(F.array(measures)).alias(m)).drop(t, w, ls), m
 
 
 def base_failed(m: Column) -> Column:
@@ -111,15 +112,17 @@ def score(docs: DataFrame, rules=RULES) -> DataFrame:
     Null and empty texts have no words: all measures are zero and the base
     check fails.  Rows with null ids and repeated rows keep their row; an
     empty table gives no row; other columns are left out."""
-    m = F.col("__m")
-    out = metrics(docs.select("doc_id", "text")).select("doc_id", "__m.*", base_failed(m).alias("base_failed"), (~base_failed(m) & verdict(m, rules)).alias("kept"))
+    measured, name = metrics(docs.select("doc_id", "text"))
+    m = F.col(name)
+    out = measured.select("doc_id", f"{name}.*", base_failed(m).alias("base_failed"), (~base_failed(m) & verdict(m, rules)).alias("kept"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def keep_good(docs: DataFrame, rules=RULES) -> DataFrame:
-    """The rows of ``docs`` that pass, unchanged."""
-    m = F.col("__m")
-    return metrics(docs).where(~base_failed(m) & verdict(m, rules)).drop("__m")
+    """The rows of ``docs`` that pass, unchanged; columns of any name and type may be among them."""
+    measured, name = metrics(docs)
+    m = F.col(name)
+    return measured.where(~base_failed(m) & verdict(m, rules)).drop(name)
 
 
 #: DuckDB SQL for ``score`` over ``documents`` with RULES.

@@ -1,8 +1,8 @@
 """K-d tree sharding of documents under the law of equal bytes.
 
-Documents with equal texts are one point, so copies stay in one shard; a group
-of copies heavier than a set part of a shard is split into several points by
-its doc_ids, else no equal sizes could hold.  A point lies in four metadata
+Documents with equal texts are one point, so copies stay in one shard; only a
+group of copies heavier than a whole shard is split into several points by its
+doc_ids, as no shard could hold it.  A point lies in four metadata
 dimensions (source, language, size, doc_id), scaled to 0..1 over the corpus.
 A small amount that a hash of the text sets is added to each coordinate, so
 that points do not tie.
@@ -32,11 +32,12 @@ def _unit(h: Column) -> Column:
 
 
 def _heavy(rows: DataFrame, total: int, shards: int, part_of_shard: float) -> DataFrame:
-    """The texts whose copies weigh more than ``part_of_shard`` of a shard, with
-    the number of points that each is split into.  Their weights add up to the
-    corpus at most, so they are fewer than shards / part_of_shard."""
-    most = max(total * part_of_shard / shards, 1.0)
-    return rows.groupBy(*SAME).agg(F.sum("size").alias("w")).where(F.col("w") > most).select(*SAME, F.ceil(F.col("w") / most).alias("parts"))
+    """The texts whose copies weigh more than a shard, with the number of points
+    (of ``part_of_shard`` of a shard each) that each is split into.  Their
+    weights add up to the corpus at most, so they are fewer than ``shards``."""
+    shard = max(total / shards, 1.0)
+    return (rows.groupBy(*SAME).agg(F.sum("size").alias("w")).where(F.col("w") > shard)
+                .select(*SAME, F.ceil(F.col("w") / max(shard * part_of_shard, 1.0)).alias("parts")))
 
 
 def _quantised(c: Column) -> Column:
@@ -60,7 +61,7 @@ def kd_shards(docs: DataFrame, shards: int = 24, part_of_shard: float = 0.125, b
     seen = rows.agg(F.sum("size").alias("total"), F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
     lo, hi = seen["lo"] or 0, max(seen["hi"] or 0, (seen["lo"] or 0) + 1)
     heavy = materialise(_heavy(rows, seen["total"] or 0, shards, part_of_shard), "heavy-texts")
-    # fewer than shards / part_of_shard rows: a proven bound for the broadcast
+    # fewer than ``shards`` rows: a proven bound for the broadcast
     placed = rows.join(F.broadcast(heavy), [*SAME], "left").withColumn("part", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.coalesce("parts", F.lit(1))))
 
     # sums and least values are taken on each task first, so copies of one text do not meet as rows

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plantops.llm.common import materialise, whole_text
+from plantops.llm.common import fresh, materialise, whole_text
 
 SHINGLE, MAX_BITS, SEED = 3, 3, 42
 
@@ -257,29 +257,32 @@ def keep_representatives(docs: DataFrame, **settings) -> DataFrame:
     """One document of each component, unchanged: one whose doc_id names the
     component and whose text lies in it.  Where a doc_id repeats with texts of
     several components that it names, each keeps one; of its rows in one
-    component the least (by its other columns) stays.  Rows without a doc_id
+    component the least (by its other columns as JSON) stays.  Rows without a doc_id
     all stay, as nothing names one of them."""
     groups = materialise(_grouped(docs, **settings).where("doc_id is not null"), "groups")
-    count = groups.groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("__n"),
-                                                              F.max(F.col("doc_id") == F.col("component_id")).alias("__kept")).where("__kept")
-    same = docs.doc_id == F.col("__id")
-    single = docs.join(count.where("__n = 1"), same, "left_semi")
+    id_, n, of, root, fp, row = fresh(docs.columns, "__id", "__n", "__of", "__root", "__fp", "__row")
+    count = groups.groupBy(F.col("doc_id").alias(id_)).agg(F.count(F.lit(1)).alias(n),
+                                                           F.max(F.col("doc_id") == F.col("component_id")).alias(row)).where(F.col(row)).drop(row)
+    same = F.col("doc_id") == F.col(id_)
+    single = docs.join(count.where(F.col(n) == 1), same, "left_semi")
     # only of rows whose doc_id repeats the text has to tell the component
-    twice = docs.join(count.where("__n > 1"), same, "left_semi")
-    named = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__id"), F.col("fp").alias("__of"), F.col("root").alias("__root")).distinct()
-    placed = _with_fingerprint(twice, settings.get("shingle", SHINGLE), settings.get("seed", SEED)).join(named, (F.col("doc_id") == F.col("__id")) & (F.col("__fp") == F.col("__of")))
-    least = placed.groupBy("doc_id", "__root").agg(F.min(F.struct(*[c for c in docs.columns if c != "doc_id"])).alias("__row"))
-    return (single.unionByName(least.select("doc_id", "__row.*").select(*docs.columns))
+    twice = docs.join(count.where(F.col(n) > 1), same, "left_semi")
+    named = groups.where("doc_id = component_id").select(F.col("doc_id").alias(id_), F.col("fp").alias(of), F.col("root").alias(root)).distinct()
+    placed = _with_fingerprint(twice, settings.get("shingle", SHINGLE), settings.get("seed", SEED), fp).join(named, same & (F.col(fp) == F.col(of)))
+    others = F.struct(*[F.col(c) for c in docs.columns if c != "doc_id"])
+    # rows are compared as JSON text, which has an order for columns of every type
+    least = placed.groupBy("doc_id", root).agg(F.min_by(others, F.to_json(others)).alias(row))
+    return (single.unionByName(least.select("doc_id", f"{row}.*").select(*docs.columns))
                   .unionByName(docs.where("doc_id is null")))
 
 
-def _with_fingerprint(docs: DataFrame, shingle: int, seed: int) -> DataFrame:
-    """``docs`` with its fingerprints as ``__fp``."""
-    schema, at = docs.withColumn("__fp", F.lit(0).cast("long")).schema, docs.columns.index("text")
+def _with_fingerprint(docs: DataFrame, shingle: int, seed: int, name: str) -> DataFrame:
+    """``docs`` with its fingerprints as column ``name``."""
+    schema, at = docs.withColumn(name, F.lit(0).cast("long")).schema, docs.columns.index("text")
 
     def run(batches):
         for rb in batches:
             fp = np.fromiter((fingerprint(x.as_py() or "", shingle, seed) for x in rb.column(at)), np.uint64, rb.num_rows)
-            yield pa.RecordBatch.from_arrays([*rb.columns, pa.array(fp.view(np.int64))], names=[*rb.schema.names, "__fp"])
+            yield pa.RecordBatch.from_arrays([*rb.columns, pa.array(fp.view(np.int64))], names=[*rb.schema.names, name])
 
     return docs.mapInArrow(run, schema)

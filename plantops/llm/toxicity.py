@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plantops.llm.common import whole_text
+from plantops.llm.common import fresh, whole_text
 
 WORD = re.compile(r"[^\W\d_]+")
 BITS = 20
@@ -181,16 +181,17 @@ class Scorer:
         return self.model.score(hits)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """Every row of ``docs`` with ``__score``: a null text counts as empty and
-    gets the score of a text without known words."""
-    schema = docs.withColumn("__score", F.lit(0.0)).schema
+def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """Every row of ``docs`` with its score as column ``name`` (which ``docs``
+    must not have): a null text counts as empty and gets the score of a text
+    without known words."""
+    schema = docs.withColumn(name, F.lit(0.0)).schema
     at = docs.columns.index("text")
 
     def run(batches):
         scorer = Scorer(model)
         for rb in batches:
-            yield pa.RecordBatch.from_arrays([*rb.columns, pa.array([scorer(x.as_py() or "") for x in rb.column(at)], pa.float64())], names=[*rb.schema.names, "__score"])
+            yield pa.RecordBatch.from_arrays([*rb.columns, pa.array([scorer(x.as_py() or "") for x in rb.column(at)], pa.float64())], names=[*rb.schema.names, name])
 
     return docs.mapInArrow(run, schema)
 
@@ -200,9 +201,11 @@ def classify(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
     get theirs, an empty table gives no row, other columns are left out."""
     model = train(docs, labels, **settings)
     out = score(docs.select("doc_id", whole_text().alias("text")), model)
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("score"), (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, unchanged."""
-    return score(docs, train(docs, labels, **settings)).where("__score < 0.5").drop("__score")
+    """The rows of ``docs`` that are not predicted toxic, unchanged; columns of
+    any name and type may be among them."""
+    name, = fresh(docs.columns, "__score")
+    return score(docs, train(docs, labels, **settings), name).where(F.col(name) < 0.5).drop(name)

@@ -153,15 +153,23 @@ def first_start(f, start: int, end: int, size: int) -> int | None:
 
 
 def records(f, start: int, end: int, size: int) -> Iterator[tuple[int, bytes]]:
-    """(place, bytes) of the records that start in [start, end)."""
+    """(place, bytes) of the records that start in [start, end).
+
+    Damage raises ValueError: a member that cannot be decoded, or bytes between
+    two members.  Whoever decodes a member also looks at what follows it, so a
+    damaged first member of a range is noticed by the range before, and one at
+    the beginning of the file by the first range."""
     at = first_start(f, start, end, size)
+    if start == 0 and at != 0 and size:
+        raise ValueError("no whole record at byte 0")
     while at is not None and at < min(end, size):
         got = Member(f, at, size).decode()
-        if got is None or not got[0].startswith(b"WARC/1."):  # damaged: find the next
-            at = first_start(f, at + 1, end, size)
-            continue
+        if got is None or not got[0].startswith(b"WARC/1."):
+            raise ValueError(f"no whole record at byte {at}")
         yield at, got[0]
         at = got[1]
+    if at is not None and at < size and not is_start(f, at, size):
+        raise ValueError(f"no whole record at byte {at}")
 
 
 def parse(raw: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
@@ -183,7 +191,7 @@ def read_pages(archives: DataFrame, split_bytes: int = 8 << 20) -> DataFrame:
     """Records of the listed archives: page_id, url, payload (null for a
     revisit), payload_bytes, payload_digest, record_type, refers_to.  The
     digest of a response is computed from the payload that was read; one that
-    differs from its header raises."""
+    differs from its header raises, and so does a damaged or shortened archive."""
     ranges = archives.select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))).alias("start"))
     # a set number of partitions: by the few bytes of these rows they would be merged into one task
     n = archives.agg(F.sum(F.ceil(F.col("bytes") / split_bytes))).first()[0] or 1
@@ -201,6 +209,8 @@ def read_pages(archives: DataFrame, split_bytes: int = 8 << 20) -> DataFrame:
             for path, size, start in zip(*(c.to_pylist() for c in rb.columns)):
                 fs, at = _open_fs(path)
                 with fs.open_input_file(at) as f:
+                    if f.size() != size:
+                        raise ValueError(f"{path} has {f.size()} bytes, not {size}")
                     for place, raw in records(f, start, start + split_bytes, size):
                         warc, http, payload = parse(raw)
                         said = base64.b32decode(warc["warc-payload-digest"].removeprefix("sha1:")).hex()

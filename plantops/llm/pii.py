@@ -13,8 +13,10 @@ a probability.  They are trained on a bounded sample of the candidates of all
 documents, drawn by hash for each generator, with weak labels: a candidate is positive when a validator vouches for it (a base form,
 a national phone number by its grouping or a
 phone word before it, or a known secret behind a keyword), negative when a validator of its form
-refuses it or nothing vouches for it.  The validators' own verdicts are not
-features, save the Luhn sum, so trees generalise over form and context.
+refuses it or nothing vouches for it; a string that may be a bare key has no
+label.  The validators' own verdicts are not features, save the Luhn sum (and
+for strings without a keyword of their own the keyword before them is none), so
+trees generalise over form and context.
 
 **Thresholds.**  For each generator the lowest threshold that reaches
 ``precision`` on documents kept out of training selects the spans to add; a
@@ -108,13 +110,15 @@ def base_spans(text: str) -> list[Span]:
 
 _KEYWORD = r"(?i:password|passwd|passwort|secret|token|api[_-]?key|access[_-]?key)"
 GENERATORS = [
-    ("contact", re.compile(r"[A-Za-z0-9._%+-]{1,64} ?[\[({] ?(?i:at) ?[\])}] ?[A-Za-z0-9-]{1,63}(?: ?(?:[\[({] ?(?i:dot) ?[\])}]|\.) ?[A-Za-z0-9-]{2,63}){1,4}")),
-    ("number", re.compile(r"[+(]?[0-9](?:[\x20().\-/]{0,2}[0-9]){6,24}")),
+    ("contact", re.compile(r" ?[\[({] ?(?i:at) ?[\])}] ?")),  # contacts() goes outwards from it
+    ("number", re.compile(r"[+(]?[0-9](?:[\x20().\-/]{0,2}[0-9]){6,}")),
     ("secret", re.compile(rf"\b{_KEYWORD} {{0,2}}[=:] {{0,2}}[\"']?[^\s\"']{{6,}}")),
     ("secret", re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}")),  # whole runs; candidates() asks for a digit in them
 ]
 _DIGIT = re.compile("[0-9]")
+_SPELT_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?: ?[\[({] ?(?i:dot) ?[\])}] ?[A-Za-z0-9-]{2,}|\.[A-Za-z0-9-]{2,})+")
 _VOUCHED = re.compile(rf"(?:{_KEYWORD} {{0,2}}[=:] {{0,2}}[\"']?)(?=[^\s\"']*[0-9])[^\s\"']{{8,}}|(?:AKIA|ASIA)[A-Z0-9]{{16}}$")
+_KNOWN_KEY = re.compile(r"(?:gh[opsu]_|github_pat_|sk-|xox[abp]-|glpat-|AKIA|ASIA|AIza|eyJ)(?=[A-Za-z0-9+/_-]*[0-9])")
 _ASSIGNED = re.compile(rf"{_KEYWORD} {{0,2}}[=:] {{0,2}}[\"']?$")
 _BRACKETED_AT = re.compile(r"(?i)[\[({] ?at ?[\])}]")
 _PHONE_CUE = re.compile(r"(?i)\b(?:tel|telephone|telefon|phone|call|fax|mobile|cell)\b")
@@ -125,6 +129,21 @@ _DATE = re.compile(r"[0-9]{4}([./-])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([./-])[0-9
 _CUE = re.compile(r"(?i)\b(?:tel|phone|call|fax|mobile|mail|contact|ip|card|konto|visa)\b")
 
 
+def contacts(text: str) -> list[tuple[int, int]]:
+    """Written-out addresses, from each bracketed "at" outwards: whole runs on
+    both sides, in time linear in the text."""
+    out, end = [], 0
+    for m in GENERATORS[0][1].finditer(text):
+        start = m.start()
+        while start > end and text[start - 1] in _LOCAL:
+            start -= 1
+        domain = _SPELT_DOMAIN.match(text, m.end()) if start < m.start() else None
+        if domain:
+            out.append((start, domain.end()))
+            end = domain.end()
+    return out
+
+
 def candidates(text: str) -> list[tuple[int, int, int]]:
     """(generator, start, end)."""
     out = []
@@ -132,10 +151,15 @@ def candidates(text: str) -> list[tuple[int, int, int]]:
     for g, (_, pattern) in enumerate(GENERATORS):
         if g in (1, 3) and not has_digit or g == 0 and not _BRACKETED_AT.search(text) or g == 2 and "=" not in text and ":" not in text:
             continue
+        if g == 0:
+            out += [(0, *span) for span in contacts(text)]
+            continue
         out += [(g, *m.span()) for m in pattern.finditer(text) if g != 3 or _DIGIT.search(text, *m.span())]
     return out
 
 
+BARE = 3  # the generator of strings without a keyword of their own
+
 FEATURES = ("generator", "length", "digits", "upper", "lower", "other", "digit_share", "distinct_share", "entropy", "parts", "longest_part", "luhn",
             "plus", "brackets", "at_sign", "equals", "before", "after", "cue", "phone_cue", "assigned", "switches")
 
@@ -152,7 +176,7 @@ def describe(text: str, g: int, start: int, end: int) -> list[float]:
     d = only_digits(s)
     return [g, n, digits, upper, lower, n - digits - upper - lower, digits / n, len(count) / n, -sum(v / n * math.log2(v / n) for v in count.values()), len(parts), max(map(len, parts), default=0),
             float(len(d) >= 12 and luhn(d)), float(s[0] == "+"), float("(" in s), float("@" in s or " at " in s.lower()), float("=" in s or ":" in s), side(before[-1:]), side(after),
-            float(bool(_CUE.search(before))), float(bool(_PHONE_CUE.search(before))), float(bool(_ASSIGNED.search(before))), sum(a != b for a, b in zip(kind, kind[1:]))]
+            float(bool(_CUE.search(before))), float(bool(_PHONE_CUE.search(before))), float(g != BARE and bool(_ASSIGNED.search(before))), sum(a != b for a, b in zip(kind, kind[1:]))]
 
 
 def numbers(base: list[Span]) -> list[list[tuple[int, int]]]:
@@ -177,12 +201,21 @@ def whole_in(text: str, base: list[Span]):
     return lambda start, end: free.find(1, start, end) < 0
 
 
-def vouched(text: str, g: int, start: int, end: int, same: list[list[tuple[int, int]]]) -> bool:
+def vouched(text: str, g: int, start: int, end: int, same: list[list[tuple[int, int]]]) -> bool | None:
     """The weak label: a number that is about a base span (``same``: see
-    ``numbers``) or has a national form, a secret of a known form, or a written-out address that ends
-    in letters."""
+    ``numbers``) or has a national form, a secret of a known form, or a
+    written-out address that ends in letters.
+
+    Of strings without a keyword in them those behind one and those with the
+    prefix of a known kind are secrets; those whose parts are all plain words
+    or plain numbers are none; the others have no label (None) and train
+    nothing, as they may be bare keys."""
+    if g == BARE:
+        if _ASSIGNED.search(text, max(0, start - 24), start) or _KNOWN_KEY.match(text, start, end):
+            return True
+        return None if any(p and not p.isalpha() and not p.isdigit() for p in re.split(r"[^A-Za-z0-9]+", text[start:end])) else False
     if GENERATORS[g][0] == "secret":
-        return bool(_VOUCHED.match(text, start, end)) or bool(_ASSIGNED.search(text, max(0, start - 24), start))
+        return bool(_VOUCHED.match(text, start, end))
     if g == 0:
         return bool(re.search(r"[A-Za-z]{2,10}$", text[start:end]))
     # of each kind only the spans that can touch the candidate
@@ -305,10 +338,11 @@ def train(docs: DataFrame, train_rows: int = 40_000, precision: float = 0.98) ->
                 text = t.as_py()
                 found, same = addable(text)
                 for c in found:
-                    if crc32(b"%d %d" % c[:2], h & 0xFFFFFFFF) < share[c[0]] * 2 ** 32:
+                    label = vouched(text, *c, same) if crc32(b"%d %d" % c[:2], h & 0xFFFFFFFF) < share[c[0]] * 2 ** 32 else None
+                    if label is not None:
                         key.append(h)
                         at.append(c[1])
-                        y.append(float(vouched(text, *c, same)))
+                        y.append(float(label))
                         x.append(describe(text, *c))
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(at, pa.int64()), pa.array(y, pa.float64()), pa.array(x, pa.list_(pa.float64()))], names=["h", "at", "y", "x"])
 
@@ -345,9 +379,11 @@ def calibrate(src: DataFrame, trees: Trees, precision: float) -> list[float]:
                 text = t.as_py()
                 found, same = addable(text)
                 for c in found:
-                    out.append(held(h))
-                    y.append(vouched(text, *c, same))
-                    x.append(describe(text, *c))
+                    label = vouched(text, *c, same)
+                    if label is not None:
+                        out.append(held(h))
+                        y.append(label)
+                        x.append(describe(text, *c))
             if x:
                 x = np.array(x)
                 bins = np.floor(trees.log_odds(x) * BINS).astype(int)

@@ -2,16 +2,20 @@
 
 A merge can only join two bytes that stand next to each other inside some
 vocabulary token.  So a byte pair that occurs inside *no* token is a certain
-cut: the text is cut there, each fragment is encoded by itself, and the id
-lists are concatenated.  A fragment is also pre-tokenised by itself, so only
-those certain cuts are used at which the pre-tokeniser cannot look across:
+cut: every text is cut at such pairs, each fragment is encoded by itself, and
+the id lists are concatenated.  The pairs are looked up for all bytes of many
+texts at once, in a table of 256 x 256 marks; no other rule cuts.
 
-* before a space that follows a non-space character.  The pair table shows
-  that no token holds such a pair; the one exception is byte 0xA0, which also
-  ends the no-break space, and there the pre-tokeniser itself never joins a
-  non-space to a following space;
-* inside very long words, between two letters whose bytes form a pair of no
-  token (and no apostrophe nearby that could start a contraction).
+A fragment is also pre-tokenised by itself, so a pair is a cut only where the
+pre-tokeniser's choice on either side cannot depend on what lies across.  Its
+pattern never looks back, and looks ahead only behind white space; a run that
+is cut within gives two runs, whose tokens are the same since no token spans
+the pair.  What remains, and is not cut, is
+
+* before an apostrophe, and one or two bytes behind it, where a contraction
+  could be made or torn;
+* behind white space that follows white space, where the run's last character
+  goes with the next word.
 
 Most fragments are common words, so a task keeps a bounded table of fragments
 already encoded.  Text strings of special tokens are cut out first and become
@@ -35,8 +39,14 @@ from plantops.llm.common import whole_text
 #: The byte-level pre-tokeniser's pattern.
 PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-#: Fragments longer than this (in characters) are cut again and not kept.
-LONG = 256
+#: White space beyond one byte (each a whole character in UTF-8).
+WIDE_SPACE = [chr(c) for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+
+#: Fragments of more bytes are not kept for reuse.
+KEPT = 256
+
+#: Texts are cut together up to this many bytes; a longer one is cut alone.
+TOGETHER = 1 << 20
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -56,7 +66,7 @@ class Codec:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.path, self.cache_entries = path, cache_entries
+        self.cache_entries = cache_entries
         alphabet = _byte_alphabet()
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         vocab = {bytes(alphabet[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
@@ -72,55 +82,69 @@ class Codec:
             self.inside[a[:-1], a[1:]] = True
         for t, i in self.special.items():
             self.token[i] = t.encode()
-        if set(np.flatnonzero(self.inside[:, 0x20])) - {0x20, 0xA0, *range(9, 14)}:
-            raise ValueError(f"{path}: a token holds a space behind another character")
         self._merge = tiktoken.Encoding("plain", pat_str=PRETOKEN, mergeable_ranks=vocab, special_tokens={})._core_bpe.encode_ordinary
-        self._cut_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self._spaces = re.compile(r"\s ")
-        self._cut_spaces = re.compile(r"(?<=\S) ")
+        self._find_special = re.compile(b"|".join(re.escape(s.encode()) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
+        self._space = np.zeros(256, bool)
+        self._space[[*range(9, 14), 32]] = True
         self._known = _Known(self)
-        self._whole = None
 
     def encode(self, text: str) -> bytes:
         """Ids of ``text`` as little-endian unsigned 32-bit integers."""
-        if self._cut_special and any(s in text for s in self.special):
-            return b"".join(self.special[x].to_bytes(4, "little") if x in self.special else self._plain(x)
-                            for x in self._cut_special.split(text))
-        return self._plain(text)
-
-    def _plain(self, text: str) -> bytes:
-        if not text:
-            return b""
-        # a space behind another white space is no cut
-        first, *rest = self._cut_spaces.split(text) if self._spaces.search(text) else text.split(" ")
-        return self._fragment(first) + b"".join(map(self._known.__getitem__, rest))
-
-    def _fragment(self, fragment: str) -> bytes:
-        if len(fragment) <= LONG:
-            return np.array(self._merge(fragment), "<u4").tobytes()
-        return b"".join(np.array(self._merge(x) if len(x) <= LONG else self._long(x), "<u4").tobytes()
-                        for x in self._letters(fragment))
-
-    def _letters(self, fragment: str) -> list[str]:
-        """Cuts between two letters whose bytes no token holds side by side."""
-        raw = np.frombuffer(fragment.encode(), np.uint8)
-        at = np.flatnonzero(~self.inside[raw[:-1], raw[1:]]) + 1
-        at = at[(raw[at] & 0xC0) != 0x80]
-        starts = np.cumsum((raw & 0xC0) != 0x80) - 1  # the character of each byte
-        out, last = [], 0
-        for i in starts[at].tolist():
-            if fragment[i].isalpha() and fragment[i - 1].isalpha() and "'" not in fragment[max(0, i - 3):i]:
-                out.append(fragment[last:i])
-                last = i
-        return [*out, fragment[last:]]
-
-    def _long(self, fragment: str) -> list[int]:
-        """A long stretch without a certain cut: the library merges it in n log n."""
-        if self._whole is None:
-            from tokenizers import Tokenizer
-            self._whole = Tokenizer.from_file(self.path)
-            self._whole.encode_special_tokens = True
-        return self._whole.encode(fragment, add_special_tokens=False).ids
+        return self.encode_all(pa.array([text], pa.string()))[0]
+
+    def encode_all(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text of an Arrow string array (null: none)."""
+        texts = texts.cast(pa.large_string())
+        _, ends, data = texts.buffers()
+        at = np.frombuffer(ends, np.int64)[texts.offset:texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        out: list[bytes] = []
+        i = 0
+        while i < len(texts):
+            j = max(i + 1, int(np.searchsorted(at, at[i] + TOGETHER, "right")) - 1)
+            out += self._together(data[int(at[i]):int(at[j])].to_pybytes() if at[j] > at[i] else b"", at[i:j + 1] - at[i])
+            i = j
+        return out
+
+    def cuts(self, raw: bytes) -> np.ndarray:
+        """For each place in UTF-8 text, if the byte pair around it is a certain
+        cut (places 0 to len(raw); the ends are none)."""
+        cut = np.zeros(len(raw) + 1, bool)
+        if len(raw) < 2:
+            return cut
+        b = np.frombuffer(raw, np.uint8)
+        middle = (b & 0xC0) == 0x80  # bytes within a character
+        ends_space = self._space[b]
+        if middle.any():
+            for c in map(str.encode, WIDE_SPACE):
+                if c in raw:
+                    ends_space[[m.end() - 1 for m in re.finditer(re.escape(c), raw)]] = True
+        quote = b == 0x27
+        near_quote = quote[1:] | quote[:-1]
+        near_quote[1:] |= quote[:-2]
+        after_run = middle[:-1].copy()  # a wide space counts as a run
+        after_run[1:] |= ends_space[:-2]
+        open_end = near_quote | (ends_space[:-1] & after_run)
+        cut[1:-1] = ~self.inside[b[:-1], b[1:]] & ~middle[1:] & (self._space[b[1:]] | ~open_end)
+        return cut
+
+    def _together(self, raw: bytes, at: np.ndarray) -> list[bytes]:
+        """Ids of the texts that lie in ``raw`` between the places ``at``."""
+        cut = self.cuts(raw)
+        cut[at] = True
+        if self._find_special and self._find_special.search(raw):
+            for a, b in zip(at.tolist(), at[1:].tolist()):
+                for m in self._find_special.finditer(raw, a, b):
+                    cut[m.start():m.end()] = False
+                    cut[[m.start(), m.end()]] = True
+        places = np.flatnonzero(cut)
+        known, p = self._known, places.tolist()
+        ids = [known[raw[a:b]] for a, b in zip(p, p[1:])]
+        of = np.searchsorted(places, at).tolist()
+        return [b"".join(ids[a:b]) for a, b in zip(of, of[1:])]
+
+    def fragment(self, raw: bytes) -> bytes:
+        """Ids of one fragment."""
+        return np.array(self._merge(raw.decode()), "<u4").tobytes()
 
     def decode(self, ids: bytes) -> str:
         """The text of ``ids``, special tokens included."""
@@ -128,15 +152,16 @@ class Codec:
 
 
 class _Known(dict):
-    """Ids of a space and a fragment; keeps the first ``cache_entries``, which
-    are the common words."""
+    """Ids of fragments; holds the special tokens and keeps the first
+    ``cache_entries`` fragments, which are the common words."""
 
     def __init__(self, codec: Codec):
+        super().__init__({s.encode(): i.to_bytes(4, "little") for s, i in codec.special.items()})
         self.codec, self.room = codec, codec.cache_entries
 
-    def __missing__(self, fragment: str) -> bytes:
-        ids = self.codec._fragment(" " + fragment)
-        if self.room and len(fragment) < LONG:
+    def __missing__(self, fragment: bytes) -> bytes:
+        ids = self.codec.fragment(fragment)
+        if self.room and len(fragment) <= KEPT:
             self.room -= 1
             self[fragment] = ids
         return ids
@@ -158,7 +183,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, text: str = "text", keep:
     def run(batches):
         c = codec(tokenizer)
         for rb in batches:
-            ids = [c.encode(x.as_py()) for x in rb.column(len(keep))]
+            ids = c.encode_all(rb.column(len(keep)))
             yield pa.RecordBatch.from_arrays([*rb.columns[:-1], pa.array(ids, pa.binary())], names=[*keep, "ids"])
 
     return src.mapInArrow(run, schema)
@@ -189,8 +214,7 @@ def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
         c = codec(tokenizer)
         for rb in batches:
             n, a, b = [], [], []
-            for x in rb.column(1):
-                ids = c.encode(x.as_py())
+            for ids in c.encode_all(rb.column(1)):
                 n.append(len(ids) // 4)
                 a.append(hashlib.sha256(ids).hexdigest())
                 b.append(hashlib.sha256(c.decode(ids).encode("utf-8")).hexdigest())

@@ -3,9 +3,10 @@
 A logistic model over the words of a text and their prefixes (so that inflected
 forms of a word share weight).  For every training text that names an identity
 group, the same text with its identity terms swapped for others of their kind
-is its counterfactual; training adds ``penalty`` times the squared difference
-of the two scores to the loss.  What the labels happen to say about a group is
-then no reason for a higher score, and neutral mentions are not rejected.
+is a counterfactual, up to ``SWAPS`` of them a text; training adds ``penalty``
+times the mean squared difference of a text's score and its counterfactual's to
+the loss.  What the labels happen to say about a group is then no reason for a
+higher score, and neutral mentions are not rejected.
 
 Training takes a sample of at most ``train_rows`` labelled documents (by a hash
 of the doc_id; all of them if there are no more) and runs on the driver over
@@ -44,10 +45,23 @@ old young elderly
 disabled blind deaf
 mexican chinese american german french spanish turkish polish
 frauen männer
+muslime christen juden buddhisten atheisten
+ausländer einheimische flüchtlinge
+schwule heterosexuelle lesben
+türken deutsche polen franzosen
 femmes hommes
+musulmans chrétiens juifs bouddhistes
+étrangers citoyens réfugiés
+noirs blancs
 mujeres hombres
+musulmanes cristianos judíos budistas
+inmigrantes ciudadanos refugiados
+negros blancos
 """.strip().splitlines()]
-SWAP = {w: line[(i + 1) % len(line)] for line in IDENTITY for i, w in enumerate(line)}
+PLACE = {w: (line, i) for line in IDENTITY for i, w in enumerate(line)}
+
+#: Counterfactuals of a text: each term by the first, second, third next of its line.
+SWAPS = 3
 
 
 def features(word: str) -> list[int]:
@@ -64,13 +78,22 @@ def text_features(words: set[str]) -> list[int]:
     return sorted({f for w in words for f in features(w)})
 
 
-def counterfactual(words: set[str]) -> set[str] | None:
-    """The words with identity terms swapped; None if there is none.  The
-    model sees which words a text has, so swapping them in its sentences and
-    swapping them in their set give the same counterfactual."""
-    if SWAP.keys().isdisjoint(words):
-        return None
-    return {SWAP.get(w, w) for w in words}
+def counterfactuals(words: set[str]) -> list[set[str]]:
+    """The words with identity terms swapped, in up to ``SWAPS`` ways; none
+    without such terms.  The model sees which words a text has, so swapping
+    them in its sentences and swapping them in their set give the same
+    counterfactual."""
+    if PLACE.keys().isdisjoint(words):
+        return []
+    out: list[set[str]] = []
+    for n in range(1, SWAPS + 1):
+        other = set()
+        for w in words:
+            line, i = PLACE.get(w, ((w,), 0))
+            other.add(line[(i + n) % len(line)])
+        if other != words and other not in out:
+            out.append(other)
+    return out
 
 
 @dataclass
@@ -88,10 +111,33 @@ def _matrix(rows: list[np.ndarray], number: np.ndarray) -> tuple[np.ndarray, np.
     return np.repeat(np.arange(len(rows)), [len(c) for c in cols]), np.concatenate([*cols, np.empty(0, np.int64)]).astype(np.int64)
 
 
-def fit(feats: list[np.ndarray], swapped: list[np.ndarray], toxic: np.ndarray, penalty: float = 4.0, ridge: float = 1e-3, steps: int = 400, least: int = 4, chi2: float = 16.0) -> Model:
-    """``swapped[i]`` is empty where text i has no counterfactual.  Columns are
-    the features in ``least`` texts or more whose share among toxic texts
-    differs by more than chance (``chi2``), and those of the swaps' terms."""
+def objective(theta: np.ndarray, hits, y: np.ndarray, other, pair: np.ndarray, penalty: float, ridge: float) -> tuple[float, np.ndarray]:
+    """Loss and gradient at ``theta`` (weights, then bias).  ``hits`` are (row,
+    column) of the texts' features, ``other`` those of the counterfactuals, and
+    ``pair`` names the text of each counterfactual."""
+    w, b, n, k = theta[:-1], theta[-1], len(y), len(theta) - 1
+    (r, c), (r2, c2) = hits, other
+    s = 1 / (1 + np.exp(-np.clip(b + np.bincount(r, w[c], n), -35, 35)))
+    loss = -np.mean(np.where(y > 0, np.log(s + 1e-300), np.log1p(-s + 1e-16))) + ridge / 20 * (w @ w)
+    g = (s - y) / n
+    gw2, gb2 = np.zeros(k), 0.0
+    if len(pair):
+        s2 = 1 / (1 + np.exp(-np.clip(b + np.bincount(r2, w[c2], len(pair)), -35, 35)))
+        gap = s[pair] - s2
+        loss += penalty * np.mean(gap * gap)
+        far = 2 * penalty * gap / len(pair)
+        g += np.bincount(pair, far, n) * s * (1 - s)
+        g2 = -far * s2 * (1 - s2)
+        gw2, gb2 = np.bincount(c2, g2[r2], k), g2.sum()
+    return float(loss), np.append(np.bincount(c, g[r], k) + gw2 + ridge * w / 10, g.sum() + gb2)
+
+
+def fit(feats: list[np.ndarray], swapped: list[list[np.ndarray]], toxic: np.ndarray, penalty: float = 4.0, ridge: float = 1e-3, steps: int = 400, least: int = 4, chi2: float = 16.0) -> Model:
+    """``swapped[i]`` has the features of each counterfactual of text i.
+    Columns are the features in ``least`` texts or more whose share among toxic
+    texts differs by more than chance (``chi2``).  Other features have no
+    weight: an identity term among them adds nothing to a score, and a swap for
+    it draws the weight of the term that it replaces towards nothing."""
     n, pos = len(toxic), float(toxic.sum())
     if not n or pos in (0.0, float(n)):
         return Model({}, float(np.log((pos + 0.5) / (n - pos + 0.5))))
@@ -105,26 +151,16 @@ def fit(feats: list[np.ndarray], swapped: list[np.ndarray], toxic: np.ndarray, p
     used = np.flatnonzero((seen >= least) & (stat >= chi2))
     number = np.full(1 << BITS, -1)
     number[used] = np.arange(len(used))
-    r, c = _matrix(feats, number)
-    pair = np.array([i for i, s in enumerate(swapped) if len(s)], int)
-    r2, c2 = _matrix([swapped[i] for i in pair], number)
-    w, b, y = np.zeros(len(used)), np.log(pos / (n - pos)), toxic.astype(float)
-    m, v, k = np.zeros(len(used) + 1), np.zeros(len(used) + 1), len(used)
+    hits = _matrix(feats, number)
+    pair = np.repeat(np.arange(n), [len(x) for x in swapped])
+    other = _matrix([f for x in swapped for f in x], number)
+    y, theta = toxic.astype(float), np.append(np.zeros(len(used)), np.log(pos / (n - pos)))
+    m, v = np.zeros(len(theta)), np.zeros(len(theta))
     for t in range(1, steps + 1):
-        s = 1 / (1 + np.exp(-np.clip(b + np.bincount(r, w[c], n), -35, 35)))
-        g = (s - y) / n
-        gw2, gb2 = np.zeros(k), 0.0
-        if len(pair):
-            s2 = 1 / (1 + np.exp(-np.clip(b + np.bincount(r2, w[c2], len(pair)), -35, 35)))
-            far = 2 * penalty * (s[pair] - s2) / len(pair)
-            g[pair] += far * s[pair] * (1 - s[pair])
-            g2 = -far * s2 * (1 - s2)
-            gw2, gb2 = np.bincount(c2, g2[r2], k), g2.sum()
-        grad = np.append(np.bincount(c, g[r], k) + gw2 + ridge * w / 10, g.sum() + gb2)
+        _, grad = objective(theta, hits, y, other, pair, penalty, ridge)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
-        step = 0.1 * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-9)
-        w, b = w - step[:-1], b - step[-1]
-    return Model({int(f): float(x) for f, x in zip(used, w)}, float(b))
+        theta = theta - 0.1 * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-9)
+    return Model({int(f): float(x) for f, x in zip(used, theta[:-1])}, float(theta[-1]))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -151,14 +187,18 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = 12_000, penalty:
             a, b = [], []
             for x in rb.column(2):
                 words = words_of(x.as_py())
-                other = counterfactual(words)
                 a.append(text_features(words))
-                b.append([] if other is None else text_features(other))
-            yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(1), pa.array(a, pa.list_(pa.int32())), pa.array(b, pa.list_(pa.int32()))], names=["id", "toxic", "a", "b"])
+                b.append([text_features(other) for other in counterfactuals(words)])
+            yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(1), pa.array(a, pa.list_(pa.int32())), pa.array(b, pa.list_(pa.list_(pa.int32())))], names=["id", "toxic", "a", "b"])
+
+    t = some.mapInArrow(run, "id bigint, toxic int, a array<int>, b array<array<int>>").toArrow().sort_by("id")
+    feats = [_numbers(x) for x in t["a"]]
+    swapped = [[_numbers(y) for y in x] if len(x) else [] for x in t["b"]]
+    return fit(feats, swapped, t["toxic"].to_numpy().astype(float), penalty)
+
 
-    t = some.mapInArrow(run, "id bigint, toxic int, a array<int>, b array<int>").toArrow().sort_by("id")
-    lists = [[x.values.to_numpy(zero_copy_only=False) if x.values is not None else np.empty(0, np.int32) for x in t[c]] for c in ("a", "b")]
-    return fit(lists[0], lists[1], t["toxic"].to_numpy().astype(float), penalty)
+def _numbers(x: pa.ListScalar) -> np.ndarray:
+    return x.values.to_numpy(zero_copy_only=False) if x.values is not None else np.empty(0, np.int32)
 
 
 class Scorer:

@@ -45,7 +45,7 @@ def test_penalty_takes_identity_terms_out():
     rows, labels = corpus()
     sets = [tox.words_of(t) for _, t in rows]
     feats = [np.array(tox.text_features(w), np.int32) for w in sets]
-    other = [np.array(tox.text_features(c) if (c := tox.counterfactual(w)) else [], np.int32) for w in sets]
+    other = [[np.array(tox.text_features(c), np.int32) for c in tox.counterfactuals(w)] for w in sets]
     y = np.array([t for *_, t in labels], float)
     score = lambda m, text: tox.Scorer(m)(text)
     free, held = tox.fit(feats, other, y, penalty=0.0), tox.fit(feats, other, y, penalty=30.0)
@@ -73,3 +73,53 @@ def test_training_takes_twelve_thousand_labelled_rows(spark):
     marks = spark.createDataFrame([(i, int(i in rare or i % 9 == 0)) for i in rank], "doc_id bigint, toxic int")
     model = tox.train(docs, marks)
     assert model.weights.get(tox.features("zgrubl")[0], 0.0) > 0.5
+
+
+def test_counterfactuals_swap_terms_for_others_of_their_kind():
+    assert tox.counterfactuals({"a", "plain", "text"}) == []
+    assert tox.counterfactuals({"muslim", "x"}) == [{"christian", "x"}, {"jewish", "x"}, {"hindu", "x"}]
+    assert tox.counterfactuals({"frauen", "x"}) == [{"männer", "x"}]  # the second swap is the text itself
+    assert tox.counterfactuals({"frauen", "männer"}) == []            # all swaps are
+    assert all(len(line) == len(set(line)) > 1 for line in tox.IDENTITY) and len(tox.PLACE) == sum(map(len, tox.IDENTITY))
+
+
+def test_gradient_is_that_of_the_loss():
+    rng = np.random.default_rng(4)
+    n, k, pairs = 30, 8, 25
+    hits = rng.integers(0, n, 90), rng.integers(0, k, 90)
+    other = rng.integers(0, pairs, 60), rng.integers(0, k, 60)
+    y, pair, theta = rng.integers(0, 2, n).astype(float), rng.integers(0, n, pairs), rng.normal(size=k + 1)
+    _, grad = tox.objective(theta, hits, y, other, pair, 4.0, 0.3)
+    for i in range(k + 1):
+        step = np.eye(k + 1)[i] * 1e-5
+        up, down = (tox.objective(theta + sign * step, hits, y, other, pair, 4.0, 0.3)[0] for sign in (1, -1))
+        assert abs((up - down) / 2e-5 - grad[i]) < 1e-6
+
+
+def test_the_registered_penalty_keeps_neutral_mentions_that_none_would_reject(spark, docs_of):
+    """Half of the toxic texts are marked for reasons too rare to learn, and
+    most of these name a group; clean training texts seldom do."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("bdfgklmptv") for _ in range(rng.randint(3, 8))) for _ in range(800)]
+    rows, labels = [], []
+    for i in range(3000):
+        w = [rng.choice(words) for _ in range(rng.randint(10, 60))]
+        toxic = rng.random() < 0.2
+        if toxic and rng.random() < 0.5:
+            w.insert(3, rng.choice(["zgrubl", "zgrublex", "vrokk"]))
+        elif toxic:
+            w.insert(2, "muslim")
+        elif rng.random() < 0.01:
+            w.insert(2, rng.choice(["muslim", "christian", "hindu", "jewish"]))
+        rows.append((i, " ".join(w)))
+        labels.append((i, 1, int(toxic)))
+    neutral = {10_000 + i: " ".join(["my", "muslim", *rng.sample(words, 12)]) for i in range(100)}
+    insults = {20_000 + i: " ".join(["you", "zgrubl", *rng.sample(words, 12)]) for i in range(100)}
+    marks = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    docs = docs_of([*rows, *neutral.items(), *insults.items()])
+    rejected = {}
+    for name, settings in (("none", {"penalty": 0.0}), ("registered", {})):
+        out = {r.doc_id: r.predicted for r in tox.classify(docs, marks, **settings).collect()}
+        rejected[name] = sum(out[i] for i in neutral), sum(out[i] for i in insults)
+    assert rejected["none"][0] > 90 and rejected["registered"][0] < 5, rejected
+    assert min(n for _, n in rejected.values()) > 95, rejected

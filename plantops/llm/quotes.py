@@ -3,8 +3,8 @@ conversations without quotes.
 
 1. Each message is parsed into nested quote levels: a line's level is the
    number of ``>`` marks before it.  Lines of one level that follow each other
-   are a passage; level 0 is the message's own text.  A line that announces a
-   quote ("... wrote:") goes with the quote.
+   are a passage; level 0 is the message's own text.  The lines that announce a
+   quote ("On Mon, Ann / wrote:") go with the quote.
 2. A message's own text and the passages it quotes are split alike: as a whole,
    by blank-line blocks, by lines and by sentences, which need not end with a
    line.  Each part is normalised (white space, letter case) and hashed.
@@ -35,6 +35,10 @@ from plantops.operators.ordinal import ordinal
 
 _MARKS = re.compile(r"(?:[ \t]{0,3}>)+[ \t]?")
 _ANNOUNCE = re.compile(r"(?i)\b(?:wrote|writes|said|schrieb|a écrit|escribió)\s*:\s*$")
+_OPENS = re.compile(r"(?i)\s*(?:on|am|le|el)\b.*(?:\d|\b(?:mon|tue|wed|thu|fri|sat|sun|mo|di|mi|do|fr|sa|so|lun|mar|mer|jeu|ven|sam|dim|mié|jue|vie|sáb|dom)[a-zäéí]*\b)")
+
+#: Lines that an announcement may be wrapped to.
+_WRAPPED = 3
 
 _BLANK = re.compile(r"\n\s*\n")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])")
@@ -42,6 +46,24 @@ _SENTENCE = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])")
 _PART = pa.struct([("way", pa.int32()), ("h", pa.binary()), ("words", pa.int64()), ("of", pa.int32())])
 
 
+def announced(lines: list[str]) -> int:
+    """How many of the lines are left without the announcement of a quote that
+    ends them.  It ends in "wrote:" or the like, blank lines may follow; a
+    wrapped one starts up to two lines earlier, at a line that opens with a
+    date ("On Mon, ...")."""
+    end = len(lines)
+    while end and not lines[end - 1].strip():
+        end -= 1
+    if not end or not _ANNOUNCE.search(lines[end - 1]):
+        return len(lines)
+    for i in range(end - 1, max(end - 1 - _WRAPPED, -1), -1):
+        if not lines[i].strip():
+            break
+        if _OPENS.match(lines[i]):
+            return i
+    return end - 1
+
+
 def parse(text: str) -> list[tuple[int, str]]:
     """(level, passage) in the order of the text; level 0 is own text."""
     out: list[tuple[int, list[str]]] = []
@@ -51,8 +73,8 @@ def parse(text: str) -> list[tuple[int, str]]:
         if out and out[-1][0] == level:
             out[-1][1].append(rest)
         else:
-            if out and level > out[-1][0] and out[-1][1] and _ANNOUNCE.search(out[-1][1][-1]):
-                out[-1][1].pop()
+            if out and level > out[-1][0]:
+                del out[-1][1][announced(out[-1][1]):]
                 if not out[-1][1]:
                     out.pop()
             out.append((level, [rest]))

@@ -8,6 +8,8 @@ conversations without quotes.
 2. A message's own text and the passages it quotes are split alike: as a whole,
    by blank-line blocks, by lines and by sentences, which need not end with a
    line.  Each part is normalised (white space, letter case) and hashed.
+   Own parts travel only if a bit map of quoted hashes (``FILTER_BITS``, the same
+   size for any input) may hold them; a semi join then decides.
 3. For each hash the first message that says it, in each conversation and in
    the first two conversations, is found by an aggregation; quoted parts join these by equality.
    The keys are unique on that side, so a passage that very many messages share
@@ -26,6 +28,7 @@ from __future__ import annotations
 import hashlib
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +46,10 @@ _WRAPPED = 3
 _BLANK = re.compile(r"\n\s*\n")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])")
 
+#: Bits of the map of quoted hashes that every task gets (16 MB): one for each
+#: value of a hash's first 27 bits.
+FILTER_BITS = 1 << 27
+
 _PART = pa.struct([("way", pa.int32()), ("h", pa.binary()), ("words", pa.int64()), ("of", pa.int32())])
 
 
@@ -109,6 +116,17 @@ def quoted_parts(passage: str) -> list[tuple[int, bytes, int]]:
     return [(i, h, n) for i, words in enumerate(out) for h, n in words.items()]
 
 
+def _bit_map(quotes: DataFrame) -> bytes:
+    """A bit for the first 27 bits of each hash ``h``, as bytes; its size does
+    not depend on the rows, which are brought together on Spark's side."""
+    place = F.shiftright(F.conv(F.hex(F.substring("h", 1, 4)), 16, 10).cast("long"), 5)
+    words = (quotes.select(place.alias("place")).selectExpr("cast(shiftright(place, 6) as int) at", "shiftleft(1L, cast(place & 63 as int)) bit")
+             .groupBy("at").agg(F.bit_or("bit").alias("bits"))).toArrow()
+    out = np.zeros(FILTER_BITS // 64, "<i8")
+    out[words["at"].to_numpy()] = words["bits"].to_numpy()
+    return out.tobytes()
+
+
 def link_quotes(messages: DataFrame) -> DataFrame:
     """Per message: conv_id, turn, role, body (own text), n_quotes (quoted
     passages), n_linked (those with an original, see step 3), max_level, reply_to_conv and
@@ -134,21 +152,24 @@ def link_quotes(messages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*rb.columns[:3], pa.array(body, pa.string()), pa.array(level, pa.list_(pa.int32())), pa.array(digest, pa.list_(pa.binary())), pa.array(parts, pa.list_(_PART))],
                                              names=["conv_id", "turn", "role", "body", "level", "digest", "parts"])
 
+    parsed = materialise(src.mapInArrow(run, "conv_id bigint, turn bigint, role string, body string, level array<int>, digest array<binary>, parts array<struct<way: int, h: binary, words: bigint, of: int>>"), "messages")
+    placed = parsed.where("conv_id is not null and turn is not null")
+    # a passage is known by its level and its whole hash: one that a message repeats counts once
+    quotes = (placed.select("conv_id", "turn", "level", "digest", F.explode("parts").alias("p"))
+              .select("conv_id", "turn", F.col("level")[F.col("p.of")].alias("level"), F.col("digest")[F.col("p.of")].alias("passage"), "p.way", "p.h", "p.words").distinct())
+    quoted_bits = messages.sparkSession.sparkContext.broadcast(_bit_map(quotes))
+
     def index(batches):
+        bits = quoted_bits.value
         for rb in batches:
             row, h = [], []
             for i, t in enumerate(rb.column(2)):
-                own = sorted(own_passages(t.as_py()))
+                own = sorted(h for h in own_passages(t.as_py()) if bits[h[0] << 16 | h[1] << 8 | h[2]] >> (h[3] >> 5) & 1)
                 row += [i] * len(own)
                 h += own
             yield pa.RecordBatch.from_arrays([rb.column(0).take(pa.array(row, pa.int64())), rb.column(1).take(pa.array(row, pa.int64())), pa.array(h, pa.binary())], names=["conv_id", "turn", "h"])
 
-    parsed = materialise(src.mapInArrow(run, "conv_id bigint, turn bigint, role string, body string, level array<int>, digest array<binary>, parts array<struct<way: int, h: binary, words: bigint, of: int>>"), "messages")
-    placed = parsed.where("conv_id is not null and turn is not null")
-    # a passage is known by its level and its whole hash: one that a message repeats counts once
-    quotes = (placed.select("conv_id", "turn", "level", "digest", F.explode("parts").alias("p"))
-              .select("conv_id", "turn", F.col("level")[F.col("p.of")].alias("level"), F.col("digest")[F.col("p.of")].alias("passage"), "p.way", "p.h", "p.words").distinct())
-    # only what somebody quotes needs an index; a semi join keeps the rest out
+    # only what somebody quotes needs an index; the bit map keeps most of the rest at home, a semi join all of it
     said = placed.select("conv_id", "turn", "body").mapInArrow(index, "conv_id bigint, turn bigint, h binary").join(quotes.select("h").distinct(), "h", "left_semi")
     # written, so that the joins with them are of two plain shuffles, which AQE splits at a hot passage
     here = materialise(said.groupBy("h", "conv_id").agg(F.min("turn").alias("turn_here")), "said-here")

@@ -94,8 +94,8 @@ def cut_documents(docs: DataFrame, tokenizer: str, max_len: int, end_id: int) ->
         c = codec(tokenizer)
         for rb in batches:
             doc, start, total, ids = [], [], [], []
-            for d, x in zip(rb.column(0).to_pylist(), rb.column(1)):
-                raw = c.encode(x.as_py()) + end
+            for d, raw in zip(rb.column(0).to_pylist(), c.encode_all(rb.column(1))):
+                raw += end
                 for at in range(0, len(raw), step):
                     doc.append(d)
                     start.append(at // 4)

@@ -25,7 +25,6 @@ a group for the numbering to be deterministic.
 from __future__ import annotations
 
 import sys
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from plantops.session import checkpoint_dir, shuffle_partitions, sub_dir
+from plantops.session import shuffle_partitions, staging
 
 try:  # the Arrow pass runs on executors: ship this module by value, so a
     # worker needs numpy/pyarrow but not this package on its path
@@ -108,7 +107,7 @@ def ordinal(df: DataFrame, keys: list[str], order: list, name: str = "idx",
                .sortWithinPartitions(*key_cols, *order_cols)
                .withColumn(_PID, F.spark_partition_id()))
     schema = StructType(srt.schema.fields + [StructField(_RUN, LongType(), False)])
-    path = sub_dir(checkpoint_dir(df.sparkSession), f"plantops-ordinal-{uuid.uuid4().hex}")
+    path = staging(df.sparkSession, "ordinal")
     srt.mapInArrow(_runs_fn(keys), schema).write.parquet(path)
     runs = df.sparkSession.read.schema(schema).parquet(path)
 
@@ -150,7 +149,7 @@ def global_ordinal(df: DataFrame, order: list, name: str = "seq",
     # the lower 33 bits count the rows of a partition
     inside = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) + 1
     srt = df.repartitionByRange(n, *cols).sortWithinPartitions(*cols).withColumns({_PID: F.spark_partition_id(), _RUN: inside})
-    path = sub_dir(checkpoint_dir(df.sparkSession), f"plantops-ordinal-{uuid.uuid4().hex}")
+    path = staging(df.sparkSession, "ordinal")
     srt.write.parquet(path)
     rows = df.sparkSession.read.schema(srt.schema).parquet(path)
     earlier = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)  # one row per partition: a bounded single task

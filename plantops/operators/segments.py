@@ -13,7 +13,6 @@ billionths, two longs.
 from __future__ import annotations
 
 import sys
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +22,7 @@ from pyspark.sql import types as T
 
 from plantops.functions.scalars import QTY
 from plantops.operators.ordinal import _key_change
-from plantops.session import checkpoint_dir, shuffle_partitions, sub_dir
+from plantops.session import shuffle_partitions, staging
 
 try:  # as in ordinal: workers need not have this package on their path
     from pyspark import cloudpickle as _cp
@@ -100,7 +99,7 @@ def group_marks(df: DataFrame, keys: list[str], order: list[str], value: Column,
     ranged = (df.withColumns({_WHOLE: whole, _NANO: nano}).repartitionByRange(n, *cols).sortWithinPartitions(*cols)
                 .withColumn(_PID, F.spark_partition_id()))
     schema = T.StructType([*ranged.schema.fields, *[T.StructField(c, t) for c, t in _ADDED]])
-    path = sub_dir(checkpoint_dir(spark), f"plantops-segments-{uuid.uuid4().hex}")
+    path = staging(spark, "segments")
     ranged.mapInArrow(_segments_fn(keys), schema).write.parquet(path)  # the bounds of a range come from a sample: cut once
     rows = spark.read.schema(schema).parquet(path)
 

@@ -13,13 +13,12 @@ repeated from there (:meth:`KeyedTable.commit`), as often as needed.
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plantops.session import checkpoint_dir, sub_dir
+from plantops.session import staging, sub_dir
 
 PART = "part_of_key"
 
@@ -62,7 +61,7 @@ class KeyedTable:
         gone = touched.select(F.col(k).alias("__key"))
         kept = old.join(gone, F.col(k).eqNullSafe(F.col("__key")), "left_anti")
         content = kept.unionByName(rows.select(*[c for c in old.columns if c != PART]).withColumn(PART, self._part()))
-        staged = sub_dir(checkpoint_dir(self.spark), f"plantops-writeback-{uuid.uuid4().hex}")
+        staged = staging(self.spark, "writeback")
         content.hint("rebalance", F.col(PART)).write.partitionBy(PART).parquet(staged)
         self.commit(staged, parts)
         return staged

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 
 from plantops.operators import lines as L
 from plantops.operators import quantities as Q
 from plantops.plans import reports as R
 from plantops.plans.registry import AS_OF, AS_OF_SQL, ORACLES, SLUG_GROUP_TEST, register
-from plantops.session import checkpoint_dir, sub_dir
+from plantops.session import staging
 
 _EXCESS_TOTAL = "CAST(SUM(CAST(qty AS DECIMAL(21,9))) * CAST(1.05 AS DECIMAL(3,2)) AS DOUBLE)"
 
@@ -154,7 +153,7 @@ def slug_totals(erp):
 @register("report_totals_observed", ORACLES["report_totals"])
 def report_totals_observed(erp):
     """Total row of the production planning report, collected by the job that writes the report."""
-    path = sub_dir(checkpoint_dir(erp.spark), f"plantops-report-{uuid.uuid4().hex}")
+    path = staging(erp.spark, "report")
     return R.write_with_totals(R.production_planning(erp, AS_OF), ["po_qty", "excess_add_5"], path)
 
 

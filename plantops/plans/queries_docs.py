@@ -414,10 +414,8 @@ def pmc_requirements(erp):
 
 
 def _new_path(erp):
-    import uuid
-
-    from plantops.session import checkpoint_dir, sub_dir
-    return sub_dir(checkpoint_dir(erp.spark), f"plantops-table-{uuid.uuid4().hex}")
+    from plantops.session import staging
+    return staging(erp.spark, "table")
 
 
 @register("price_revision_written", ORACLES["price_revision"])

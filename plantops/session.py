@@ -12,6 +12,9 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
@@ -63,6 +66,40 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+#: folder of the innermost open :func:`run_folder`; threads start without one
+_run: ContextVar[str | None] = ContextVar("plantops_run", default=None)
+
+
+@contextmanager
+def run_folder(spark: SparkSession):
+    """A scope for what the operators stage: rows written once to the shared
+    folder by calls inside it lie in one new folder, which is removed at the
+    end, after an exception too.  Results must be written or collected inside.
+    Frames that calls inside return, or an ``Erp`` first built inside keeps, read
+    that folder and can't be used afterwards.
+    Without a scope staged rows stay until the owner of the shared folder
+    removes them.  A store (:mod:`plantops.sources.store`) outlives the scope."""
+    folder = sub_dir(checkpoint_dir(spark), f"plantops-run-{uuid.uuid4().hex}")
+    token = _run.set(folder)
+    try:
+        yield folder
+    finally:
+        _run.reset(token)
+        remove(spark, folder)
+
+
+def staging(spark: SparkSession, label: str) -> str:
+    """A new path for rows to stage: in the open :func:`run_folder`, else
+    directly in the shared folder."""
+    return sub_dir(_run.get() or checkpoint_dir(spark), f"plantops-{label}-{uuid.uuid4().hex}")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder if it is there, on whatever file system it lies."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

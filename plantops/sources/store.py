@@ -22,7 +22,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantops.session import checkpoint_dir, shuffle_partitions, sub_dir
+from plantops.session import checkpoint_dir, remove, shuffle_partitions, sub_dir
 
 HOT_ROWS = 1_000_000
 
@@ -31,6 +31,7 @@ class TableStore:
     def __init__(self, spark: SparkSession, folder: str | None = None, buckets: int | None = None, hot_rows: int = HOT_ROWS):
         self.spark = spark
         self.id = uuid.uuid4().hex
+        self._own_folder = folder is None
         self.folder = folder or sub_dir(checkpoint_dir(spark), f"plantops-store-{self.id}")
         self.buckets = buckets or shuffle_partitions(spark)
         self.hot_rows = hot_rows
@@ -70,6 +71,19 @@ class TableStore:
         return self._tables[name]
 
 
+    def drop(self) -> None:
+        """Takes the stored tables out of the catalog and removes their files;
+        frames read from them can't be used any more."""
+        for name in self._tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS plantops_{self.id}_{name}")
+            remove(self.spark, sub_dir(self.folder, name))
+        if self._own_folder:
+            remove(self.spark, self.folder)
+        self._tables.clear()
+        self._clustered.clear()
+        self.largest.clear()
+
+
 _stores: dict[tuple, TableStore] = {}
 
 
@@ -86,3 +100,9 @@ def store_for(spark: SparkSession, inputs: list[str]) -> TableStore:
     if key not in _stores:
         _stores[key] = TableStore(spark)
     return _stores[key]
+
+
+def drop_stores(spark: SparkSession) -> None:
+    """Drops all stores of the application, at its end."""
+    for key in [k for k in _stores if k[0] == spark.sparkContext.applicationId]:
+        _stores.pop(key).drop()

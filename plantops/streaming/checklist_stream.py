@@ -32,7 +32,6 @@ Sink and checkpoint live under the cluster's ``spark.checkpoint.dir``.
 from __future__ import annotations
 
 import datetime as dt
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,7 +40,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from plantops.operators.checklists import KEY, checklist_transactions, document_lines
 from plantops.operators.ordinal import global_ordinal
-from plantops.session import checkpoint_dir, sub_dir
+from plantops.session import run_folder, staging, sub_dir
 from plantops.sources.erp import Erp
 
 DOC_KEY = ["doctype", "name"]
@@ -122,10 +121,17 @@ def latest_version(docs: DataFrame) -> DataFrame:
 
 def process_batch(erp: Erp, docs: DataFrame, batch_id: int, sink: str, as_of) -> None:
     """One micro-batch: checklists for ``docs``, and for open rejects whose
-    items have a checklist now, written to ``sink``."""
+    items have a checklist now, written to ``sink``.  What is staged for the
+    numbering is removed at the batch's end."""
     spark = docs.sparkSession
     if _done(spark, _at(sink, "marks", batch_id)):
         return
+    with run_folder(spark):
+        _write_batch(erp, docs, batch_id, sink, as_of)
+
+
+def _write_batch(erp: Erp, docs: DataFrame, batch_id: int, sink: str, as_of) -> None:
+    spark = docs.sparkSession
     before = _predecessor(spark, sink, batch_id)
     once = latest_version(docs)
     taken = taken_documents(spark, sink, batch_id)
@@ -176,7 +182,7 @@ def run_checklist_stream(spark: SparkSession, erp: Erp, doc_stream: DataFrame, a
                          base: str | None = None) -> tuple[DataFrame, DataFrame, str]:
     """Run the stream over everything available and return the sink
     ``(headers, rows, folder)``."""
-    folder = base or sub_dir(checkpoint_dir(spark), "plantops", "checklist_stream", uuid.uuid4().hex)
+    folder = base or staging(spark, "checklist-stream")
     q = start_checklist_stream(erp, doc_stream, sub_dir(folder, "sink"), sub_dir(folder, "checkpoint"), as_of)
     q.awaitTermination()
     if q.exception() is not None:

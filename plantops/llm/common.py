@@ -5,14 +5,13 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import plantops
-from plantops.session import checkpoint_dir, sub_dir
+from plantops.session import staging
 
 
 _shipped: set[str] = set()
@@ -29,8 +28,9 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path in the cluster's shared folder (``spark.checkpoint.dir``)."""
-    return sub_dir(checkpoint_dir(spark), f"plantops-{label}-{uuid.uuid4().hex}")
+    """A new path in the cluster's shared folder (``spark.checkpoint.dir``),
+    in the open run folder if there is one (:func:`plantops.session.run_folder`)."""
+    return staging(spark, label)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:

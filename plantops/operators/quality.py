@@ -26,10 +26,11 @@ def dq_unique(table: DataFrame, doctype: str, field: str) -> DataFrame:
 def dq_domain(table: DataFrame, doctype: str, field: str, domain: DataFrame,
               allow_blank: bool = True) -> DataFrame:
     """Q2: rows whose Select ``field`` is outside its option list (``domain``
-    is a small literal frame with column ``value``)."""
+    is a small literal frame with column ``value``, broadcast: the rows hold few
+    values, so a join that deals them by value would have few tasks)."""
     v = F.col(field)
     t = table.where(v.isNotNull() & ((v != "") if allow_blank else F.lit(True)))
-    return (t.join(domain.select(F.col("value").alias("_dv")), v == F.col("_dv"), "left_anti")
+    return (t.join(F.broadcast(domain.select(F.col("value").alias("_dv"))), v == F.col("_dv"), "left_anti")
              .select(F.lit(doctype).alias("doctype"), F.lit(field).alias("field"),
                      F.col("name").cast("string").alias("name"), v.cast("string").alias("value")))
 

@@ -53,7 +53,12 @@ class KeyedTable:
         other.  Returns the folder of the new content, None if nothing changed."""
         k = self.key
         touched = rows.select(k) if keys is None else rows.select(k).unionByName(keys.select(k))
-        touched = touched.distinct().withColumn(PART, self._part())
+        return self._swap(rows, touched.distinct())
+
+    def _swap(self, rows: DataFrame, touched: DataFrame) -> str | None:
+        """:meth:`replace` for keys that are known: one row of ``touched`` for each."""
+        k = self.key
+        touched = touched.withColumn(PART, self._part())
         parts = [r[0] for r in touched.select(PART).distinct().collect()]  # at most ``parts`` numbers
         if not parts:
             return None
@@ -96,9 +101,18 @@ def changed_keys(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 def write_version(old: DataFrame, new: DataFrame, path: str, key: str, parts: int = 64) -> DataFrame:
     """Stores ``old`` at ``path`` and writes back what differs in ``new``;
-    the table as it is read afterwards."""
+    the table as it is read afterwards.  ``new`` and the changed keys are each
+    used several times and may be costly, so they are computed once and staged."""
+    spark = old.sparkSession
     table = KeyedTable.create(old, path, key, parts)
-    keys = changed_keys(old, new, key)
+
+    def once(df: DataFrame) -> DataFrame:
+        at = staging(spark, "writeback")
+        df.write.parquet(at)
+        return spark.read.schema(df.schema).parquet(at)
+
+    new = once(new)
+    keys = once(changed_keys(table.read(), new, key))
     rows = new.join(keys.select(F.col(key).alias("__changed")), F.col(key).eqNullSafe(F.col("__changed")), "left_semi")
-    table.replace(rows, keys)
+    table._swap(rows, keys)
     return table.read()

@@ -33,10 +33,14 @@ def print_purchase_order(po: DataFrame, po_items: DataFrame, items: DataFrame,
 
 
 def print_tax_invoice_lines(si: DataFrame, si_items: DataFrame, so: DataFrame, items: DataFrame,
-                            address: DataFrame) -> DataFrame:
+                            address: DataFrame, bucketed: bool = True) -> DataFrame:
     """One row per invoice line with the customer PO (from the line's
     sales order), HSN code, billing/shipping GSTIN (two address lookups) and
-    the header's due date, IRN, transport block and remarks."""
+    the header's due date, IRN, transport block and remarks.
+
+    Lines ``bucketed`` with their header meet it first, without an exchange.
+    Others look up item and sales order while they are narrow and meet the
+    header last, so no shuffle of lines carries the header's texts."""
     cells = ["due_date", "irn", "transporter", "vehicle_no", "lr_no", "lr_date", "remarks"]
     h = si.select("name", "customer", "customer_address", "shipping_address_name", "posting_date", *cells)
     bill = address.select(F.col("name").alias("_ba"), F.col("gstin").alias("billing_gstin"))
@@ -47,13 +51,14 @@ def print_tax_invoice_lines(si: DataFrame, si_items: DataFrame, so: DataFrame, i
                         "qty", "rate", "taxable_value")
     o = so.select(F.col("name").alias("_so"), "po_no", "po_date")
     it = items.select(F.col("name").alias("_i"), "gst_hsn_code")
-    return (i.join(h, i["parent"] == h["name"], "inner")
-             .join(o, F.col("sales_order") == F.col("_so"), "left")
-             .join(it, F.col("item_code") == F.col("_i"), "left")
-             .select(F.col("name").alias("invoice"), "posting_date", "customer", "billing_gstin",
-                     "shipping_gstin", F.col("idx").alias("sr_no"), "item_code", "po_no", "po_date",
-                     "gst_hsn_code", F.col("custom_no_of_pkgs").alias("no_of_pkgs"),
-                     F.col("custom_average_contents_per").alias("average_contents_per"), "qty", "rate", "taxable_value", *cells))
+    joins = [(h, F.col("parent") == F.col("name"), "inner"), (o, F.col("sales_order") == F.col("_so"), "left"),
+             (it, F.col("item_code") == F.col("_i"), "left")]
+    for other, on, how in joins if bucketed else joins[::-1]:
+        i = i.join(other, on, how).drop("_so", "_i")
+    return i.select(F.col("name").alias("invoice"), "posting_date", "customer", "billing_gstin",
+                    "shipping_gstin", F.col("idx").alias("sr_no"), "item_code", "po_no", "po_date",
+                    "gst_hsn_code", F.col("custom_no_of_pkgs").alias("no_of_pkgs"),
+                    F.col("custom_average_contents_per").alias("average_contents_per"), "qty", "rate", "taxable_value", *cells)
 
 
 def print_tax_invoice_charges(si: DataFrame, taxes: DataFrame) -> DataFrame:

@@ -15,3 +15,10 @@ def spark():
                     extra={"spark.ui.showConsoleProgress": "false", "spark.ui.enabled": "false"})
     yield s
     s.stop()
+
+
+@pytest.fixture(scope="module", autouse=True)
+def no_stored_tables(spark):
+    """Each test file begins without the stored tables of the files before it."""
+    from plantops.sources.store import drop_stores
+    drop_stores(spark)
